@@ -83,7 +83,8 @@ def cell_facts(light: DataFrame, weights: tuple[int, ...], max_repeat: int, cell
     sizes = light.groupBy("key", "size").agg(F.count("*").alias("n"))
     targets = source_targets(sizes.select("key", (F.col("size") * F.col("n")).alias("size")), weights, max_repeat)
     salts = sizes.select("key", "size", F.ceil(F.col("n") / cell_rows).cast("long").alias("n_salts"))
-    split = light.join(salts.where("n_salts > 1"), ["key", "size"])
+    # at most one row for each cell_rows rows of the input
+    split = light.join(F.broadcast(salts.where("n_salts > 1")), ["key", "size"])
     split = split.groupBy("key", "size", "n_salts", salt_of(F.col("digest"), F.col("n_salts")).alias("salt")).agg(F.count("*").alias("n"))
     whole = sizes.where(F.col("n") <= cell_rows).select("key", "size", F.lit(1).cast("long").alias("n_salts"), F.lit(0).cast("long").alias("salt"), "n")
     order = Window.partitionBy("key").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
