@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.llm import language_id, mixing, packing, quality, token_counts, topk, toxicity
+from subtide.llm import language_id, mixing, packing, quality, substring_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_passages(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
-SQL = {"op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
