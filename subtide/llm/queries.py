@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.llm import language_id, mixing, packing, quality, substring_dedup, token_counts, topk, toxicity
+from subtide.llm import language_id, mixing, ngram_jaccard, packing, quality, substring_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept, n_lost_words, n_lost_lines FROM f
 """.replace("NAV_WORDS", str(quality.NAV_WORDS)).replace("NAV_PATTERN", quality.NAV_PATTERN).replace("BOILERPLATE_PATTERN", quality.BOILERPLATE_PATTERN)
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(g, ' ')) AS g FROM (
+        SELECT doc_id, w[i:i+3] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+        UNION ALL SELECT doc_id, list_append(w, 'fewer') AS g FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 85 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON d.doc_id = c.node
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -94,5 +112,6 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL = {"op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op10_ngram_jaccard": OP10_SQL, "op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
