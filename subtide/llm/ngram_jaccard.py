@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from subtide.llm import _text as X
 from subtide.llm._graph import components
 from subtide.llm._hot import common_grams, tried_last
-from subtide.llm._tables import fits, written
+from subtide.llm._tables import fits, unused, written
 
 #: Rows of a table that is broadcast at most; above, it is shuffled.
 BROADCAST_ROWS = 400_000
@@ -191,3 +191,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     out = rows.join(comp, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return out.select(real("id").alias(id_col), F.col("size").alias("n_shingles"), real("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, pct: int = 85) -> DataFrame:
+    """The rows of docs, of each component only the one with the least (id, text hash); empty sets all stay."""
+    names = [unused(docs, x) for x in ("set_id", "set_row")]
+    key = [F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias(names[0]), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias(names[1])]
+    rows = docs.select(*[docs[c] for c in docs.columns], *key)
+    signed, sets, roots = link_sets(keyed(docs, id_col, text_col), n, pct)
+    # a set's first row is named in sets; that of its component is the least of these
+    named = sets.select("digest", "uid", "id", "row").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    first = named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("s")).select("s.*")
+    seen = signed.where("size > 0").groupBy("id", "row").agg(F.count("*").alias("n"))
+    gone = written(seen.join(first, ["id", "row"], "left_anti").select("id", "row").toDF(*names), "jaccard-gone")
+    rows = rows.join(F.broadcast(gone) if fits(gone, BROADCAST_ROWS) else gone, names, "left_anti")
+    twice = written(seen.where("n > 1").select("id", "row").toDF(*names), "jaccard-twice")
+    if not twice.isEmpty():  # rows with one id and one text: one of them stays
+        again = rows.join(twice, names, "left_semi").dropDuplicates(names)
+        rows = rows.join(twice, names, "left_anti").unionByName(again)
+    return rows.select(*docs.columns)

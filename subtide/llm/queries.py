@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.llm import language_id, mixing, ngram_jaccard, packing, quality, substring_dedup, token_counts, topk, toxicity
+from subtide.llm import language_id, line_dedup, mixing, ngram_jaccard, packing, quality, substring_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_passages(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.sha2("text", 256).alias("kept_sha256"), "n_lines_removed", "n_words_removed", "emptied")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -110,8 +115,9 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL = {"op10_ngram_jaccard": OP10_SQL, "op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op7_line_dedup": line_dedup.LINES_SQL, "op10_ngram_jaccard": OP10_SQL, "op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}

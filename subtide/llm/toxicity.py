@@ -149,6 +149,22 @@ def fit(y: np.ndarray, empty: np.ndarray, known: list[list[list[int]]], k: int,
     return w, b
 
 
+def judged(text: str | None, m: Model, sentence_limit: float) -> tuple[float, int, list[dict]]:
+    """A text's score, its number of sentences, and those at or above the limit."""
+    got = sentence_features(text or "", m.weight)
+    none, hits = 0.0, []
+    floor = float(np.log1p(-m.sentence(set())))
+    for a, b, f in got:
+        if f:
+            p = min(m.sentence(f), 1 - 1e-12)
+            none += float(np.log1p(-p))
+            if p >= sentence_limit:
+                hits.append({"start": a, "end": b, "score": p})
+        else:
+            none += floor
+    return 1 - float(np.exp(none)), len(got), hits
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sentence_limit: float = 0.5, spans: bool = True) -> DataFrame:
     """(id, score, n_sentences, n_offending[, offending]): offending sentences as (start, end, score) in code points."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -157,27 +173,26 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        floor = float(np.log1p(-m.sentence(set())))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                total, sentences, bad = [], [], []
-                for text in part.column(1).to_pylist():
-                    got = sentence_features(text or "", m.weight)
-                    none, hits = 0.0, []
-                    for a, b, f in got:
-                        if f:
-                            p = min(m.sentence(f), 1 - 1e-12)
-                            none += float(np.log1p(-p))
-                            if p >= sentence_limit:
-                                hits.append({"start": a, "end": b, "score": p})
-                        else:
-                            none += floor
-                    total.append(1 - float(np.exp(none)))
-                    sentences.append(len(got))
-                    bad.append(hits)
-                out = [part.column(0), pa.array(total, pa.float64()), pa.array(sentences, pa.int32()), pa.array([len(x) for x in bad], pa.int32())]
-                yield pa.record_batch(out + ([pa.array(bad, found)] if spans else []), names=["id", "score", "n_sentences", "n_offending"] + ["offending"] * spans)
+                got = [judged(x, shared.value, sentence_limit) for x in part.column(1).to_pylist()]
+                out = [part.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int32()), pa.array([len(x[2]) for x in got], pa.int32())]
+                yield pa.record_batch(out + ([pa.array([x[2] for x in got], found)] if spans else []), names=["id", "score", "n_sentences", "n_offending"] + ["offending"] * spans)
 
     return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
+
+
+def clean_rows(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                keep = [judged(x, shared.value, 1.0)[0] < threshold for x in part.column(at).cast(pa.string()).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
