@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.schema import CONTINUE_FLAG
@@ -74,9 +74,14 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk_lines(spark, sf_dir).select("media_id").distinct().select("media_id", (F.col("media_id") % 3).alias("lo_ix"), (F.col("media_id") % 3 + 4).alias("hi_ix"))
 
 
+def raised(text: str) -> Column:
+    """Vowels in upper case, the same in every engine."""
+    return F.translate(text, "aeiou", "AEIOU")
+
+
 def replies(payload: DataFrame) -> DataFrame:
-    """Two attempts of a response for each batch: texts in upper case, numbered, short or long by batch."""
-    row = F.replace(F.upper("text"), F.lit("\n"), F.lit("\\N"))
+    """Two attempts of a response for each batch: texts with raised vowels, numbered, short or long by batch."""
+    row = F.replace(raised("text"), F.lit("\n"), F.lit("\\N"))
     g = payload.groupBy("media_id", "batch_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("t")))), lambda x: x["t"]).alias("rows"))
     numbered = F.transform("rows", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
     kind = F.col("batch_ix") % 4

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.plans import line_queries
+from subtide.plans import line_queries, word_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(line_queries.QUERIES)
+    return line_queries.QUERIES | word_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(line_queries.SQL)
+    return line_queries.SQL | word_queries.SQL

@@ -42,7 +42,7 @@ def parse_cues(files: DataFrame, format: str) -> DataFrame:
         time = F.regexp_extract("cue", r"(?m)^([^\n]*?" + (r"\d,\d" if format == "sbv" else "-->") + r"[^\n]*)$", 1)
         sides = F.split(time, r",\s*" if format == "sbv" else r"\s*-->\s*")
         text = F.regexp_replace("cue", r"(?s)^.*?" + (r"\d[.]\d+,[^\n]*" if format == "sbv" else r"-->[^\n]*") + r"\n?", "")
-        x = x.select("media_id", "at", _ms(sides[0]).alias("start_ms"), _ms(sides[1]).alias("end_ms"), F.lit("Default").alias("style"), F.regexp_replace(F.regexp_replace(text, r"\n+$", ""), "\n", r"\\\\N").alias("text"), F.lit("Unknown").alias("speaker"))
+        x = x.select("media_id", "at", _ms(sides[0]).alias("start_ms"), _ms(sides[1]).alias("end_ms"), F.lit("Default").alias("style"), F.replace(F.regexp_replace(text, r"\n+$", ""), F.lit("\n"), F.lit("\\N")).alias("text"), F.lit("Unknown").alias("speaker"))
     w = Window.partitionBy("media_id").orderBy("at")
     return x.select("media_id", (F.row_number().over(w) - 1).cast("long").alias("line_ix"), "start_ms", "end_ms", "style", "text", "speaker")
 
@@ -55,7 +55,7 @@ def read_cues(spark: SparkSession, path: str, format: str) -> DataFrame:
 def to_cues(lines: DataFrame, format: str) -> DataFrame:
     """(media_id, doc): the cue file of each media."""
     if format in ("ass", "ssa"):
-        row = F.concat(F.lit("Dialogue: 0,"), _clock(F.col("start_ms"), ".", 2, 1), F.lit(","), _clock(F.col("end_ms"), ".", 2, 1), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"), F.regexp_replace("text", "\n", r"\\\\N"))
+        row = F.concat(F.lit("Dialogue: 0,"), _clock(F.col("start_ms"), ".", 2, 1), F.lit(","), _clock(F.col("end_ms"), ".", 2, 1), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"), F.replace("text", F.lit("\n"), F.lit("\\N")))
         head, between = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n", "\n"
     else:
         body = F.replace(F.col("text"), F.lit("\\N"), F.lit("\n"))
