@@ -42,3 +42,9 @@ def seconds_text(ms: Column) -> Column:
     hundredths = F.floor((ms + 5) / 10).cast("long")
     second = F.floor(hundredths / 100).cast("long")
     return F.concat(F.floor(second / 60).cast("string"), F.lit(":"), F.lpad((second % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
+def media_of_file() -> Column:
+    """A file's media: its ``media_id=`` folder, or else its name without the last suffix."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/media_id=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from subtide.plans import fixtures as X
 from subtide.plans import pipeline
 from subtide.schema import AUDIO_SUFFIXES, CODEC_EXTENSIONS, CONTINUE_FLAG, IMAGE_SUFFIXES, JSON_SUFFIXES, STAGE_SUFFIXES, SUBTITLE_SUFFIXES, TEXT_SUFFIXES, VIDEO_SUFFIXES, Params
 from subtide.sources import catalog, cues, transcripts
+from subtide.streaming import incremental
 
 LATIN = Params(delimiters=(".", "?", "!"), soft_delimiters=(",", " "), remove_text=(), soft_max_chars=40, hard_max_chars=80, hard_max_carryover=15)
 BATCHED = Params(batch_lines=3, discard_lines=2, max_cont_lines=2, context_lines=4)
@@ -117,7 +120,33 @@ def _full_run(s: SparkSession, d: str) -> DataFrame:
     return pipeline.run_pipeline({"words": X.document_words(s, d)}, ["convert", "fix", "pad"], LATIN).select(*LINE)
 
 
+def _scratch(s: SparkSession) -> str:
+    """A new folder in the shared one; a temporary one where none is set, as in tests."""
+    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/subtide-{uuid.uuid4().hex}"
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    """Two landings of transcripts, converted as they come."""
+    home = _scratch(s)
+    docs = _good(s, d).select("media_id", "doc")
+    for half in (0, 1):
+        made = docs.where(F.col("media_id") % 2 == half)
+        made.select("media_id", F.col("doc").alias("value")).repartition("media_id").write.partitionBy("media_id").mode("append").text(f"{home}/in")
+        incremental.incremental_convert(s, f"{home}/in", f"{home}/out", f"{home}/checkpoint", LATIN, "segmented_speakers").awaitTermination()
+    return s.read.parquet(f"{home}/out").select(F.col("media_id").cast("long").alias("media_id"), *LINE[1:])
+
+
+def _read_back(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as files and read again."""
+    home = _scratch(s)
+    transcripts.write_transcripts(transcripts.to_transcript_json(X.document_words(s, d)), home)
+    j = transcripts.read_transcripts(s, home, "segmented")
+    return j.select(F.col("media_id").cast("long").alias("media_id"), "j.duration", F.size("j.segments").cast("long").alias("n_segments"), F.size("j.words").cast("long").alias("n_words"))
+
+
 QUERIES = {
+    "a1_read_transcripts": _read_back,
     "a2_rejected_transcripts": _rejected,
     "a3_words_from_segmented": lambda s, d: transcripts.words_from_segmented(_diarised(s, d)).select(*WORD),
     "a4_words_from_speaker_runs": lambda s, d: transcripts.words_from_speaker_runs(_diarised(s, d)).select(*WORD),
@@ -162,6 +191,7 @@ QUERIES = {
     "e18_unrouted_models": lambda s, d: translate.route_models(_requests(s, d))[1].select("media_id", "model"),
     "e19_translate": lambda s, d: translate.translate(X.continued_lines(s, d), X.replies(_payload(s, d)), BATCHED).select(*LINE),
     "f1_run_pipeline": _full_run,
+    "f3_incremental_convert": _incremental,
     "f2_pending_media": lambda s, d: pipeline.pending_media(X.manifest(s, d).select("media_id", "path"), X.talk_lines(s, d)),
 }
 
@@ -228,6 +258,8 @@ _route = "CASE " + " ".join(f"WHEN contains(m, '{p}') THEN '{n}'" for p, n in tr
 _clock = lambda c: f"concat(lpad(CAST({c} // 3600000 AS varchar), 2, '0'), ':', lpad(CAST({c} // 60000 % 60 AS varchar), 2, '0'), ':', lpad(CAST({c} // 1000 % 60 AS varchar), 2, '0'), ',', lpad(CAST({c} % 1000 AS varchar), 3, '0'))"
 
 SQL = {
+    "a1_read_transcripts": _W + """, s AS (SELECT media_id, segment_ix, count(*) AS n, arg_max("end", word_ix) AS e FROM words GROUP BY ALL)
+SELECT media_id, arg_max(e, segment_ix) AS duration, count(*) AS n_segments, CAST(sum(n) AS bigint) AS n_words FROM s GROUP BY media_id""",
     "a2_rejected_transcripts": "SELECT doc_id AS media_id, 'words missing' AS reason FROM documents WHERE doc_id % 50 = 49",
     "a3_words_from_segmented": _W + "SELECT media_id, CAST(dense_rank() OVER (PARTITION BY media_id ORDER BY segment_ix) - 1 AS int) AS segment_ix, word_ix, text, start, \"end\", type, speaker FROM words WHERE media_id % 2 = 0",
     "a4_words_from_speaker_runs": _W + """, a AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix) AS place FROM words WHERE media_id % 2 = 1),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from subtide.functions.columns import media_of_file
+
 FORMATS = ("srt", "vtt", "sbv", "ass", "ssa")
 _TIME = r"(?:(\d+):)?(\d{1,2}):(\d{1,2})[.,](\d{1,3})"
 
@@ -48,7 +50,7 @@ def parse_cues(files: DataFrame, format: str) -> DataFrame:
 
 
 def read_cues(spark: SparkSession, path: str, format: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("media_id"), F.col("value").alias("doc"))
+    files = spark.read.text(path, wholetext=True).select(media_of_file().alias("media_id"), F.col("value").alias("doc"))
     return parse_cues(files, format)
 
 
@@ -74,7 +76,9 @@ def to_text(lines: DataFrame) -> DataFrame:
 
 
 def _write(docs: DataFrame, path: str) -> None:
-    docs.select("media_id", F.col("doc").alias("value")).repartition("media_id").write.partitionBy("media_id").mode("overwrite").option("lineSep", "").text(path)
+    # the writer ends the file with a line end of its own
+    bodies = docs.select("media_id", F.regexp_replace("doc", r"\n$", "").alias("value"))
+    bodies.repartition("media_id").write.partitionBy("media_id").mode("overwrite").text(path)
 
 
 def write_cues(lines: DataFrame, path: str, format: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from subtide.functions.columns import media_of_file
 from subtide.operators import words
 from subtide.schema import Params
 from subtide.sources import transcripts
@@ -18,7 +19,7 @@ def incremental_convert(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
     overwrites its own folder, so lines are never doubled.
     """
     files = spark.readStream.format("text").option("wholetext", True).load(in_dir)
-    docs = files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("media_id"), F.col("value").alias("doc"))
+    docs = files.select(media_of_file().alias("media_id"), F.col("value").alias("doc"))
 
     def convert(batch: DataFrame, number: int) -> None:
         good, _ = transcripts.validate_transcripts(transcripts.parse_documents(batch, dialect), dialect)
