@@ -5,8 +5,9 @@ A text's sentences are its instances. A sentence has the probability
 ``1 - prod(1 - p)``. Weights are trained on text labels alone. Features are
 words and their first four to six letters, lower-cased; those kept are the
 ``features`` ones that texts of label 1 have relatively most often, counted over
-all labelled rows, so only they travel to the trainer, with about ``train_rows``
-labelled rows at most (chosen by hash of the id, label 0 and label 1 alike).
+about ``LABEL_ROWS`` labelled rows at most (``sample_labels``), so only they
+travel to the trainer, with about ``train_rows`` of these rows at most. Both
+samples are chosen by hash of the id, label 0 and label 1 alike.
 
 Defined results: null and empty texts have the score of no sentence, 0; labels
 that are null do not train; without rows of both labels every score is 0; texts
@@ -29,6 +30,8 @@ FEATURES = 4_096
 #: The commonest features of label-1 texts, of which FEATURES are chosen.
 CANDIDATES = 65_536
 TRAIN_ROWS = 20_000
+#: Labelled rows that features are counted in at most, chosen by hash of the id; bounds the join's broadcast.
+LABEL_ROWS = 200_000
 MIN_TEXTS = 5
 PREFIXES = (4, 5, 6)
 EPOCHS = 500
@@ -90,13 +93,22 @@ def _choose(rows: DataFrame, features: int, min_texts: int) -> list[str]:
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return []
-    ones = _text_counts(rows.where("y = 1"), None).where(F.col("n") >= min_texts).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
-    a = {r["f"]: r["n"] for r in ones}
-    b = {r["f"]: r["n"] for r in _text_counts(rows.where("y = 0"), frozenset(a)).collect()}
+    ones = _text_counts(rows.where("y = 1"), None).where(F.col("n") >= min_texts).orderBy(F.desc("n"), "f").limit(CANDIDATES).toArrow()
+    a = dict(zip(ones["f"].to_pylist(), ones["n"].to_pylist(), strict=True))
+    zeros = _text_counts(rows.where("y = 0"), frozenset(a)).toArrow()
+    b = dict(zip(zeros["f"].to_pylist(), zeros["n"].to_pylist(), strict=True))
     gain = {f: float(np.log((n + 0.5) / total[1] * total[0] / (b.get(f, 0) + 0.5)) * np.sqrt(n)) for f, n in a.items()}
     return sorted((f for f, g in gain.items() if g > 0), key=lambda f: (-gain[f], f))[:features]
 
 
+def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", rows: int = LABEL_ROWS) -> DataFrame:
+    """About ``rows`` of the labels at most, by a hash of the id."""
+    n = labels.count()
+    if n <= rows:
+        return labels
+    return labels.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1_000_000)) < rows / n * 1_000_000)
+
+
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, train_rows: int = TRAIN_ROWS, min_texts: int = MIN_TEXTS) -> Model:
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
     chosen = _choose(rows, features, min_texts)
@@ -117,22 +129,26 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(empty, pa.int64()), pa.array(known, pa.list_(pa.list_(pa.int32())))], names=["y", "empty", "known"])
 
     table = sample.select("text", "y").mapInArrow(bags, "y int, empty long, known array<array<int>>").toArrow()
-    weight, bias = fit(np.array(table["y"]), np.array(table["empty"]), table["known"].to_pylist(), len(chosen))
+    texts = table["known"].combine_chunks()
+    sentences = texts.flatten()
+    weight, bias = fit(table["y"].to_numpy(), table["empty"].to_numpy(), np.diff(texts.offsets), np.diff(sentences.offsets), sentences.flatten().to_numpy(), len(chosen))
     return Model({f: float(w) for f, w in zip(chosen, weight, strict=True)}, float(bias))
 
 
-def fit(y: np.ndarray, empty: np.ndarray, known: list[list[list[int]]], k: int, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Adam on the texts' log loss; sentences without features count by their number."""
-    flat = [s for t in known for s in t]
-    text_of = np.repeat(np.arange(len(known)), [len(t) for t in known])
-    sent_of = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    feat = np.fromiter((f for s in flat for f in s), np.int64, len(sent_of))
+def fit(y: np.ndarray, empty: np.ndarray, n_sentences: np.ndarray, n_features: np.ndarray, feat: np.ndarray, k: int, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Adam on the texts' log loss.
+
+    A text has ``n_sentences`` sentences with features, which have ``n_features``
+    of ``feat`` each, and ``empty`` without any, which count by their number.
+    """
+    text_of = np.repeat(np.arange(len(y)), n_sentences)
+    sent_of = np.repeat(np.arange(len(n_features)), n_features)
     w, b = np.zeros(k), -8.0
     share = max(y.mean(), 1e-3)
     scale = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-3)) ** 0.5
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, epochs + 1):
-        z = b + np.bincount(sent_of, weights=w[feat], minlength=len(flat))
+        z = b + np.bincount(sent_of, weights=w[feat], minlength=len(n_features))
         p = 1 / (1 + np.exp(-z))
         p0 = 1 / (1 + np.exp(-b))
         log_none = np.bincount(text_of, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)) + empty * np.log1p(-p0)
