@@ -110,8 +110,8 @@ class Model:
 
     def word_scores(self, s: Scanned) -> np.ndarray:
         """Words x languages."""
-        if not len(s.starts):
-            return np.zeros((0, len(self.languages)), np.float32)
+        if not len(s.starts) or not self.languages:
+            return np.zeros((len(s.starts), len(self.languages)), np.float32)
         total = np.add.reduceat(self.log_p[s.bucket], s.first, axis=0)
         k = (s.ends - s.starts).astype(np.float32)[:, None]
         score = total / k * np.minimum(k, 8)
