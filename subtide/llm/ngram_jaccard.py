@@ -8,9 +8,11 @@ tokens as rows (token, group) of the matrix: a set's prefix is its first
 last, and two linked sets share a token of both prefixes. So a pair of groups
 qualifies only if their rows share a token, with sizes that can reach the
 threshold; every other pair is bounded below it without being opened. Qualifying
-pairs are opened: their sets that share a prefix token, with sizes, positions
-and all, are compared on whole texts, unless they are linked already through
-their group.
+pairs are opened: of their sets that share a prefix token and can reach the
+threshold by size, the difference of two sets is bounded from below by parity
+sketches (bits that an odd number of a set's shingles hash to: differing bits
+are at most differing shingles), and those still in question are compared on
+whole texts.
 
 Links are between different sets; a group of thousands of near copies is a star
 around one set and a few rows in the matrix, not all its pairs.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +43,8 @@ from subtide.llm._tables import fits, unused, written
 #: Rows of a table that is broadcast at most; above, it is shuffled.
 BROADCAST_ROWS = 400_000
 LAST_ID = (1 << 63) - 1
+#: Bits of a set's parity sketch at least.
+SKETCH_BITS = 1_024
 
 
 def shingles(t: X.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +72,36 @@ def _sequence(h: np.ndarray) -> np.uint64:
     return X.gram_hashes(np.concatenate([h, np.array([len(h)], np.uint64)]), len(h) + 1)[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
+def parity_sketches(own: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first word of each of n texts): a bit is set if an odd number of the text's shingles hash to it.
+
+    A text has as many bits as shingles, up to the next power of two.
+    """
+    size = np.maximum(np.bincount(own, minlength=n), SKETCH_BITS)
+    bits = (1 << np.ceil(np.log2(size)).astype(np.int64)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    bit = first[own] + (X.mix(grams) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+    at, times = np.unique(bit, return_counts=True)
+    at = at[times % 2 == 1]
+    words = np.zeros(first[-1] // 64, np.uint64)
+    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return words, first // 64
+
+
+def folded(sketch: Column, to: Column) -> Column:
+    """A sketch at the given number of words, which is its own or half of it."""
+    half = (F.size(sketch) / 2).cast("int")
+    pair = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) == to, sketch).otherwise(pair)
+
+
 def prefix_size(size: np.ndarray | int, pct: int):
     """Shingles of which one is shared with any set that links: size - ceil(pct / 100 * size) + 1."""
     return size - -(-size * pct // 100) + 1
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(id, row, size, digest, key1, key2, prefix) of each text; prefix in the order of all shingles."""
+    """(id, row, size, digest, key1, key2, prefix, sketch) of each text; prefix in the order of all shingles."""
 
     def all_grams(_, t: X.Texts) -> np.ndarray:
         return shingles(t, n)[1]
@@ -102,14 +129,25 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 rank = np.arange(len(own)) - np.repeat(first[:-1], size)
                 kept = key[rank < np.repeat(most, size)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(kept))
-                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix], names=["id", "row", "size", "digest", "key1", "key2", "prefix"])
+                words, at = parity_sketches(own, grams, len(t))
+                sketch = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words.view(np.int64)))
+                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix, sketch], names=["id", "row", "size", "digest", "key1", "key2", "prefix", "sketch"])
 
-    return docs.mapInArrow(sign, "id long, row long, size long, digest binary, key1 long, key2 long, prefix array<long>")
+    return docs.mapInArrow(sign, "id long, row long, size long, digest binary, key1 long, key2 long, prefix array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
     """Those (a, b) whose sets, made from their whole texts, reach the threshold."""
-    pairs = written(pairs.distinct(), "jaccard-pairs")
+    facts = sets.select("uid", "size", "sketch")
+    for side in ("a", "b"):
+        pairs = pairs.distinct() if side == "a" else pairs
+        pairs = pairs.join(facts.toDF(side, f"size_{side}", f"sketch_{side}"), side)
+    pairs = pairs.where((F.col("size_a") * 100 >= F.col("size_b") * pct) & (F.col("size_b") * 100 >= F.col("size_a") * pct))
+    # sizes so near have sketches of equal length or one twice the other
+    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    differ = F.zip_with(folded(F.col("sketch_a"), least), folded(F.col("sketch_b"), least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+    pairs = written(pairs.where(apart * (100 + pct) <= (F.col("size_a") + F.col("size_b")) * (100 - pct)).select("a", "b"), "jaccard-pairs")
     used = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     named = written(used.join(sets.select("uid", "id", "row"), "uid"), "jaccard-texts")
     side = F.broadcast(named) if fits(named, BROADCAST_ROWS) else named
@@ -143,10 +181,10 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     ``docs`` has (id long, row long, text string); (id, row) names a text.
     """
     signed = written(signatures(docs, n, pct), "jaccard-signed")
-    # rows of one digest have one set, and so one size, keys and prefix
-    same = [F.first(c).alias(c) for c in ("size", "key1", "key2", "prefix")]
+    # rows of one digest have one set, and so one size, keys, prefix and sketch
+    same = [F.first(c).alias(c) for c in ("size", "key1", "key2", "prefix", "sketch")]
     per = signed.where("size > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("s"), *same)
-    sets = written(per.select("digest", "s.*", "size", "key1", "key2", "prefix", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
+    sets = written(per.select("digest", "s.*", "size", "key1", "key2", "prefix", "sketch", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
 
     # groups: sets with one least shingle, around the first of them that they link with
     stars = []

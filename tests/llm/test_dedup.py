@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from subtide.llm import _graph, line_dedup, ngram_jaccard, substring_dedup
@@ -186,16 +187,23 @@ def test_keep_one(odd, nothing):
     assert ngram_jaccard.keep_one(nothing).count() == 0
 
 
-def test_parity_bound():
-    import numpy as np
+def test_parity_bound(spark):
+    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(8)
-    for _ in range(50):
-        a = rng.choice(2000, rng.integers(1, 400), replace=False).astype(np.uint64)
-        b = rng.choice(2000, rng.integers(1, 400), replace=False).astype(np.uint64)
-        own = np.repeat([0, 1], [len(a), len(b)])
-        s = ngram_jaccard.parity_sketches(own, np.concatenate([a, b]), 2)
-        assert sum(int(x).bit_count() for x in s[0] ^ s[1]) <= len(set(a.tolist()) ^ set(b.tolist()))
+    rows, want = [], []
+    for i in range(40):
+        a = rng.choice(4000, rng.integers(1, 1500), replace=False).astype(np.uint64)
+        b = rng.choice(4000, rng.integers(1, 1500), replace=False).astype(np.uint64)
+        words, at = ngram_jaccard.parity_sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        x, y = (words[at[k] : at[k + 1]].view(np.int64).tolist() for k in (0, 1))
+        rows.append((i, x, y))
+        want.append(len(set(a.tolist()) ^ set(b.tolist())))
+    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    least = F.least(F.size("x"), F.size("y"))
+    differ = F.zip_with(ngram_jaccard.folded(F.col("x"), least), ngram_jaccard.folded(F.col("y"), least), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    got = df.select("i", F.aggregate(differ, F.lit(0), lambda n, v: n + v).alias("d")).orderBy("i").collect()
+    assert all(r.d <= w for r, w in zip(got, want, strict=True)) and any(r.d > w / 4 for r, w in zip(got, want, strict=True))
 
 
 def test_graph(spark):
