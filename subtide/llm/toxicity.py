@@ -129,6 +129,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(empty, pa.int64()), pa.array(known, pa.list_(pa.list_(pa.int32())))], names=["y", "empty", "known"])
 
     table = sample.select("text", "y").mapInArrow(bags, "y int, empty long, known array<array<int>>").toArrow()
+    if not table.num_rows:
+        return Model()
     texts = table["known"].combine_chunks()
     sentences = texts.flatten()
     weight, bias = fit(table["y"].to_numpy(), table["empty"].to_numpy(), np.diff(texts.offsets), np.diff(sentences.offsets), sentences.flatten().to_numpy(), len(chosen))
