@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+#: Texts worked on at a time; a task holds some tens of times as much in arrays.
+SLICE_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -44,7 +45,7 @@ def _power(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base & 0xFFFFFFFFFFFFFFFF, np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

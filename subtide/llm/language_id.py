@@ -33,6 +33,8 @@ BUCKETS = 1 << 16
 TRAIN_ROWS = 5_000
 SWITCH = 8.0
 SLICE_CHARS = 1 << 20
+#: Texts that step through Viterbi together; the longest of them decides the steps.
+SLICE_BYTES = 4 << 20
 #: First and last code points by script; letters elsewhere count as one more script.
 SCRIPTS = (
     ("latin", ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A))),
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part, _ in X.slices(batch, "text"):
+            for part, _ in X.slices(batch, "text", SLICE_BYTES):
                 yield labelled(part, m)
 
     def labelled(part: pa.RecordBatch, m: Model) -> pa.RecordBatch:
