@@ -126,7 +126,8 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: i
 def _later(array: DataFrame, depth: int) -> DataFrame:
     """(id, row, a, b) of the suffixes whose interval at this depth has an earlier text or place."""
     at = F.struct("id", "row", "pos")
-    first = array.groupBy("rank").agg(F.min(at).alias("first"))
+    # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+    first = written(array.groupBy("rank").agg(F.min(at).alias("first")), "lines-first")
     later = array.join(first, "rank").where(at != F.col("first"))
     return later.select("id", "row", F.col("pos").alias("a"), (F.col("pos") + depth).alias("b"))
 

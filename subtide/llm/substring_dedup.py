@@ -133,7 +133,8 @@ def covered_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 yield pa.record_batch([*(pa.array(x) for x in out), pa.array(digest, pa.binary())], names=["id", "row", "start", "size", "least", "digest"])
 
     runs = written(docs.mapInArrow(cut, "id long, row long, start int, size int, least long, digest binary"), "skm-runs")
-    several = runs.groupBy("least").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("least")
+    # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+    several = written(runs.groupBy("least").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("least"), "skm-several")
     runs = written(runs.join(several, "least"), "skm-shared")
 
     # one row for each distinct string of a bucket, with its first document
@@ -177,7 +178,7 @@ def covered_words(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     packed = texts.mapInArrow(pack, "least long, digest binary, id long, packed binary")
     inner = packed.repartition("least").sortWithinPartitions("least").mapInArrow(sort, "least long, digest binary, inner array<struct<at: int, n: int>>")
     facts = strings.select("least", "digest", "first_id", "last_id").join(inner, ["least", "digest"], "left").where("last_id > first_id or inner is not null")
-    hit = runs.join(facts, ["least", "digest"])
+    hit = runs.join(written(facts, "skm-facts"), ["least", "digest"])
     span = lambda a, n: F.struct(a.cast("int").alias("a"), (a + n + (k - 1)).cast("int").alias("b"))
     spans = F.when(F.col("id") > F.col("first_id"), F.array(span(F.col("start"), F.col("size")))).otherwise(F.transform(F.coalesce("inner", F.expr("cast(array() as array<struct<at: int, n: int>>)")), lambda r: span(F.col("start") + r["at"], r["n"])))
     hit = hit.select("id", "row", F.explode(spans).alias("s"))
