@@ -1,8 +1,9 @@
 """Exact Jaccard join of word n-gram sets through a token-group matrix.
 
 Equal sets are one set with members. Similar sets are put into groups: sets with
-the same least shingle (by two orders) are compared with the first of them, and
-those that link form a group. Each group stores the union of its sets' prefix
+the same least shingle (by two orders) are compared with one of them, and
+those that link form a group; groups that share a token are tried by one set
+each and may join. Each group stores the union of its sets' prefix
 tokens as rows (token, group) of the matrix: a set's prefix is its first
 ``size - ceil(t * size) + 1`` shingles in one order of all shingles, common ones
 last, and two linked sets share a token of both prefixes. So a pair of groups
@@ -101,7 +102,11 @@ def prefix_size(size: np.ndarray | int, pct: int):
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(id, row, size, digest, key1, key2, prefix, sketch) of each text; prefix in the order of all shingles."""
+    """(id, row, rare, size, digest, key1, key2, prefix, sketch) of each text.
+
+    ``prefix`` is in the order of all shingles, keys are least hashes by two
+    orders, ``rare`` is the share of shingles, in thousandths, that are not common.
+    """
 
     def all_grams(_, t: X.Texts) -> np.ndarray:
         return shingles(t, n)[1]
@@ -119,11 +124,12 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 key = tried_last(grams, shared.value)
                 order = np.lexsort((key, own))
                 key = key[order]
-                other = X.mix(key & np.uint64(0x7FFFFFFFFFFFFFFF)) >> np.uint64(1) | key & np.uint64(1 << 63)
+                other = X.mix(grams)
+                typical = np.concatenate([[0], np.cumsum(key >> np.uint64(63))])
                 k1, k2 = np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64)
                 has = size > 0
                 if has.any():
-                    k1[has] = key[first[:-1][has]]
+                    k1[has] = np.minimum.reduceat(grams, first[:-1][has])
                     k2[has] = np.minimum.reduceat(other, first[:-1][has])
                 most = np.where(has, prefix_size(size, pct), 0)
                 rank = np.arange(len(own)) - np.repeat(first[:-1], size)
@@ -131,9 +137,10 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(kept))
                 words, at = parity_sketches(own, grams, len(t))
                 sketch = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words.view(np.int64)))
-                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix, sketch], names=["id", "row", "size", "digest", "key1", "key2", "prefix", "sketch"])
+                rare = 1000 - (typical[first[1:]] - typical[first[:-1]]).astype(np.int64) * 1000 // np.maximum(size, 1)
+                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(rare, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix, sketch], names=["id", "row", "rare", "size", "digest", "key1", "key2", "prefix", "sketch"])
 
-    return docs.mapInArrow(sign, "id long, row long, size long, digest binary, key1 long, key2 long, prefix array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "id long, row long, rare long, size long, digest binary, key1 long, key2 long, prefix array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -158,11 +165,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, pct: in
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part, text_a in X.slices(batch, "text_a"):
                 sides = []
-                for c in ("text_a", "text_b"):
-                    own, grams = shingles(X.texts_of(part.column(c)), n)
+                for t in (text_a, X.texts_of(part.column("text_b"))):
+                    own, grams = shingles(t, n)
                     sides.append((np.searchsorted(own, np.arange(part.num_rows + 1)), grams))
                 (fa, ga), (fb, gb) = sides
                 ok = []
@@ -182,15 +188,16 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     """
     signed = written(signatures(docs, n, pct), "jaccard-signed")
     # rows of one digest have one set, and so one size, keys, prefix and sketch
-    same = [F.first(c).alias(c) for c in ("size", "key1", "key2", "prefix", "sketch")]
+    same = [F.first(c).alias(c) for c in ("rare", "size", "key1", "key2", "prefix", "sketch")]
     per = signed.where("size > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("s"), *same)
-    sets = written(per.select("digest", "s.*", "size", "key1", "key2", "prefix", "sketch", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
+    sets = written(per.select("digest", "s.*", "rare", "size", "key1", "key2", "prefix", "sketch", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
 
-    # groups: sets with one least shingle, around the first of them that they link with
+    # groups: sets with one least shingle, around the most typical of them: among near copies of one
+    # text that is the text itself, or the least changed of them
     stars = []
     for key in ("key1", "key2"):
-        centre = sets.groupBy(key).agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b")
-        stars.append(sets.join(centre, key).where("uid > b").select(F.col("uid").alias("a"), "b"))
+        centre = written(sets.groupBy(key).agg(F.min(F.struct("rare", "uid"))["uid"].alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b"), "jaccard-centres")
+        stars.append(sets.join(centre, key).where("uid <> b").select(F.col("uid").alias("a"), "b"))
     near = written(verified(stars[0].unionByName(stars[1]), sets, docs, n, pct), "jaccard-near")
     grouped = written(components(near), "jaccard-groups")
 
@@ -200,6 +207,16 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     tokens = own.select("uid", "grp", "size", F.explode("prefix").alias("token"))
     tokens = tokens.withColumns({"low": F.min("grp").over(every), "high": F.max("grp").over(every)})
     tokens = written(tokens.where("low < high").select("token", "grp", "uid", "size"), "jaccard-tokens")
+    # groups that share a token are first tried by one set each, against the token's first: the parts
+    # of one large group of near copies become one group before any pair of groups is opened
+    stand = tokens.groupBy("token", "grp").agg(F.min("uid").alias("a"))
+    centre = written(tokens.groupBy("token").agg(F.min("uid").alias("b")), "jaccard-token-centres")
+    tried = stand.join(centre, "token").where("a <> b").select("a", "b")
+    near = written(near.unionByName(verified(tried, sets, docs, n, pct)), "jaccard-near")
+    grouped = written(components(near), "jaccard-groups")
+    tokens = tokens.select("token", "uid", "size").join(grouped.withColumnRenamed("node", "uid"), "uid", "left").withColumn("grp", F.coalesce("root", "uid"))
+    tokens = written(tokens.select("token", "grp", "uid", "size"), "jaccard-tokens")
+
     cells = written(tokens.groupBy("token", "grp").agg(F.min("size").alias("low"), F.max("size").alias("high")), "jaccard-matrix")
     x, y = cells.alias("x"), cells.alias("y")
     reach = (F.col("x.high") * 100 >= F.col("y.low") * pct) & (F.col("y.high") * 100 >= F.col("x.low") * pct)
