@@ -1,5 +1,6 @@
 """The stages of the corpus pipeline on small and odd input."""
 
+import random
 
 import corpus_pipeline
 
@@ -22,3 +23,31 @@ def test_stages(spark, nothing):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def brute_kept(texts, n, pct):
+    """Least id of each component of texts linked by word n-grams."""
+    sets = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= pct * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return set(root)
+
+
+def test_near_copies_at_five_words(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(80, 120))]
+        tail = [f"t{rng.randint(0, 400)}" for _ in range(len(base) // 5)]
+        block = [f"b{rng.randint(0, 400)}" for _ in range(5)]
+        apart = [f"c{i}" if i % 48 == 20 else w for i, w in enumerate(base)]
+        for ws in (base, base + tail, base[:40] + block + base[45:], apart, base + tail + tail[::-1]):
+            texts.append(" ".join(ws))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, df, SF).collect()}
+    assert got == brute_kept(texts, 5, 80)
+    assert got < brute_kept(texts, 4, 85)
