@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.operators import detect, repair, translate, words
@@ -196,12 +196,14 @@ QUERIES = {
 }
 
 
+def _halved(text: Column) -> Column:
+    """A split at the first space after 30 characters."""
+    return F.regexp_replace(text, r"^(.{30,}?) (.*)$", "$1\n$2")
+
+
 def _suggestions(s: SparkSession, d: str) -> DataFrame:
-    """A split at the last space of the texts that are over the limit when built word by word."""
-    w = X.document_words(s, d).where("word_ix < 40")
-    g = w.groupBy("media_id", "segment_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_ix", "text"))), lambda x: x["text"]), "").alias("t"))
-    cut = g.select("media_id", F.regexp_extract("t", r"^(.{81,}?)(?=\s|$)", 1).alias("text")).where("text <> ''")
-    return cut.select("media_id", "text", F.regexp_replace("text", r"^(.{30,}?) (.*)$", "$1\n$2").alias("response"))
+    """Splits of all texts that are over the limit when built word by word."""
+    return words.overlong_texts(_islands(s, d), LATIN, _halved).withColumn("response", _halved(F.col("text")))
 
 
 def _chunk_starts(s: SparkSession, d: str) -> DataFrame:
