@@ -10,7 +10,8 @@ share, so the words taken come near the target.
 
 Rows are numbered in cells (source, size, salt) of about ``cell_rows`` rows, so
 no source, and no common size, is sorted in one task; only the cells' counts are
-prefix-summed over a source. Sources themselves (one row each) are ranked in one
+prefix-summed over a source. Salts are ranges of the digest, so the numbers are
+the same for any ``cell_rows``. Sources themselves (one row each) are ranked in one
 window.
 
 Defined results: a null text has size 0; sources go by code point with null
@@ -75,7 +76,8 @@ def row_digest(id_: Column) -> Column:
 
 
 def salt_of(digest: Column, n_salts: Column) -> Column:
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n_salts)
+    """The range of digests, of ``n_salts`` equal ones, so that order by (salt, digest) is order by digest."""
+    return F.shiftrightunsigned(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * n_salts, 32)
 
 
 def cell_facts(light: DataFrame, weights: tuple[int, ...], max_repeat: int, cell_rows: int) -> DataFrame:

@@ -75,6 +75,13 @@ def test_mixing(spark):
             assert abs(taken[s] - want[s]) <= 130
 
 
+def test_mixing_same_rows_when_salted(spark):
+    rng = random.Random(14)
+    df = spark.createDataFrame([(i, " ".join(["w"] * rng.randint(0, 3)), rng.choice("abc")) for i in range(2000)], "doc_id long, text string, source string")
+    whole, salted = (sorted(map(tuple, mixing.mix_sizes(df, cell_rows=n).collect())) for n in (50_000, 20))
+    assert salted == whole
+
+
 def test_mixing_odd(odd, nothing):
     got = mixing.mix_sizes(odd).collect()
     assert len(got) == odd.count()
