@@ -157,15 +157,15 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = TRAIN_ROWS, max_languages: int = 200) -> Model:
-    """Fit on at most about ``rows_per_language`` rows of each language, chosen by a hash of the id."""
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = TRAIN_ROWS) -> Model:
+    """Fit on every language, each on at most about ``rows_per_language`` rows, chosen by a hash of the id."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col)).alias("h"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS + 1, 0), bool))
     languages = sorted(n)
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, rows_per_language / n[x]))) for x in languages])
-    rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, rows_per_language / n[x])) for x in languages], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

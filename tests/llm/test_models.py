@@ -142,3 +142,10 @@ def test_top_k_few(spark):
 def test_wide_products():
     big = np.array([[1 << 30, 3]], np.int64)
     assert topk.products(big, big)[0, 0] == (1 << 60) + 9
+
+
+def test_language_every_value_is_learned(spark):
+    rows = [(i, f"palabra{i % 210} wort{i % 210}", f"l{i % 210:03}") for i in range(420)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == sorted({r[2] for r in rows})
