@@ -1,6 +1,7 @@
 """Language of mixed-language text: script ranges, word scores, Viterbi.
 
-Training counts character trigrams of words (edges marked) by language in
+Words are runs of letters and their marks, cut where the script changes and, in
+scripts that leave no space between words, every ``CUT`` letters. Training counts character trigrams of words (edges marked) by language in
 hashed buckets, and letters by script and language. A word's score for a
 language is its trigrams' mean log probability times a capped length; languages
 never seen in the word's script are out, unless no language has that script
@@ -18,6 +19,7 @@ read.
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,12 +55,17 @@ SCRIPTS = (
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))),
 )
 N_SCRIPTS = len(SCRIPTS) + 1
+#: Scripts that leave no space between words, and letters of one piece of them.
+UNSPACED = ("thai", "kana", "han")
+CUT = 8
+#: Numbers held at a time while letters are summed over words.
+BLOCK = 1 << 22
 
 
 @functools.cache
 def script_table() -> np.ndarray:
-    """Script number of each code point: 0 no letter, 1.. as in SCRIPTS, last: any other letter."""
-    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    """Script number of each code point: 0 no letter, 1.. as in SCRIPTS, last: any other letter or mark."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000) | mark_table()
     out = np.where(letter, N_SCRIPTS, 0).astype(np.uint8)
     for k, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
@@ -66,6 +73,18 @@ def script_table() -> np.ndarray:
     return out
 
 
+@functools.cache
+def mark_table() -> np.ndarray:
+    """Marks that join the letter before them: vowel signs, accents."""
+    return np.fromiter((unicodedata.category(chr(c)) in ("Mn", "Mc") for c in range(0x110000)), bool, 0x110000)
+
+
+@functools.cache
+def unspaced_table() -> np.ndarray:
+    names = [name for name, _ in SCRIPTS]
+    return np.isin(np.arange(N_SCRIPTS + 1), [names.index(x) + 1 for x in UNSPACED])
+
+
 @dataclass
 class Scanned:
     """Letter runs of one string of code points."""
@@ -81,10 +100,21 @@ def scan(code: np.ndarray) -> Scanned:
     s = script_table()[code]
     w = X.runs_of(s > 0, np.array([0, len(code)]))
     at = np.flatnonzero(s > 0)
+    # cut runs where the script changes, and pieces of scripts without spaces
+    mark = mark_table()[code[at]]
+    fresh = np.zeros(len(at), bool)
+    first = np.searchsorted(at, w.starts)
+    fresh[first] = True
+    script = s[at][np.maximum.accumulate(np.where(~mark | fresh, np.arange(len(at)), 0))]
+    fresh[1:] |= script[1:] != script[:-1]
+    place = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    fresh |= unspaced_table()[script] & (place % CUT == 0)
+    starts = at[fresh]
+    ends = np.append(np.append(at, 0)[np.flatnonzero(fresh)[1:] - 1] + 1, at[-1:] + 1)
     padded = np.zeros(len(code) + 2, np.uint64)
     padded[1:-1][at] = code[at]
     h = X.mix(padded[at] * np.uint64(0x1F1F1F1F1F1F1F) + padded[at + 1] * np.uint64(0x9E3779B97F4A7C15) + padded[at + 2])
-    return Scanned(w.starts, w.ends, s[w.starts], (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(at, w.starts))
+    return Scanned(starts, ends, script[fresh], (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.flatnonzero(fresh))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -96,10 +126,12 @@ def pieces(code: np.ndarray, most: int = SLICE_CHARS) -> Iterator[tuple[int, np.
     at = 0
     while at < len(code):
         to = min(len(code), at + most)
-        step = 0
-        while to < len(code) and script_table()[code[to]] > 0 and step < most:
-            to += 1
-            step += 1
+        while to < len(code):
+            gap = np.flatnonzero(script_table()[code[to : to + most]] == 0)
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(len(code), to + most)
         yield at, code[at:to]
         at = to
 
@@ -114,7 +146,11 @@ class Model:
         """Words x languages."""
         if not len(s.starts) or not self.languages:
             return np.zeros((len(s.starts), len(self.languages)), np.float32)
-        total = np.add.reduceat(self.log_p[s.bucket], s.first, axis=0)
+        total = np.zeros((len(s.starts), len(self.languages)), np.float32)
+        step = max(1, BLOCK // len(self.languages))
+        for at in range(0, len(s.bucket), step):
+            a, b = np.searchsorted(s.first, at, "right") - 1, np.searchsorted(s.first, at + step, "left")
+            total[a:b] += np.add.reduceat(self.log_p[s.bucket[at : at + step]], np.maximum(s.first[a:b] - at, 0), axis=0)
         k = (s.ends - s.starts).astype(np.float32)[:, None]
         score = total / k * np.minimum(k, 8)
         ok = self.allowed[s.script]

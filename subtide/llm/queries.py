@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from subtide.llm import language_id, line_dedup, mixing, ngram_jaccard, packing, quality, substring_dedup, token_counts, topk, toxicity
 
 
+#: Lengths are counted with this public tokenizer.
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,6 +21,11 @@ def fold(id_: Column, n: int) -> Column:
     return F.crc32(id_.cast("string")) % n
 
 
+def held_out(id_: Column, n: int, rest: int) -> Column:
+    """Whether a row is kept from learning; a row without an id is in no fold that learns."""
+    return F.coalesce(fold(id_, n) == rest, F.lit(True)).alias("held_out")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -24,8 +33,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(fold(F.col("doc_id"), 5) != 0))
-    out = language_id.identify(docs, model, spans=False)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0), "lang_pred", "score", "n_spans", "spans")
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
@@ -37,13 +46,13 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity.score(docs, toxicity_model(spark, docs, sf_dir), spans=False)
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", "n_offending")
+    out = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", "n_offending", "offending")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return token_counts.token_counts(docs, TOKENIZER, limit=4096)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,138 +3,199 @@
 A text's sentences are its instances. A sentence has the probability
 ``sigmoid(bias + sum of its features' weights)``; a text that of any sentence,
 ``1 - prod(1 - p)``. Weights are trained on text labels alone. Features are
-words and their first four to six letters, lower-cased; those kept are the
-``features`` ones that texts of label 1 have relatively most often, counted over
-about ``LABEL_ROWS`` labelled rows at most (``sample_labels``), so only they
-travel to the trainer, with about ``train_rows`` of these rows at most. Both
-samples are chosen by hash of the id, label 0 and label 1 alike.
+words and their first four to six bytes, lower-cased, hashed into ``BUCKETS``;
+every bucket trains that texts of label 1 have clearly more often (``MIN_Z``, ``MIN_RATIO``),
+counted over about ``LABEL_ROWS`` labelled rows at most (``sample_labels``), with
+about ``train_rows`` of these rows at most. Both samples are chosen by hash of
+the id, label 0 and label 1 alike.
+
+Words are runs of letters (ASCII letters, and all beyond ASCII but common
+punctuation); a sentence goes from its first word to its last, and ends at
+``. ! ?``, their forms in other scripts, or a line end.
 
 Defined results: null and empty texts have the score of no sentence, 0; labels
-that are null do not train; without rows of both labels every score is 0; texts
-are read whole; repeated rows are scored alike; other columns are not read.
+that are null do not train, a repeated id has the highest of its labels, null
+ids have none; without rows of both labels every score is 0; texts are read
+whole, and a very long one is worked on by itself; repeated rows are scored
+alike; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 4_096
-#: The commonest features of label-1 texts, of which FEATURES are chosen.
-CANDIDATES = 65_536
+from subtide.llm import _text as X
+from subtide.llm._tables import forget, written
+
+#: Hashed features; the model has one weight for each.
+BUCKETS = 1 << 18
+#: Standard errors by which a feature must lead in label-1 texts to be trained, and times that it must be as frequent there.
+MIN_Z = 2.0
+MIN_RATIO = 2.0
 TRAIN_ROWS = 20_000
 #: Labelled rows that features are counted in at most, chosen by hash of the id; bounds the join's broadcast.
 LABEL_ROWS = 200_000
+#: Label-1 texts that a feature must stand in, or a third of them where they are few.
 MIN_TEXTS = 5
 PREFIXES = (4, 5, 6)
 EPOCHS = 500
 THRESHOLD = 0.7
 
-_word = re.compile(r"[^\W\d_]+")
-_sentence = re.compile(r"[^.!?\n]+")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?\n"]] = True
+#: Sentence ends beyond ASCII.
+_STOPS = tuple(c.encode() for c in "。！？।؟…")
 
 
 @dataclass
 class Model:
-    weight: dict[str, float] = field(default_factory=dict)
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
     bias: float = -30.0
 
-    def sentence(self, features: set[str]) -> float:
-        z = self.bias + sum(self.weight[f] for f in features)
-        return float(1 / (1 + np.exp(-z)))
-
-
-def features_of(words: list[str]) -> set[str]:
-    out = set(words)
-    for w in out.copy():
-        out.update(f"{w[:k]}*" for k in PREFIXES if len(w) > k)
-    return out
-
 
-def sentence_features(text: str, vocabulary) -> list[tuple[int, int, set[str]]]:
-    """(start, end, known features) of each sentence with a word."""
-    out = []
-    for s in _sentence.finditer(text):
-        words = _word.findall(s[0].lower())
-        if words:
-            known = {w for w in words if w in vocabulary}
-            for w in set(words):
-                for k in PREFIXES:
-                    if len(w) > k and (p := f"{w[:k]}*") in vocabulary:
-                        known.add(p)
-            out.append((s.start(), s.end(), known))
-    return out
-
-
-def _text_counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """(f, n): in how many texts each feature stands; only ``among``, if given."""
+@dataclass
+class Sentences:
+    """Sentences of a slice of texts, and the features that stand in each (not yet distinct)."""
+
+    text: np.ndarray  # the text that each sentence is of
+    start: np.ndarray  # first byte, and end
+    end: np.ndarray
+    sentence: np.ndarray  # for each feature
+    bucket: np.ndarray
+
+
+def lowered(column: pa.Array) -> X.Texts:
+    """Lower-case texts, code point by code point, so that places count alike."""
+    return X.texts_of(pc.utf8_lower(column.cast(pa.large_string())))
+
+
+def _marks(buf: np.ndarray, letter: np.ndarray, stop: np.ndarray) -> None:
+    """Take punctuation beyond ASCII out of the letters, and put sentence ends beyond ASCII to the stops."""
+    lead = np.flatnonzero((buf[:-1] >= 0xC2) & (buf[:-1] <= 0xEF))
+    one, two = buf[lead], buf[lead + 1]
+    short = lead[(one == 0xC2) | ((one == 0xD8) & (two == 0x9F))]
+    wide = lead[((one == 0xE2) & (two <= 0x81)) | ((one == 0xE3) & (two == 0x80)) | ((one == 0xEF) & (two == 0xBC)) | ((one == 0xE0) & (two == 0xA5))]
+    third = buf[np.minimum(wide + 2, len(buf) - 1)]
+    # of the last two blocks only marks, not letters
+    mark = (buf[wide] != 0xEF) & (buf[wide] != 0xE0) | (buf[wide] == 0xEF) & ((third <= 0x8F) | (third >= 0x9A) & (third <= 0xA0)) | (buf[wide] == 0xE0) & ((third == 0xA4) | (third == 0xA5))
+    wide = wide[mark]
+    for at, n in ((short, 2), (wide, 3)):
+        for k in range(n):
+            letter[np.minimum(at + k, len(buf) - 1)] = False
+    for s in _STOPS:
+        at = short if len(s) == 2 else wide
+        hit = np.ones(len(at), bool)
+        for k, b in enumerate(s):
+            hit &= buf[np.minimum(at + k, len(buf) - 1)] == b
+        stop[at[hit]] = True
+
+
+def sentences_of(t: X.Texts) -> Sentences:
+    letter, stop = _LETTER[t.buf], _STOP[t.buf]
+    if len(t.buf):
+        _marks(t.buf, letter, stop)
+    w = X.runs_of(letter, t.off)
+    owner, nth = w.owner(), np.cumsum(stop)[w.starts] if len(t.buf) else np.zeros(0, np.int64)
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1])
+    first = np.flatnonzero(fresh)
+    of_word = np.cumsum(fresh) - 1
+    last = np.append(first[1:], len(owner))[: len(first)] - 1
+    at, found = [of_word], [X.span_hashes(t.buf, w.starts, w.ends)]
+    for k in PREFIXES:
+        long = w.ends - w.starts > k
+        at.append(of_word[long])
+        found.append(X.mix(X.span_hashes(t.buf, w.starts[long], w.starts[long] + k) + np.uint64(k)))
+    bucket = (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return Sentences(owner[first], w.starts[first], w.ends[last], np.concatenate(at), bucket)
+
+
+def _distinct(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(owner * BUCKETS + bucket)
+    return both // BUCKETS, both % BUCKETS
+
+
+def _choose(rows: DataFrame, min_texts: int, min_z: float) -> np.ndarray:
+    """Buckets that lead in label-1 texts, by the log of the ratio of shares and how many texts say so."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                seen: Counter = Counter()
-                for text in batch.column(0).slice(at, 1000).to_pylist():
-                    own = features_of(_word.findall(text.lower()))
-                    seen.update(own if among is None else own & among)
-                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
-
-    return rows.select("text").mapInArrow(spread, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-
-def _choose(rows: DataFrame, features: int, min_texts: int) -> list[str]:
-    """Features by how far label 1 leads, weighed by how many texts say so."""
-    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(total) < 2:
-        return []
-    ones = _text_counts(rows.where("y = 1"), None).where(F.col("n") >= min_texts).orderBy(F.desc("n"), "f").limit(CANDIDATES).toArrow()
-    a = dict(zip(ones["f"].to_pylist(), ones["n"].to_pylist(), strict=True))
-    zeros = _text_counts(rows.where("y = 0"), frozenset(a)).toArrow()
-    b = dict(zip(zeros["f"].to_pylist(), zeros["n"].to_pylist(), strict=True))
-    gain = {f: float(np.log((n + 0.5) / total[1] * total[0] / (b.get(f, 0) + 0.5)) * np.sqrt(n)) for f, n in a.items()}
-    return sorted((f for f, g in gain.items() if g > 0), key=lambda f: (-gain[f], f))[:features]
-
-
-def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", rows: int = LABEL_ROWS) -> DataFrame:
-    """About ``rows`` of the labels at most, by a hash of the id."""
-    n = labels.count()
+            for part, _ in X.slices(batch, "text"):
+                y = part.column("y").to_numpy()
+                s = sentences_of(lowered(part.column("text")))
+                owner, bucket = _distinct(s.text[s.sentence], s.bucket)
+                np.add.at(seen, (y[owner], bucket), 1)
+                texts += np.bincount(y, minlength=2)
+        at = np.flatnonzero(seen.sum(0))
+        # the number of texts themselves goes under bucket -1
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(seen[0, at], texts[0])), pa.array(np.append(seen[1, at], texts[1]))], names=["f", "n0", "n1"])
+
+    table = rows.select("text", "y").mapInArrow(spread, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    f, n0, n1 = (table.column(c).to_numpy() for c in ("f", "n0", "n1"))
+    if not len(f):
+        return np.zeros(0, np.int64)
+    t0, t1 = int(n0[f < 0][0]), int(n1[f < 0][0])
+    if not t0 or not t1:
+        return np.zeros(0, np.int64)
+    lead = np.log((n1 + 0.5) / t1 * t0 / (n0 + 0.5))
+    return np.sort(f[(f >= 0) & (n1 >= min(min_texts, t1 / 3)) & (lead * np.sqrt(n1) >= min_z) & (lead >= np.log(MIN_RATIO))])
+
+
+def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", rows: int = LABEL_ROWS) -> DataFrame:
+    """(id, label): about ``rows`` of the labels at most, by a hash of the id, one for each id."""
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    n = one.count()
     if n <= rows:
-        return labels
-    return labels.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1_000_000)) < rows / n * 1_000_000)
+        return one
+    return one.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1_000_000)) < rows / n * 1_000_000)
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, train_rows: int = TRAIN_ROWS, min_texts: int = MIN_TEXTS) -> Model:
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, min_texts: int = MIN_TEXTS, min_z: float = MIN_Z) -> Model:
+    """Fit on labelled rows, which are read once and kept in the shared folder while it lasts."""
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
-    chosen = _choose(rows, features, min_texts)
-    if not chosen:
+    rows = written(rows, "toxicity-sample")
+    chosen = _choose(rows, min_texts, min_z)
+    if not len(chosen):
+        forget(rows)
         return Model()
-    number = {f: i for i, f in enumerate(chosen)}
-    n = rows.count()
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < min(1.0, train_rows / n) * 1_000_000)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    shared = labelled.sparkSession.sparkContext.broadcast(number)
+    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < min(1.0, train_rows / rows.count()) * 1_000_000)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, empty, known = [], [], []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = [f for _, _, f in sentence_features(text, number)]
-                ys.append(y)
-                empty.append(sum(not f for f in got))
-                known.append([sorted(number[x] for x in f) for f in got if f])
-            yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(empty, pa.int64()), pa.array(known, pa.list_(pa.list_(pa.int32())))], names=["y", "empty", "known"])
+            for part, _ in X.slices(batch, "text"):
+                s = sentences_of(lowered(part.column("text")))
+                known = shared.value[s.bucket]
+                at, feature = _distinct(s.sentence[known >= 0], known[known >= 0].astype(np.int64))
+                n_features = np.bincount(at, minlength=len(s.text))
+                has = n_features > 0
+                n = part.num_rows
+                sentences = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_features[has])]), pa.int32()), pa.array(feature, pa.int32()))
+                texts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(s.text[has], minlength=n))]), pa.int32()), sentences)
+                yield pa.record_batch([part.column("y"), pa.array(np.bincount(s.text[~has], minlength=n).astype(np.int64)), texts], names=["y", "empty", "known"])
 
     table = sample.select("text", "y").mapInArrow(bags, "y int, empty long, known array<array<int>>").toArrow()
+    forget(rows)
     if not table.num_rows:
         return Model()
     texts = table["known"].combine_chunks()
     sentences = texts.flatten()
     weight, bias = fit(table["y"].to_numpy(), table["empty"].to_numpy(), np.diff(texts.offsets), np.diff(sentences.offsets), sentences.flatten().to_numpy(), len(chosen))
-    return Model({f: float(w) for f, w in zip(chosen, weight, strict=True)}, float(bias))
+    every = np.zeros(BUCKETS, np.float32)
+    every[chosen] = weight
+    return Model(every, float(bias))
 
 
 def fit(y: np.ndarray, empty: np.ndarray, n_sentences: np.ndarray, n_features: np.ndarray, feat: np.ndarray, k: int, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -167,36 +228,34 @@ def fit(y: np.ndarray, empty: np.ndarray, n_sentences: np.ndarray, n_features: n
     return w, b
 
 
-def judged(text: str | None, m: Model, sentence_limit: float) -> tuple[float, int, list[dict]]:
-    """A text's score, its number of sentences, and those at or above the limit."""
-    got = sentence_features(text or "", m.weight)
-    none, hits = 0.0, []
-    floor = float(np.log1p(-m.sentence(set())))
-    for a, b, f in got:
-        if f:
-            p = min(m.sentence(f), 1 - 1e-12)
-            none += float(np.log1p(-p))
-            if p >= sentence_limit:
-                hits.append({"start": a, "end": b, "score": p})
-        else:
-            none += floor
-    return 1 - float(np.exp(none)), len(got), hits
-
-
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sentence_limit: float = 0.5, spans: bool = True) -> DataFrame:
-    """(id, score, n_sentences, n_offending[, offending]): offending sentences as (start, end, score) in code points."""
+def judged(t: X.Texts, m: Model) -> tuple[np.ndarray, Sentences, np.ndarray]:
+    """(score of each text, its sentences, probability of each sentence)."""
+    s = sentences_of(t)
+    known = m.weight[s.bucket] != 0
+    at, bucket = _distinct(s.sentence[known], s.bucket[known])
+    z = m.bias + np.bincount(at, weights=m.weight[bucket], minlength=len(s.text))
+    p = np.minimum(1 / (1 + np.exp(-z)), 1 - 1e-12)
+    return 1 - np.exp(np.bincount(s.text, weights=np.log1p(-p), minlength=len(t))), s, p
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sentence_limit: float = 0.5) -> DataFrame:
+    """(id, score, n_sentences, n_offending, offending): offending sentences as (start, end, score) in code points."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, score double, n_sentences int, n_offending int" + (", offending array<struct<start: long, end: long, score: double>>" if spans else "")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, score double, n_sentences int, n_offending int, offending array<struct<start: long, end: long, score: double>>"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [judged(x, shared.value, sentence_limit) for x in part.column(1).to_pylist()]
-                out = [part.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int32()), pa.array([len(x[2]) for x in got], pa.int32())]
-                yield pa.record_batch(out + ([pa.array([x[2] for x in got], found)] if spans else []), names=["id", "score", "n_sentences", "n_offending"] + ["offending"] * spans)
+            for part, _ in X.slices(batch, "text"):
+                t = lowered(part.column("text"))
+                got, s, p = judged(t, shared.value)
+                hit = p >= sentence_limit
+                points = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
+                base = points[t.off[s.text[hit]]]
+                n = np.bincount(s.text[hit], minlength=len(t))
+                places = pa.StructArray.from_arrays([pa.array(points[s.start[hit]] - base, pa.int64()), pa.array(points[s.end[hit]] - base, pa.int64()), pa.array(p[hit])], names=["start", "end", "score"])
+                found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), places)
+                yield pa.record_batch([part.column(0), pa.array(got), pa.array(np.bincount(s.text, minlength=len(t)), pa.int32()), pa.array(n, pa.int32()), found], names=["id", "score", "n_sentences", "n_offending", "offending"])
 
     return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
 
@@ -204,13 +263,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def clean_rows(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                keep = [judged(x, shared.value, 1.0)[0] < threshold for x in part.column(at).cast(pa.string()).to_pylist()]
-                yield part.filter(pa.array(keep, pa.bool_()))
+            for part, _ in X.slices(batch, text_col):
+                yield part.filter(pa.array(judged(lowered(part.column(text_col)), shared.value)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from subtide.llm import language_id, queries, topk, toxicity
@@ -149,3 +150,51 @@ def test_language_every_value_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(df)
     assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_language_marks_and_unspaced(spark):
+    hindi = "नमस्ते दुनिया यह हिन्दी वाक्य"
+    assert len(language_id.scan(language_id.code_points(hindi)).starts) == 5
+    mixed = "日本語のテキストとEnglish"
+    s = language_id.scan(language_id.code_points(mixed))
+    assert len(set(s.script.tolist())) == 3 and (s.ends - s.starts).max() <= language_id.CUT
+    assert (s.starts[1:] >= s.ends[:-1]).all() and s.ends[-1] == len(mixed)
+
+
+def test_language_long_run(spark):
+    """One run of 5 million letters stays one word, with the score of one sum."""
+    model = language_id.train(queries.table(spark, SF, "documents"))
+    text = "abcdefghij" * 500_000
+    code = language_id.code_points(text)
+    assert len(list(language_id.pieces(code))) == 1
+    s = language_id.scan(code)
+    assert len(s.starts) == 1
+    got = model.word_scores(s)[0]
+    mean = model.log_p[s.bucket].astype(np.float64).mean(0) * 8
+    assert np.allclose(got, mean - mean.max(), atol=1e-2)
+
+
+def test_noisy_or_by_hand(spark, odd):
+    """Scores and offending sentences are those of a plain reckoning with the model's weights."""
+    import re
+
+    rows = [(i, f"aa bb. {'grumf cc' if i % 3 == 0 else 'dd ee'}! bb cc", int(i % 3 == 0)) for i in range(120)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    text = "Aa GRUMF cc. bb\ncc dd? grumf grumf 12 ee"
+
+    def bucket(word, k=None):
+        t = toxicity.lowered(pa.array([word]))
+        s = toxicity.sentences_of(t)
+        return s.bucket.tolist()
+
+    none, want = 1.0, []
+    for m in re.finditer(r"[^.!?\n]+", text):
+        features = {b for w in re.findall("[a-zA-Z]+", m[0]) for b in bucket(w)}
+        p = 1 / (1 + np.exp(-(model.bias + sum(float(model.weight[b]) for b in features))))
+        none *= 1 - p
+        if p >= 0.5:
+            want.append((text.index(m[0].strip()), round(p, 6)))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = toxicity.score(df, model).first()
+    assert abs(r.score - (1 - none)) < 1e-6 and r.n_sentences == 4
+    assert [(s.start, round(s.score, 6)) for s in r.offending] == want and len(want) == 2
