@@ -3,10 +3,13 @@
 Texts up to ``chunk_chars`` go to the tokenizer library as they are. A longer
 text is cut into overlapping chunks; each chunk is encoded with offsets and two
 neighbours are spliced at a token boundary that both encodings have and that is
-proven stable: the two characters beside it never stand next to each other
-inside a vocabulary piece, so no merge crosses it whatever stands around. Where
-an overlap has no such boundary it is widened, up to the whole text, so counts
-are always those of one whole encoding.
+proven stable. For a sentencepiece model that leaves characters as they are, that
+is any place whose two characters never stand next to each other inside a
+vocabulary piece, so no merge crosses it whatever stands around; for others, a
+space between letters or digits, if the tokenizer is known to split there before
+it merges. The overlap reaches back to such a place; where a stretch has none it
+grows to twice its length, up to the whole text. So counts are always those of
+one whole encoding, and the work is in proportion to the text.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
 give repeated rows; an empty table gives an empty table; other columns of the
@@ -15,6 +18,7 @@ input are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,28 +26,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subtide.llm import _text as X
+
 CHUNK_CHARS = 40_000
 OVERLAP_CHARS = 400
 
 
+#: Pre-tokenizers that always split at a space between letters or digits. Byte-level ones do if they use their pattern.
+SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer", "Metaspace", "ByteLevel"}
+
+
 class Tokenizer:
-    """One public tokenizer file: ``encode`` counts, ``spans`` gives token ends."""
+    """One public tokenizer file: ``counts`` tokens of texts, ``ends`` where they end."""
 
     def __init__(self, path: str):
         self.path = path
         if path.endswith(".model"):
             import sentencepiece
+            from sentencepiece import sentencepiece_model_pb2
 
             self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))]
             self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+            model = sentencepiece_model_pb2.ModelProto()
+            model.ParseFromString(self.sp.serialized_model_proto())
+            rules = model.normalizer_spec
+            self.as_is = rules.name == "identity" and not rules.precompiled_charsmap and not rules.remove_extra_whitespaces
+            self.splits = True
         else:
             from tokenizers import Tokenizer as Hf
 
             self.hf = Hf.from_file(path)
             self.hf.no_padding()
             self.hf.no_truncation()
-            self.inside = None
+            self.inside, self.as_is = set(), False
+            with open(path, encoding="utf-8") as f:
+                first = json.load(f).get("pre_tokenizer") or {}
+            parts = first.get("pretokenizers", [first])
+            self.splits = any(x.get("type") in SPLITTERS and x.get("use_regex", True) for x in parts)
 
     def counts(self, texts: list[str]) -> list[int]:
         if hasattr(self, "sp"):
@@ -57,10 +77,13 @@ class Tokenizer:
         return [b for _, b in self.hf.encode(text, add_special_tokens=False).offsets]
 
     def stable(self, text: str, p: int) -> bool:
-        """No token of any encoding crosses p: a plain word ends and a single space begins the next."""
-        if not (0 < p < len(text) - 1 and text[p] == " " and text[p - 1].isalnum() and text[p + 1].isalnum()):
+        """No token of any encoding crosses p."""
+        if not 0 < p < len(text) - 1:
             return False
-        return self.inside is None or text[p - 1] + "▁" not in self.inside
+        if self.as_is:
+            return text[p - 1 : p + 1].replace(" ", "▁") not in self.inside
+        # a plain word ends and a single space begins the next
+        return self.splits and text[p] == " " and text[p - 1].isalnum() and text[p + 1].isalnum() and text[p - 1] + "▁" not in self.inside
 
 
 @lru_cache(maxsize=4)
@@ -88,18 +111,19 @@ def count_long(tok: Tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int
     a, b = 0, chunk
     ends, skip, total = tok.ends(text[:b]), 0, 0
     while b < n:
-        wide, found = overlap, None
-        to = min(n, b + chunk)
-        while found is None:
-            start = max(a, b - wide)
-            if start <= a:  # no stable boundary in the chunk: encode both as one
-                break
+        found = None
+        place = next((p for p in range(b - 1, a, -1) if tok.stable(text, p)), None)
+        to = min(n, b + max(chunk, b - a if place is None else 0))
+        wide = overlap + b - (place or b)
+        while place is not None and found is None and b - wide > a:
+            start = b - wide
             nxt = tok.ends(text[start:to])
             found = splice(tok, text, (a, ends), (start, nxt))
             if found is not None and found[1] < skip:
                 found = None
             wide *= 2
-        if found is None:
+        if found is None:  # no stable boundary in the stretch: one encoding goes on over the next, as long again
+            to = min(n, b + max(chunk, b - a))
             ends = tok.ends(text[a:to])
         else:
             total += found[1] - skip
@@ -108,6 +132,28 @@ def count_long(tok: Tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int
     return total + len(ends) - skip
 
 
+def cut_pieces(tok: Tokenizer, text: str, most: int, chunk: int = CHUNK_CHARS) -> list[tuple[str, int]]:
+    """(part, tokens): the text in parts of at most ``most`` tokens each, cut before white space where a part has some."""
+    out, a = [], 0
+    while a < len(text):
+        part = text[a : a + chunk]
+        ends = tok.ends(part)
+        if len(ends) > most:
+            part = _before_space(part, ends[most - 1])
+        k = tok.counts([part])[0]
+        while k > most and len(part) > 1:  # a part by itself may have more tokens than in its place
+            part = _before_space(part, len(part) - max(1, len(part) * (k - most) // k))
+            k = tok.counts([part])[0]
+        out.append((part, k))
+        a += len(part)
+    return out
+
+
+def _before_space(text: str, end: int) -> str:
+    at = max(text.rfind(" ", 1, end), text.rfind("\n", 1, end))
+    return text[: at if at > 0 else max(end, 1)]
+
+
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, n_chunked) of every text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -115,8 +161,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _ in X.slices(batch, "text"):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 short = [i for i, x in enumerate(texts) if len(x) <= chunk_chars]
                 n = [0] * len(texts)

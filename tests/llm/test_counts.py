@@ -157,3 +157,67 @@ def test_quality_lines(spark):
 def test_queries_run(spark):
     for name in ("op1_best_fit_packing", "op4_token_counts", "op8_source_mixing", "op9_quality_rules"):
         assert queries.QUERIES[name](spark, SF).count() >= 200
+
+
+def plain_pack(lengths, caps, charge):
+    """Best fit, longest first, by looking at every bin: (bin contents, final capacity), as a sorted list."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins = []
+    for at, i in enumerate(order):
+        k = lengths[i]
+        open_bins = [b for b in bins if b["size"] - b["used"] >= k and (b["size"] > b["used"])]
+        if open_bins:
+            b = min(open_bins, key=lambda b: (b["size"] - b["used"], b["nth"]))
+        else:
+            def price(c, at=at, k=k):
+                rest = sum(lengths[j] for j in order[at + 1 :] if lengths[j] <= c - k)
+                return (c + charge) / max(k + min(c - k, rest), 1)
+
+            b = {"size": min((c for c in sorted(caps) if c >= k), key=price), "used": 0, "items": [], "nth": len(bins)}
+            bins.append(b)
+        b["items"].append(k)
+        b["used"] += k
+    return sorted((b["items"], min(c for c in caps if c >= b["used"])) for b in bins)
+
+
+def test_pack_against_plain():
+    rng = random.Random(14)
+    for _ in range(60):
+        lengths = [rng.choice([rng.randint(0, 16), rng.randint(1, 64)]) for _ in range(rng.randint(1, 60))]
+        b, offset, cap = packing.pack(np.array(lengths, np.int64), (8, 16, 32, 64), 2.0)
+        got = defaultdict(list)
+        for i in np.lexsort((offset, b)):
+            got[b[i]].append(int(i))
+        found = sorted(([lengths[i] for i in sorted(items, key=lambda i: (-lengths[i], i))], int(cap[items[0]])) for items in got.values())
+        assert found == plain_pack(lengths, (8, 16, 32, 64), 2.0)
+
+
+def test_packed_texts_round_trip(odd, nothing):
+    tok = token_counts.tokenizer(MODEL)
+    got = packing.pack_texts(odd, MODEL, capacities=(64, 512), shard_pieces=7).collect()
+    texts, bins = defaultdict(dict), defaultdict(list)
+    for r in got:
+        texts[(r.doc_id, r.row)][r.piece] = r.text
+        bins[(r.shard, r.bin)].append((r.bin_offset, r.length, r.capacity))
+        assert r.length == tok.counts([r.text or ""])[0] <= r.capacity
+    back = Counter((i, None if x == {0: None} else "".join(x[k] for k in sorted(x))) for (i, _), x in texts.items())
+    assert back == Counter((r.doc_id, r.text) for r in odd.collect())
+    for items in bins.values():
+        items.sort()
+        assert [o for o, _, _ in items] == [sum(n for _, n, _ in items[:k]) for k in range(len(items))]
+        assert sum(n for _, n, _ in items) <= items[0][2]
+    assert packing.pack_texts(nothing, MODEL).count() == 0
+
+
+def test_long_counts_in_proportion():
+    """Texts without spaces, or without any stable place, take a few times the time of one encoding at most."""
+    import time
+
+    tok = token_counts.tokenizer(MODEL)
+    rng = random.Random(15)
+    for text in ("\n".join(f"line {rng.randint(0, 999)}" for _ in range(60_000)), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(400_000)), "ab" * 200_000):
+        began = time.perf_counter()
+        want = tok.counts([text])[0]
+        whole = time.perf_counter() - began
+        assert token_counts.count_long(tok, text) == want
+        assert time.perf_counter() - began - whole < 12 * whole + 2

@@ -25,6 +25,24 @@ def test_stages(spark, nothing):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empties, copies, long texts and clashing columns pass each stage; packed pieces give the texts back."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        if name in ("toxicity", "line_dedup"):
+            assert sum(not (r.text or "").strip() for r in rows) == 4
+        docs = spark.createDataFrame(rows, out.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    texts = {}
+    for r in packed:
+        texts.setdefault((r.doc_id, r.row), {})[r.piece] = r.text
+    back = sorted((str(i), "".join(x[k] or "" for k in sorted(x))) for (i, _), x in texts.items())
+    assert back == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+
+
 def brute_kept(texts, n, pct):
     """Least id of each component of texts linked by word n-grams."""
     sets = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in texts]
