@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm._tables import written
+from subtide.llm._tables import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         # every edge points at a root once no node has two targets and no target is a source
         split = nxt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
         chain = nxt.select("b").join(nxt.select(F.col("a").alias("b")), "b", "left_semi")
+        done = split.isEmpty() and chain.isEmpty()
+        forget(e)
         e = nxt
-        if split.isEmpty() and chain.isEmpty():
+        if done:
             break
     roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs in one JVM, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -28,9 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, most: int) -> bool:
-    """Whether a written table is small enough to broadcast (counted, never assumed)."""
-    return df.count() <= most
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fits(df: DataFrame, most: int, weight: Column | None = None) -> bool:
+    """Whether a written table is small enough to broadcast: its rows, or the weights of its rows, are summed."""
+    if weight is None:
+        return df.count() <= most
+    return (df.agg(F.sum(weight).alias("n")).first()["n"] or 0) <= most
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -35,17 +35,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE = _SEEDS[:256] | np.uint64(1)
 _PLACE = _SEEDS[256:] | np.uint64(1)
-_R = 0x9E3779B97F4A7C15 | 1
+#: Bases of two independent hashes.
+_R = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers; those that a common slice needs are kept, longer ones are made anew."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         p = np.full(max(n, 1 << 16), base & 0xFFFFFFFFFFFFFFFF, np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if n <= 4 * SLICE_BYTES:
+        if n <= SLICE_BYTES + 1:
             _powers[base] = have
     return have[:n]
 
@@ -120,11 +122,11 @@ def words_of(t: Texts) -> Words:
     return runs_of(~IS_SPACE[t.buf], t.off)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, independent of where the span stands."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, independent of where the span stands; ``which`` of two."""
     acc = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power(_R, len(buf)), out=acc[1:])
-    back = _power(pow(_R, -1, 1 << 64), len(buf) + 1)
+    np.cumsum((_BYTE[buf] ^ np.uint64(which << 40)) * _power(_R[which], len(buf)), out=acc[1:])
+    back = _power(pow(_R[which], -1, 1 << 64), len(buf) + 1)
     return mix((acc[ends] - acc[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -5,19 +5,19 @@ nothing running from one text into the next. Prefix doubling sorts its suffixes:
 ranks by the first line, then by 2, 4, 8 ... lines, each round from the pairs
 (rank here, rank so many lines on), ranked anew over all distinct pairs in range
 partitions with prefix-summed counts. Suffixes that are alone under their rank
-share no more lines with any other and leave the array. Suffixes with one rank
-at depth h are a longest-common-prefix interval: runs of h lines that occur
-together. The least position of the interval is the first copy; the others are
-later copies. Consecutive positions in such intervals make maximal repeated
-runs, whose lines go.
-
-A run counts from ``min_lines`` lines (a power of two; a run of any greater
-length is a chain of overlapping ones of that length), or, for a single line,
-from ``long_line_words`` words. Rounds stop at that depth: deeper order cannot
-change which lines go. Lines without a word neither make nor break equality:
-they are left out of the sequence, and stay.
-
-Rows hold 64-bit ranks and positions only; texts move once, at the end, and only
+share no more lines with any other and leave the array; doubling ends when none
+is left. Suffixes with one rank at a depth are a longest-common-prefix interval:
+runs of so many lines that occur together. The least position of the interval is
+the first copy; the others are later copies. Each suffix counts in its deepest
+interval. Later copies at consecutive positions whose first copies are
+consecutive too make one maximal repeated run; the lines of these runs go.
+
+A run counts from ``min_lines`` lines (a power of two), or, for a single line,
+from ``long_line_words`` words. Lines without a word neither make nor break
+equality: they are left out of the sequence, and stay. Lines are equal if their
+128-bit ids are.
+
+Rows hold ids, ranks and positions only; texts move once, at the end, and only
 beside the spans to delete.
 
 Defined results: the first copy is the one with the least (id, position), rows
@@ -25,8 +25,9 @@ with null ids last, then by text hash; equal ids with different texts are
 different texts; repeated rows are equal texts of one id, of which neither is
 the later one, so they lose the same lines; null texts stay null, empty texts
 stay empty; a text of which every worded line goes becomes empty (``emptied``);
-ties cannot arise; an empty table gives an empty table; other columns are kept
-by ``dedup_rows`` and never read.
+ties cannot arise; ids are whole numbers (others raise an error on the cast); an
+empty table gives an empty table; other columns are kept by ``dedup_rows`` and
+never read.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subtide.llm import _text as X
-from subtide.llm._tables import fits, unused, written
+from subtide.llm._tables import fits, forget, unused, written
 
 MIN_LINES = 2
 LONG_LINE_WORDS = 50
-BROADCAST_ROWS = 250_000
+#: Rows and spans of a table that is broadcast at most; above, it is shuffled.
+BROADCAST_SPANS = 250_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -59,7 +61,7 @@ def worded_lines(t: X.Texts) -> tuple[X.Words, np.ndarray]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(id, row, pos, line, words): one row for each worded line; ``line`` is its 64-bit id."""
+    """(id, row, pos, line1, line2, words): one row for each worded line; both ``line`` columns are its 128-bit id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,68 +70,91 @@ def line_table(docs: DataFrame) -> DataFrame:
                 owner = lines.owner()
                 ids, rows = (part.column(c).to_numpy()[owner] for c in ("id", "row"))
                 pos = np.arange(len(owner)) - lines.first[owner]
-                h = X.span_hashes(t.buf, lines.starts, lines.ends)
-                yield pa.record_batch([pa.array(ids), pa.array(rows), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(k, pa.int32())], names=["id", "row", "pos", "line", "words"])
+                both = [X.span_hashes(t.buf, lines.starts, lines.ends, which).view(np.int64) for which in (0, 1)]
+                yield pa.record_batch([pa.array(ids), pa.array(rows), pa.array(pos, pa.int32()), pa.array(both[0]), pa.array(both[1]), pa.array(k, pa.int32())], names=["id", "row", "pos", "line1", "line2", "words"])
 
-    return docs.mapInArrow(cut, "id long, row long, pos int, line long, words int")
+    return docs.mapInArrow(cut, "id long, row long, pos int, line1 long, line2 long, words int")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """(r1, r2, rank) of the distinct pairs that occur twice: rank in order of (r1, r2), from 1, without gaps."""
+    spark = pairs.sparkSession
     several = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r1", "r2")
-    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = written(several.repartitionByRange(parts, "r1", "r2").withColumn("part", F.spark_partition_id()), "lines-pairs")
-    # one row a partition comes to the driver
+    # one row a partition comes to the driver, and goes back as a table of prefix sums
     counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
+    before, total = [], 0
     for part, n in counts:
-        before[part] = total
+        before.append((part, total))
         total += n
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    sums = spark.createDataFrame(before, "part int, before long")
     number = F.row_number().over(Window.partitionBy("part").orderBy("r1", "r2"))
-    return placed.select("r1", "r2", (number + offset[F.col("part")]).cast("long").alias("rank"))
+    return placed.withColumn("at", number).join(F.broadcast(sums), "part").select("r1", "r2", (F.col("at") + F.col("before")).alias("rank"))
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
-    """(id, row, spans, n_lines): spans (first worded line, end) of repeated runs to delete."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
+def intervals(docs: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(depth, suffixes in intervals of that depth) for 1, 2, 4 ... lines, until no two suffixes agree.
+
+    Suffixes are (id, row, pos, rank); at depth 1 with the ``words`` of the line.
+    """
     lines = written(line_table(docs).distinct(), "lines")
-    # depth 1: ranks of line ids that occur twice
-    single = lines.select(F.col("line").alias("r1"), F.lit(0).cast("long").alias("r2"))
-    rank = written(ranked(single), "lines-rank")
-    array = written(lines.join(rank.select(F.col("r1").alias("line"), "rank"), "line").select("id", "row", "pos", "rank", "words"), "lines-array")
-    found = _later(array.where(F.col("words") >= long_line_words), 1)
-    depth = 1
-    while depth < min_lines:
+    rank = written(ranked(lines.select(F.col("line1").alias("r1"), F.col("line2").alias("r2"))), "lines-rank")
+    array = lines.join(rank.toDF("line1", "line2", "rank"), ["line1", "line2"]).select("id", "row", "pos", "rank", "words")
+    array, depth, out = written(array, "lines-array"), 1, []
+    forget(lines, rank)
+    while not array.isEmpty():
+        out.append((depth, array))
         # the rank so many lines on in the same text; without one, the suffix is alone
         on = array.select("id", "row", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("r2"))
-        pairs = array.select("id", "row", "pos", F.col("rank").alias("r1")).join(on, ["id", "row", "pos"])
-        pairs = written(pairs, "lines-doubling")
+        pairs = written(array.select("id", "row", "pos", F.col("rank").alias("r1")).join(on, ["id", "row", "pos"]), "lines-doubling")
         rank = written(ranked(pairs.select("r1", "r2")), "lines-rank")
-        array = written(pairs.join(rank, ["r1", "r2"]).select("id", "row", "pos", "rank"), "lines-array")
-        depth *= 2
-    found = found.unionByName(_later(array, depth))
-    # consecutive positions chain into maximal runs
-    spans = found.groupBy("id", "row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
-    grown = F.aggregate(
-        "s",
-        F.expr("cast(array() as array<struct<a: int, b: int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return spans.select("id", "row", grown.alias("spans"))
-
-
-def _later(array: DataFrame, depth: int) -> DataFrame:
-    """(id, row, a, b) of the suffixes whose interval at this depth has an earlier text or place."""
+        array, depth = written(pairs.join(rank, ["r1", "r2"]).select("id", "row", "pos", "rank"), "lines-array"), depth * 2
+        forget(pairs, rank)
+    return out
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
+    """(id, row, a, b, first_id, first_row, first_a): worded lines a to b (b not included) repeat those from first_a on of the first copy."""
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two")
+    levels, found = intervals(docs), []
     at = F.struct("id", "row", "pos")
-    # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
-    first = written(array.groupBy("rank").agg(F.min(at).alias("first")), "lines-first")
-    later = array.join(first, "rank").where(at != F.col("first"))
-    return later.select("id", "row", F.col("pos").alias("a"), (F.col("pos") + depth).alias("b"))
+    for depth, array in levels:
+        if depth > 1 and depth < min_lines:
+            continue
+        if depth < min_lines:
+            array = array.where(F.col("words") >= long_line_words)
+        # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+        first = written(array.groupBy("rank").agg(F.min(at).alias("f")), "lines-first")
+        later = array.join(first, "rank").where(at != F.col("f"))
+        found.append(written(later.select("id", "row", "pos", F.struct(F.lit(depth).alias("depth"), "f").alias("hit")), "lines-later"))
+        forget(first)
+    if not found:
+        return docs.sparkSession.createDataFrame([], "id long, row long, a int, b int, first_id long, first_row long, first_a int")
+    union = found[0]
+    for x in found[1:]:
+        union = union.unionByName(x)
+    # each suffix in its deepest interval; neighbours with neighbouring first copies are one run
+    deepest = union.groupBy("id", "row", "pos").agg(F.max("hit").alias("hit")).select("id", "row", "pos", "hit.depth", F.col("hit.f.id").alias("first_id"), F.col("hit.f.row").alias("first_row"), F.col("hit.f.pos").alias("first_pos"))
+    same = Window.partitionBy("id", "row", "first_id", "first_row", F.col("first_pos") - F.col("pos")).orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("depth")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("pos") <= reach, 0).otherwise(1)
+    runs = deepest.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(same)).withColumn("ahead", F.col("first_pos") - F.col("pos"))
+    runs = runs.groupBy("id", "row", "first_id", "first_row", "ahead", "nth").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("depth")).alias("b"), F.min("first_pos").alias("first_a"))
+    runs = written(runs.select("id", "row", "a", "b", "first_id", "first_row", "first_a"), "lines-runs")
+    forget(*found, *[array for _, array in levels])
+    return runs
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
+    """(id, row, spans): spans (first worded line, end) of repeated runs to delete, apart and in order."""
+    runs = repeated_runs(docs, min_lines, long_line_words).select("id", "row", "a", "b").distinct()
+    w = Window.partitionBy("id", "row").orderBy("a", "b")
+    fresh = F.when(F.col("a") <= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    runs = runs.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(w))
+    spans = runs.groupBy("id", "row", "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def _without(text: str, spans: list[dict]) -> tuple[str, int, int]:
@@ -156,7 +181,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, min_lines: int, long_li
     light = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     spans = written(later_copies(light, min_lines, long_line_words), "lines-spans")
     side = spans.toDF(*names)
-    side = F.broadcast(side) if fits(spans, BROADCAST_ROWS) else side
+    side = F.broadcast(side) if fits(spans, BROADCAST_SPANS, 1 + F.size("spans")) else side
     return rows.join(side, names[:2], "left"), names
 
 
@@ -167,8 +192,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part, _ in X.slices(batch, "text"):
                 out = [(x, 0, 0) if not s else _without(x, s) for x, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 empty = [n > 0 and not x.encode().split() for x, n, _ in out]
                 yield pa.record_batch([part.column(0), pa.array([x for x, _, _ in out], pa.string()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array(empty, pa.bool_())], names=["id", "text", "n_lines_removed", "n_words_removed", "emptied"])
@@ -185,8 +209,7 @@ def dedup_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part, _ in X.slices(batch, text_col):
                 out = [(x, 0, 0) if not s else _without(x, s) for x, s in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist(), strict=True)]
                 keep = pa.array([n == 0 or bool(x.encode().split()) for x, n, _ in out], pa.bool_())
                 cols = part.columns[: len(columns)]
