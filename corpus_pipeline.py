@@ -4,9 +4,17 @@ Stages, each over all rows that the one before kept, written as Parquet in
 between: toxic documents go; later copies of line runs are cut (a document that
 loses every line goes); of near-duplicate documents (a Jaccard of 0.8 over five
 words, where op10 has 0.85 over four) one stays; sources are mixed
-to their target weights, with repeats; the result is packed into bins. All but
-the last return the columns of ``documents``; the last returns one row for each
-packed piece. Empty input gives empty output at each stage.
+to their target weights, with repeats; the result is packed into sequences. All
+but the last return the columns of ``documents``; the last returns one row for
+each packed piece with its text, so that a sequence is the texts of its bin by
+``bin_offset``, and a ``row`` that tells copies of one document apart.
+
+Defined results: texts that are null or have no word pass the first three stages
+as they are (no score, no lines, an empty set), and mixing leaves them out or in
+with size 0; rows with null ids and repeated rows are rows like others, but that
+one of several equal texts stays; texts of any length are read whole; ties go by
+id, then by text hash; further columns pass through all stages but the last,
+whatever their names; empty input gives empty output at each stage.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_texts(docs, queries.TOKENIZER)
 
 
 STAGES = [
