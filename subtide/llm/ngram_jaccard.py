@@ -1,19 +1,20 @@
 """Exact Jaccard join of word n-gram sets through a token-group matrix.
 
-Equal sets are one set with members. Similar sets are put into groups: sets with
-the same least shingle (by two orders) are compared with one of them, and
-those that link form a group; groups that share a token are tried by one set
-each and may join. Each group stores the union of its sets' prefix
-tokens as rows (token, group) of the matrix: a set's prefix is its first
-``size - ceil(t * size) + 1`` shingles in one order of all shingles, common ones
-last, and two linked sets share a token of both prefixes. So a pair of groups
-qualifies only if their rows share a token, with sizes that can reach the
-threshold; every other pair is bounded below it without being opened. Qualifying
-pairs are opened: of their sets that share a prefix token and can reach the
-threshold by size, the difference of two sets is bounded from below by parity
-sketches (bits that an odd number of a set's shingles hash to: differing bits
-are at most differing shingles), and those still in question are compared on
-whole texts.
+Equal sets are one set with members. A set's shingles that no other set has
+bound what it can share, so sets with too few shared ones leave first: by an
+extended prefix of all sets, then by all shingles of those that remain. The
+shared shingles are then ordered, rarest first.
+
+Sets that share a rare shingle are compared with the most typical of them, and
+those that link form a group. The matrix has a row for each (token, group). A set
+and a group that is not its own meet if the set's first shared tokens and the
+group's share one, at sizes that can reach the threshold. For each such meeting
+the tokens of the set in the group's union (the tokens of the group's centre, and
+those of its other sets that the centre lacks) are counted: that bounds its
+overlap with any set of the group, and only groups whose bound reaches the
+threshold are opened. In an opened group a set meets the members that it can reach within
+the group's centre, and those with which it shares a token outside of the centre;
+these pairs are compared exactly.
 
 Links are between different sets; a group of thousands of near copies is a star
 around one set and a few rows in the matrix, not all its pairs.
@@ -22,7 +23,8 @@ Defined results: texts that are null or without words have an empty set and
 link with nothing, not even each other; a text of fewer than ``n`` words has its
 word sequence as its one shingle; equal texts, and repeated rows, link; rows
 with null ids take part and get the least id of their component, null if it has
-none; an empty table gives an empty table; other columns are not read.
+none; ids are whole numbers (others raise an error on the cast); shingles are
+64-bit hashes; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from subtide.llm import _text as X
 from subtide.llm._graph import components
-from subtide.llm._hot import common_grams, tried_last
-from subtide.llm._tables import fits, unused, written
+from subtide.llm._tables import fits, forget, unused, written
 
 #: Rows of a table that is broadcast at most; above, it is shuffled.
 BROADCAST_ROWS = 400_000
 LAST_ID = (1 << 63) - 1
-#: Bits of a set's parity sketch at least.
-SKETCH_BITS = 1_024
+#: Percent of a set's size by which its first prefix is longer than what a linked set may lack.
+EXTRA_PCT = 8
 
 
 def shingles(t: X.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,45 +73,18 @@ def _sequence(h: np.ndarray) -> np.uint64:
     return X.gram_hashes(np.concatenate([h, np.array([len(h)], np.uint64)]), len(h) + 1)[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def parity_sketches(own: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each of n texts): a bit is set if an odd number of the text's shingles hash to it.
-
-    A text has as many bits as shingles, up to the next power of two.
-    """
-    size = np.maximum(np.bincount(own, minlength=n), SKETCH_BITS)
-    bits = (1 << np.ceil(np.log2(size)).astype(np.int64)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(bits)])
-    bit = first[own] + (X.mix(grams) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
-    at, times = np.unique(bit, return_counts=True)
-    at = at[times % 2 == 1]
-    words = np.zeros(first[-1] // 64, np.uint64)
-    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    return words, first // 64
-
-
-def folded(sketch: Column, to: Column) -> Column:
-    """A sketch at the given number of words, which is its own or half of it."""
-    half = (F.size(sketch) / 2).cast("int")
-    pair = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(sketch) == to, sketch).otherwise(pair)
+def need(n: Column, pct: int) -> Column:
+    """The least overlap of a set of n shingles with any that links to it."""
+    return F.ceil(n * pct / F.lit(100)).cast("long")
 
 
-def prefix_size(size: np.ndarray | int, pct: int):
-    """Shingles of which one is shared with any set that links: size - ceil(pct / 100 * size) + 1."""
-    return size - -(-size * pct // 100) + 1
+def reach(overlap: Column, n_a: Column, n_b: Column, pct: int) -> Column:
+    """Whether sets of these sizes with so many shared shingles link."""
+    return overlap * (100 + pct) >= (n_a + n_b) * pct
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(id, row, rare, size, digest, key1, key2, prefix, sketch) of each text.
-
-    ``prefix`` is in the order of all shingles, keys are least hashes by two
-    orders, ``rare`` is the share of shingles, in thousandths, that are not common.
-    """
-
-    def all_grams(_, t: X.Texts) -> np.ndarray:
-        return shingles(t, n)[1]
-
-    shared = docs.sparkSession.sparkContext.broadcast(common_grams(docs, all_grams))
+    """(id, row, size, digest, prefix) of each text; the prefix is its first shingles by hash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,64 +94,72 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 size = np.diff(first)
                 data = grams.tobytes()
                 digest = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                key = tried_last(grams, shared.value)
-                order = np.lexsort((key, own))
-                key = key[order]
-                other = X.mix(grams)
-                typical = np.concatenate([[0], np.cumsum(key >> np.uint64(63))])
-                k1, k2 = np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64)
-                has = size > 0
-                if has.any():
-                    k1[has] = np.minimum.reduceat(grams, first[:-1][has])
-                    k2[has] = np.minimum.reduceat(other, first[:-1][has])
-                most = np.where(has, prefix_size(size, pct), 0)
+                most = np.minimum(size, size - -(-size * pct // 100) + asked(size))
                 rank = np.arange(len(own)) - np.repeat(first[:-1], size)
-                kept = key[rank < np.repeat(most, size)].view(np.int64)
+                kept = grams[rank < np.repeat(most, size)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(kept))
-                words, at = parity_sketches(own, grams, len(t))
-                sketch = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words.view(np.int64)))
-                rare = 1000 - (typical[first[1:]] - typical[first[:-1]]).astype(np.int64) * 1000 // np.maximum(size, 1)
-                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(rare, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix, sketch], names=["id", "row", "rare", "size", "digest", "key1", "key2", "prefix", "sketch"])
+                yield pa.record_batch([part.column("id"), part.column("row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), prefix], names=["id", "row", "size", "digest", "prefix"])
 
-    return docs.mapInArrow(sign, "id long, row long, rare long, size long, digest binary, key1 long, key2 long, prefix array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "id long, row long, size long, digest binary, prefix array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """Those (a, b) whose sets, made from their whole texts, reach the threshold."""
-    facts = sets.select("uid", "size", "sketch")
-    for side in ("a", "b"):
-        pairs = pairs.distinct() if side == "a" else pairs
-        pairs = pairs.join(facts.toDF(side, f"size_{side}", f"sketch_{side}"), side)
-    pairs = pairs.where((F.col("size_a") * 100 >= F.col("size_b") * pct) & (F.col("size_b") * 100 >= F.col("size_a") * pct))
-    # sizes so near have sketches of equal length or one twice the other
-    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
-    differ = F.zip_with(folded(F.col("sketch_a"), least), folded(F.col("sketch_b"), least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
-    pairs = written(pairs.where(apart * (100 + pct) <= (F.col("size_a") + F.col("size_b")) * (100 - pct)).select("a", "b"), "jaccard-pairs")
-    used = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    named = written(used.join(sets.select("uid", "id", "row"), "uid"), "jaccard-texts")
-    side = F.broadcast(named) if fits(named, BROADCAST_ROWS) else named
+def asked(n: np.ndarray) -> np.ndarray:
+    """Prefix shingles that a set of n has beside those it may miss, and of which a linked set has as many."""
+    return np.where(n > 0, np.maximum(1, n * EXTRA_PCT // 100), 0)
+
+
+def hopeful(sets: DataFrame, pct: int) -> DataFrame:
+    """(uid, id, row) of the sets whose prefix has enough shingles in common with any other prefixes.
+
+    If two sets share ``o`` shingles, their first ``size - o + e`` ones share
+    ``e``. So a set of which fewer prefix shingles stand in any other prefix than
+    the least set that may link with it asks for links with none.
+    """
+    tokens = sets.select("uid", F.explode("prefix").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
+    # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+    several = written(several, "jaccard-several")
+    found = tokens.join(several, "token", "left_semi").groupBy("uid").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(1), F.floor(need(F.col("size"), pct) * EXTRA_PCT / F.lit(100)))
+    return sets.select("uid", "id", "row", "size").join(found, "uid").where(F.col("n") >= least).select("uid", "id", "row")
+
+
+def gram_arrays(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(uid, n, grams) of the chosen texts."""
+    side = F.broadcast(chosen) if fits(chosen, BROADCAST_ROWS) else chosen
     texts = docs.join(side, ["id", "row"]).select("uid", "text")
-    # each pair's two texts meet under the pair; one side of a pair may stand in very many
-    left = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text_a in X.slices(batch, "text_a"):
-                sides = []
-                for t in (text_a, X.texts_of(part.column("text_b"))):
-                    own, grams = shingles(t, n)
-                    sides.append((np.searchsorted(own, np.arange(part.num_rows + 1)), grams))
-                (fa, ga), (fb, gb) = sides
-                ok = []
-                for i in range(part.num_rows):
-                    x, y = ga[fa[i] : fa[i + 1]], gb[fb[i] : fb[i + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= pct * (len(x) + len(y) - common) and common > 0)
-                yield pa.record_batch([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(compare, "a long, b long")
+            for part, t in X.slices(batch, "text"):
+                own, grams = shingles(t, n)
+                first = np.searchsorted(own, np.arange(len(t) + 1))
+                arrays = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
+                yield pa.record_batch([part.column("uid"), pa.array(np.diff(first), pa.int64()), arrays], names=["uid", "n", "grams"])
+
+    # rows of one id and one text are one set
+    return texts.mapInArrow(spell, "uid long, n long, grams array<long>").dropDuplicates(["uid"])
+
+
+def with_shared(grams: DataFrame, pct: int) -> DataFrame:
+    """(uid, n, c, shared) of the sets that others have enough shingles of: those c ones, rarest first."""
+    tokens = grams.select("uid", "n", F.explode("grams").alias("token"))
+    several = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-several")
+    shared = tokens.join(several, "token").groupBy("uid", "n").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    return shared.where(F.col("c") >= need(F.col("n"), pct))
+
+
+def verified(pairs: DataFrame, grams: DataFrame, pct: int) -> DataFrame:
+    """Those (a, b) whose sets reach the threshold."""
+    pairs = pairs.distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(grams.toDF(side, f"n_{side}", f"grams_{side}"), side)
+    return pairs.where(reach(F.size(F.array_intersect("grams_a", "grams_b")).cast("long"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+
+
+def ranked(sets: DataFrame, first: Column, *columns: str) -> DataFrame:
+    """One row for each of a set's ``first`` rarest shared shingles."""
+    return sets.where(first > 0).select(*columns, F.explode(F.slice("shared", F.lit(1), first.cast("int"))["token"]).alias("token"))
 
 
 def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,47 +168,66 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     ``docs`` has (id long, row long, text string); (id, row) names a text.
     """
     signed = written(signatures(docs, n, pct), "jaccard-signed")
-    # rows of one digest have one set, and so one size, keys, prefix and sketch
-    same = [F.first(c).alias(c) for c in ("rare", "size", "key1", "key2", "prefix", "sketch")]
-    per = signed.where("size > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("s"), *same)
-    sets = written(per.select("digest", "s.*", "rare", "size", "key1", "key2", "prefix", "sketch", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
-
-    # groups: sets with one least shingle, around the most typical of them: among near copies of one
-    # text that is the text itself, or the least changed of them
-    stars = []
-    for key in ("key1", "key2"):
-        centre = written(sets.groupBy(key).agg(F.min(F.struct("rare", "uid"))["uid"].alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b"), "jaccard-centres")
-        stars.append(sets.join(centre, key).where("uid <> b").select(F.col("uid").alias("a"), "b"))
-    near = written(verified(stars[0].unionByName(stars[1]), sets, docs, n, pct), "jaccard-near")
-    grouped = written(components(near), "jaccard-groups")
-
-    # the matrix: prefix tokens by group, of those that two groups have, with the sizes of the sets
-    own = sets.select("uid", "size", "prefix").join(grouped.withColumnRenamed("node", "uid"), "uid", "left").withColumn("grp", F.coalesce("root", "uid"))
-    every = Window.partitionBy("token")
-    tokens = own.select("uid", "grp", "size", F.explode("prefix").alias("token"))
-    tokens = tokens.withColumns({"low": F.min("grp").over(every), "high": F.max("grp").over(every)})
-    tokens = written(tokens.where("low < high").select("token", "grp", "uid", "size"), "jaccard-tokens")
-    # groups that share a token are first tried by one set each, against the token's first: the parts
-    # of one large group of near copies become one group before any pair of groups is opened
-    stand = tokens.groupBy("token", "grp").agg(F.min("uid").alias("a"))
-    centre = written(tokens.groupBy("token").agg(F.min("uid").alias("b")), "jaccard-token-centres")
-    tried = stand.join(centre, "token").where("a <> b").select("a", "b")
-    near = written(near.unionByName(verified(tried, sets, docs, n, pct)), "jaccard-near")
+    # rows of one digest have one set, and so one size and prefix
+    per = signed.where("size > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("s"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = written(per.select("digest", "s.*", "size", "prefix", F.monotonically_increasing_id().alias("uid")), "jaccard-sets")
+    chosen = written(hopeful(sets, pct), "jaccard-hopeful")
+    grams = written(gram_arrays(docs, chosen, n), "jaccard-grams")
+    live = written(with_shared(grams, pct), "jaccard-live")
+    n_, c = F.col("n"), F.col("c")
+    # first shared shingles that a linked set of any size has one of, and one of no smaller size
+    probe, index = c - need(n_, pct) + 1, c - F.ceil(n_ * (2 * pct) / F.lit(100 + pct)) + 1
+    typical = F.struct((c * 1000 / n_).cast("long").alias("share"), (-F.col("uid")).alias("nuid"), "n", "c")
+
+    # groups: sets that share a rare shingle, around the most typical of them; among near copies of
+    # one text that is the text itself, or the least changed of them
+    stars = ranked(live, probe, "uid", "n", "c")
+    centre = written(stars.groupBy("token").agg(F.max(typical).alias("t"), F.count("*").alias("sets")).where("sets > 1").select("token", (-F.col("t.nuid")).alias("b"), F.col("t.n").alias("n_b"), F.col("t.c").alias("c_b")), "jaccard-centres")
+    tried = stars.join(centre, "token").where(F.col("uid") != F.col("b")).where(reach(F.least("c", "c_b"), n_, F.col("n_b"), pct))
+    near = written(verified(tried.select(F.col("uid").alias("a"), "b"), grams, pct), "jaccard-near")
     grouped = written(components(near), "jaccard-groups")
-    tokens = tokens.select("token", "uid", "size").join(grouped.withColumnRenamed("node", "uid"), "uid", "left").withColumn("grp", F.coalesce("root", "uid"))
-    tokens = written(tokens.select("token", "grp", "uid", "size"), "jaccard-tokens")
-
-    cells = written(tokens.groupBy("token", "grp").agg(F.min("size").alias("low"), F.max("size").alias("high")), "jaccard-matrix")
-    x, y = cells.alias("x"), cells.alias("y")
-    reach = (F.col("x.high") * 100 >= F.col("y.low") * pct) & (F.col("y.high") * 100 >= F.col("x.low") * pct)
-    opened = x.join(y, "token").where(F.col("x.grp") < F.col("y.grp")).where(reach)
-    opened = written(opened.select("token", F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")), "jaccard-open")
-    # open the qualifying pairs: sets of either side that have the token
-    a, b = (tokens.select("token", F.col("grp").alias(g), F.col("uid").alias(u), F.col("size").alias(s)) for g, u, s in (("g1", "a", "size_a"), ("g2", "b", "size_b")))
-    fit = (F.col("size_a") * 100 >= F.col("size_b") * pct) & (F.col("size_b") * 100 >= F.col("size_a") * pct)
-    pairs = opened.join(a, ["token", "g1"]).join(b, ["token", "g2"]).where(fit).select("a", "b")
-    far = verified(pairs, sets, docs, n, pct)
+    owned = written(live.join(grouped.withColumnRenamed("node", "uid"), "uid", "left").withColumn("grp", F.coalesce("root", "uid")).drop("root"), "jaccard-owned")
+
+    # the matrix, rare end: by token and group, what its sets can reach
+    cells = written(ranked(owned, index, "grp", "n", "c").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("most")), "jaccard-matrix")
+    x, y = ranked(owned, probe, "uid", "grp", "n", "c").alias("x"), cells.alias("y")
+    sizes = (F.col("y.lo") <= F.col("x.n")) & (F.col("y.hi") * 100 >= F.col("x.n") * pct)
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where(F.col("x.grp") != F.col("y.grp")).where(sizes)
+    met = met.where(reach(F.least("x.c", "y.most"), F.col("x.n"), F.greatest("y.lo", need(F.col("x.n"), pct)), pct))
+    asking = written(met.select("x.uid", "y.grp").distinct(), "jaccard-asking")
+    if asking.isEmpty():
+        forget(chosen, live, centre, near, owned, cells, asking, grams)
+        return signed, sets, grouped
+
+    # each group asked: its centre's shingles, and those of its other sets that the centre lacks, are its union
+    tokens = owned.select("uid", "grp", "n", "c", F.col("shared.token").alias("tokens"))
+    facts = owned.join(asking.select("grp").distinct(), "grp").groupBy("grp").agg(F.min("n").alias("lo"), F.count("*").alias("members"), (-F.max(typical)["nuid"]).alias("b"))
+    facts = written(facts.join(tokens.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("centre")), "b"), "jaccard-facts")
+    inside, outside = F.size(F.array_intersect("tokens", "centre")).cast("long"), F.array_except("tokens", "centre")
+    queries = asking.join(tokens.drop("grp"), "uid").join(facts, "grp")
+    queries = written(queries.select(F.col("uid").alias("a"), "grp", "b", F.col("n").alias("n_a"), F.col("c").alias("c_a"), inside.alias("i_a"), outside.alias("out_a"), "n_b", "lo", "members"), "jaccard-queries")
+    # the union of a group of one is the set itself, so its bound is the overlap
+    ones = queries.where("members = 1").where(reach(F.col("i_a"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+
+    held = tokens.join(facts.where("members > 1").select("grp", "centre"), "grp")
+    held = written(held.select("grp", F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), inside.alias("i_b"), outside.alias("out_b")), "jaccard-held")
+    union = written(held.select("grp", F.explode("out_b").alias("token")).distinct().withColumn("has", F.lit(1)), "jaccard-union")
+    counted = queries.where("members > 1").select("a", "grp", "n_a", "c_a", "i_a", "lo", F.explode_outer("out_a").alias("token")).join(union, ["grp", "token"], "left")
+    bound = counted.groupBy("a", "grp", "n_a", "c_a", "i_a", "lo").agg(F.count("has").alias("k"))
+    opened = bound.where(reach(F.col("i_a") + F.col("k"), F.col("n_a"), F.greatest("lo", need(F.col("n_a"), pct)), pct)).select("a", "grp", "n_a", "c_a", "i_a")
+    opened = written(opened, "jaccard-opened")
+
+    # open them. What two sets share is within the group's centre, or it is not: sets that do not reach
+    # each other within it must share a shingle outside it
+    fit = reach(F.least("c_a", "c_b"), F.col("n_a"), F.col("n_b"), pct)
+    within = opened.join(held.drop("out_b"), "grp").where(fit).where(reach(F.least("i_a", "i_b"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+    far_a = opened.join(queries.select("a", "grp", F.explode("out_a").alias("token")), ["a", "grp"])
+    far_b = held.join(opened.select("grp").distinct(), "grp").select("grp", "b", "n_b", "c_b", "i_b", F.explode("out_b").alias("token"))
+    both = far_a.join(far_b, ["grp", "token"]).where(fit).groupBy("a", "b", "n_a", "n_b", "i_a", "i_b").agg(F.count("*").alias("k"))
+    beyond = both.where(reach(F.least("i_a", "i_b") + F.col("k"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+    far = written(verified(within.unionByName(beyond), grams, pct).unionByName(ones), "jaccard-far")
     roots = written(components(near.unionByName(far)), "jaccard-roots")
+    forget(chosen, live, centre, near, grouped, owned, cells, asking, facts, queries, held, union, opened, far, grams)
     return signed, sets, roots
 
 

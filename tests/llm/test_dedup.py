@@ -112,6 +112,25 @@ def test_lines_random(spark, n):
     assert kept == {i for (i, t), x in want.items() if x == t or WORD.search(x)}
 
 
+def test_maximal_runs(spark):
+    """Planted runs of 2 to 40 lines are found whole, at their places, beside their first copies."""
+    rng = random.Random(13)
+    n = iter(range(100_000))
+    fresh = lambda k: [f"only {next(n)} here" for _ in range(k)]
+    rows, want = [], []
+    for k in range(2, 41):
+        run, before, after = [f"run {k} line {i}" for i in range(k)], rng.randint(0, 3), rng.randint(0, 3)
+        rows.append((10 * k, fresh(before) + run + fresh(1)))
+        rows.append((10 * k + 1, fresh(after) + [""] + run + fresh(2)))
+        want.append((10 * k + 1, after, after + k, 10 * k, before))
+        if k % 3 == 0:  # a third copy of the middle only
+            rows.append((10 * k + 2, run[1:-1] if k > 3 else fresh(1)))
+            want += [(10 * k + 2, 0, k - 2, 10 * k, before + 1)] * (k > 3)
+    df = spark.createDataFrame([(i, i, "\n".join(ls)) for i, ls in rows], "id long, row long, text string")
+    got = sorted((r.id, r.a, r.b, r.first_id, r.first_a) for r in line_dedup.repeated_runs(df).collect())
+    assert got == sorted(want)
+
+
 def test_lines_odd(odd, nothing):
     rows = line_dedup.dedup_rows(odd)
     assert rows.columns == odd.columns
@@ -131,8 +150,8 @@ def shingle_set(text, n=4):
     return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if len(ws) >= n else ({tuple(ws)} if ws else set())
 
 
-def brute_components(rows, pct=85):
-    sets = [shingle_set(t) for _, t in rows]
+def brute_components(rows, pct=85, n=4):
+    sets = [shingle_set(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -187,23 +206,25 @@ def test_keep_one(odd, nothing):
     assert ngram_jaccard.keep_one(nothing).count() == 0
 
 
-def test_parity_bound(spark):
-    from pyspark.sql import functions as F
+def near_copies(rng, n, words=150):
+    """Copies of one text with some words replaced, of a small vocabulary of replacements, and some cut short."""
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        ws = list(base)
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(words)] = f"x{rng.randint(0, 3)}"
+        out.append(" ".join(ws[: rng.randint(words - 12, words)]))
+    return out
 
-    rng = np.random.default_rng(8)
-    rows, want = [], []
-    for i in range(40):
-        a = rng.choice(4000, rng.integers(1, 1500), replace=False).astype(np.uint64)
-        b = rng.choice(4000, rng.integers(1, 1500), replace=False).astype(np.uint64)
-        words, at = ngram_jaccard.parity_sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
-        x, y = (words[at[k] : at[k + 1]].view(np.int64).tolist() for k in (0, 1))
-        rows.append((i, x, y))
-        want.append(len(set(a.tolist()) ^ set(b.tolist())))
-    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
-    least = F.least(F.size("x"), F.size("y"))
-    differ = F.zip_with(ngram_jaccard.folded(F.col("x"), least), ngram_jaccard.folded(F.col("y"), least), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    got = df.select("i", F.aggregate(differ, F.lit(0), lambda n, v: n + v).alias("d")).orderBy("i").collect()
-    assert all(r.d <= w for r, w in zip(got, want, strict=True)) and any(r.d > w / 4 for r, w in zip(got, want, strict=True))
+
+@pytest.mark.parametrize(("n", "pct"), [(4, 85), (5, 80)])
+def test_one_large_group(spark, n, pct):
+    rng = random.Random(10)
+    texts = near_copies(rng, 500) + [" ".join(f"y{rng.randint(0, 900)}" for _ in range(100)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=n, pct=pct)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_components(rows, pct, n)
 
 
 def test_graph(spark):
