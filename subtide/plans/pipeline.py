@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -12,23 +12,28 @@ from subtide.schema import Params
 STAGES = ("convert", "retranscribe", "fix", "translate", "pad")
 
 
-def run_pipeline(tables: dict[str, DataFrame], stages: Sequence[str], params: Params) -> DataFrame:
-    """lines after the chosen stages, as one plan.
+def run_pipeline(tables: dict[str, DataFrame], stages: Sequence[str], params: Params, keep: Callable[[DataFrame, str], DataFrame] = lambda lines, stage: lines) -> DataFrame:
+    """lines after the chosen stages.
 
     ``tables`` has ``words`` (for convert) or ``lines``, and for the other stages
-    ``seg_words`` (new words of mistimed segments) and ``responses``.
+    ``seg_words`` (new words of mistimed segments) and ``responses``. ``keep``
+    (lines, stage) may write what a stage gives and return it as read back, as
+    the next stage reads its lines many times over.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"no such stages: {sorted(unknown)}")
     lines = words.convert(tables["words"], params, tables.get("suggestions")) if "convert" in stages else tables["lines"]
+    if "convert" in stages:
+        lines = keep(lines, "convert")
     if "retranscribe" in stages:
         groups = detect.pad_segments(detect.find_segments(lines, params), lines)
         lines = repair.retranscribe(lines, repair.cut_plan(groups, lines), tables["seg_words"], params)
+        lines = keep(lines, "retranscribe")
     if "fix" in stages:
-        lines = repair.remove_empty(repair.fix_mistimed(lines, params))
+        lines = keep(repair.remove_empty(repair.fix_mistimed(lines, params)), "fix")
     if "translate" in stages:
-        lines = translate.translate(lines, tables["responses"], params)
+        lines = keep(translate.translate(lines, tables["responses"], params), "translate")
     if "pad" in stages:
         lines = repair.apply_timing_standards(lines, params)
     return lines

@@ -117,12 +117,21 @@ def _retranscribed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _full_run(s: SparkSession, d: str) -> DataFrame:
-    return pipeline.run_pipeline({"words": X.document_words(s, d)}, ["convert", "fix", "pad"], LATIN).select(*LINE)
+    home = _scratch(s)
+
+    def keep(lines: DataFrame, stage: str) -> DataFrame:
+        lines.write.parquet(f"{home}/{stage}")
+        return s.read.parquet(f"{home}/{stage}")
+
+    return pipeline.run_pipeline({"words": X.document_words(s, d)}, ["convert", "fix", "pad"], LATIN, keep).select(*LINE)
 
 
 def _scratch(s: SparkSession) -> str:
-    """A new folder in the shared one; a temporary one where none is set, as in tests."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the shared one; a temporary one where none is set and all runs in one JVM."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", s.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/subtide-{uuid.uuid4().hex}"
 
 
@@ -151,7 +160,7 @@ QUERIES = {
     "a3_words_from_segmented": lambda s, d: transcripts.words_from_segmented(_diarised(s, d)).select(*WORD),
     "a4_words_from_speaker_runs": lambda s, d: transcripts.words_from_speaker_runs(_diarised(s, d)).select(*WORD),
     "a5_assign_words_to_segments": lambda s, d: transcripts.assign_words_to_segments(_good(s, d)).where("ord is not null").select("media_id", "segment_ix", F.col("ord").cast("int").alias("ord"), "word"),
-    "a6_align_words": lambda s, d: transcripts.align_words(transcripts.assign_words_to_segments(_good(s, d)), True).select(*WORD),
+    "a6_align_words": lambda s, d: transcripts.align_words(transcripts.segment_words(_good(s, d)), True).select(*WORD),
     "a7_to_transcript_json": lambda s, d: transcripts.to_transcript_json(X.document_words(s, d)).select("media_id", F.get_json_object("doc", "$.text").alias("text"), F.get_json_object("doc", "$.duration").cast("double").alias("duration"), F.json_array_length(F.get_json_object("doc", "$.segments")).cast("long").alias("n_segments"), F.json_array_length(F.get_json_object("doc", "$.words")).cast("long").alias("n_words")),
     "a8_parse_cues": lambda s, d: cues.parse_cues(cues.to_cues(X.talk_lines(s, d), "vtt"), "vtt").select(*[c for c in LINE if c != "style"]),
     "a9_to_cues": lambda s, d: cues.to_cues(X.talk_lines(s, d), "srt"),

@@ -15,15 +15,16 @@ from subtide.sources import transcripts
 def incremental_convert(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, params: Params, dialect: str = "segmented") -> StreamingQuery:
     """Convert the files that are new in ``in_dir`` and append their lines to ``out_dir``.
 
-    The checkpoint remembers files; a batch that is run again after a failure
+    Rejected documents go to ``<out_dir>_rejected`` with the reason. The checkpoint remembers files; a batch that is run again after a failure
     overwrites its own folder, so lines are never doubled.
     """
     files = spark.readStream.format("text").option("wholetext", True).load(in_dir)
     docs = files.select(media_of_file().alias("media_id"), F.col("value").alias("doc"))
 
     def convert(batch: DataFrame, number: int) -> None:
-        good, _ = transcripts.validate_transcripts(transcripts.parse_documents(batch, dialect), dialect)
-        timed = transcripts.align_words(transcripts.assign_words_to_segments(good), dialect == "segmented_speakers")
+        good, bad = transcripts.validate_transcripts(transcripts.parse_documents(batch, dialect), dialect)
+        bad.select("media_id", "doc", "reason").write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}_rejected/batch={number}")
+        timed = transcripts.align_words(transcripts.segment_words(good), dialect == "segmented_speakers")
         words.convert(timed, params).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     return docs.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
