@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from subtide.operators import detect, repair, translate, words
 from subtide.plans import fixtures as X
@@ -73,6 +74,13 @@ def _done(s: SparkSession, d: str) -> DataFrame:
     return X.talk_lines(s, d).where("(media_id + line_ix) % 3 < 2").select("media_id", "line_ix", X.raised("text").alias("text"))
 
 
+def _backward(s: SparkSession, d: str) -> DataFrame:
+    """Texts for all lines but the first of each media, in reverse order."""
+    down = Window.partitionBy("media_id").orderBy(F.desc("line_ix"))
+    x = X.talk_lines(s, d).where("line_ix >= 1")
+    return x.select("media_id", (F.row_number().over(down) - 1).alias("pos"), X.raised("text").alias("text"))
+
+
 def _contexts(s: SparkSession, d: str) -> DataFrame:
     m = X.talk_lines(s, d).select("media_id").distinct()
     files = m.where("media_id % 4 <> 0").select("media_id", F.concat(F.lit(" \n talk "), "media_id", F.lit(" 　\n")).alias("context"))
@@ -82,21 +90,21 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
 def _marked(s: SparkSession, d: str) -> DataFrame:
     """Texts in one, two or three asterisks."""
     stars = F.element_at(F.array(F.lit("*"), F.lit("**"), F.lit("***")), (F.col("line_ix") % 3 + 1).cast("int"))
-    body = F.regexp_replace(F.substring("text", 1, 20), r"[*\n{}\\]", "")
+    body = F.regexp_replace("text", r"[*\n{}\\]", "")
     return X.talk_lines(s, d).withColumn("text", F.concat(stars, body, stars, F.when(F.col("media_id") % 5 == 0, F.lit(" {\\i1}")).otherwise("")))
 
 
 def _dim(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(list(translate.LANGUAGES[:3]), "code string, name string")
+    return s.createDataFrame(list(translate.LANGUAGES), "code string, name string")
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
     names = ["gpt-4.1-mini", "o3", "Gemini-2.5-pro", "deepseek/chat", "deepseek-chat", "grok-3", "Claude-x", "llama"]
-    return X.table(s, d, "pages").select(F.col("page_id").alias("media_id"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 8 + 1).cast("int")).alias("model"), F.concat(F.lit("say "), (F.col("page_id") % 50).cast("string")).alias("prompt"))
+    return X.table(s, d, "pages").select(F.col("page_id").alias("media_id"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 8 + 1).cast("int")).alias("model"), F.col("html").alias("prompt"))
 
 
 def _shout(prompts: list[str]) -> list[str]:
-    return [p.upper() for p in prompts]
+    return [p.translate(str.maketrans("aeiou", "AEIOU")) for p in prompts]
 
 
 def _talk_words(s: SparkSession, d: str) -> DataFrame:
@@ -159,7 +167,7 @@ QUERIES = {
     "a2_rejected_transcripts": _rejected,
     "a3_words_from_segmented": lambda s, d: transcripts.words_from_segmented(_diarised(s, d)).select(*WORD),
     "a4_words_from_speaker_runs": lambda s, d: transcripts.words_from_speaker_runs(_diarised(s, d)).select(*WORD),
-    "a5_assign_words_to_segments": lambda s, d: transcripts.assign_words_to_segments(_good(s, d)).where("ord is not null").select("media_id", "segment_ix", F.col("ord").cast("int").alias("ord"), "word"),
+    "a5_assign_words_to_segments": lambda s, d: transcripts.assign_words_to_segments(_good(s, d)).select("media_id", "segment_ix", F.col("ord").cast("int").alias("ord"), "word"),
     "a6_align_words": lambda s, d: transcripts.align_words(transcripts.segment_words(_good(s, d)), True).select(*WORD),
     "a7_to_transcript_json": lambda s, d: transcripts.to_transcript_json(X.document_words(s, d)).select("media_id", F.get_json_object("doc", "$.text").alias("text"), F.get_json_object("doc", "$.duration").cast("double").alias("duration"), F.json_array_length(F.get_json_object("doc", "$.segments")).cast("long").alias("n_segments"), F.json_array_length(F.get_json_object("doc", "$.words")).cast("long").alias("n_words")),
     "a8_parse_cues": lambda s, d: cues.parse_cues(cues.to_cues(X.talk_lines(s, d), "vtt"), "vtt").select(*[c for c in LINE if c != "style"]),
@@ -189,11 +197,11 @@ QUERIES = {
     "e8_clean_ellipses_compat": lambda s, d: translate.clean_ellipses(_dotted(s, d), "compat").withColumn("pos", F.col("pos").cast("long")),
     "e9_check_counts": lambda s, d: translate.check_counts(translate.strip_numbering(_entries(s, d)), _payload(s, d), 2),
     "e10_force_counts": lambda s, d: translate.force_counts(translate.strip_numbering(_entries(s, d)), _payload(s, d)),
-    "e11_drop_lookahead": lambda s, d: translate.drop_lookahead(translate.force_counts(translate.strip_numbering(_entries(s, d)), _payload(s, d)).where("attempt = 0"), _batches(s, d)),
+    "e11_drop_lookahead": lambda s, d: translate.drop_lookahead(translate.force_counts(translate.strip_numbering(_entries(s, d)), _payload(s, d)), _batches(s, d)),
     "e12_pending_lines": lambda s, d: translate.pending_lines(X.talk_lines(s, d), _done(s, d), X.line_ranges(s, d)).select(*LINE),
-    "e13_replace_lines": lambda s, d: translate.replace_lines(X.talk_lines(s, d), X.talk_lines(s, d).where("line_ix >= 2").select("media_id", (F.col("line_ix") - 2).alias("pos"), X.raised("text").alias("text")), 1).select(*LINE),
+    "e13_replace_lines": lambda s, d: translate.replace_lines(X.talk_lines(s, d), _backward(s, d), 1).select(*LINE),
     "e14_md_to_ass": lambda s, d: translate.md_to_ass(_marked(s, d)).select("media_id", "line_ix", "text", "n_bold_italic", "n_bold", "n_italic"),
-    "e15_text_to_lines": lambda s, d: translate.text_to_lines(_done(s, d).where("line_ix < 4").withColumnRenamed("line_ix", "pos"), X.talk_lines(s, d), X.talk_lines(s, d)).select(*LINE),
+    "e15_text_to_lines": lambda s, d: translate.text_to_lines(_done(s, d).withColumnRenamed("line_ix", "pos"), X.talk_lines(s, d), X.talk_lines(s, d)).select(*LINE),
     "e16_language_names": lambda s, d: translate.language_names(X.table(s, d, "documents").select("doc_id", "lang"), _dim(s), "lang"),
     "e17_apply_model": lambda s, d: translate.apply_model(_requests(s, d), _shout).select("media_id", "prompt", "response"),
     "e18_route_models": lambda s, d: translate.route_models(_requests(s, d))[0].select("media_id", "model", "provider"),
@@ -315,17 +323,17 @@ c AS (SELECT media_id, batch_ix, attempt, pos, pair, CASE WHEN pos > 0 AND start
 SELECT media_id, batch_ix, attempt, pos, CASE WHEN pair AND ends_with(entry, '...') THEN left(entry, length(entry) - 3) ELSE entry END AS entry FROM c""",
     "e9_check_counts": _B + "SELECT *, status = 'ok' AND row_number() OVER (PARTITION BY media_id, batch_ix ORDER BY CASE WHEN n_said = n_asked THEN 0 ELSE 1 END, attempt) = 1 AS is_used FROM status",
     "e10_force_counts": _B + "SELECT * FROM forced",
-    "e11_drop_lookahead": _B + "SELECT f.media_id, start_ix + pos AS line_ix, entry AS text FROM forced f JOIN batches b ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix WHERE attempt = 0 AND pos < n_lines",
+    "e11_drop_lookahead": _B + "SELECT f.media_id, start_ix + pos AS line_ix, entry AS text FROM forced f JOIN batches b ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix WHERE pos < n_lines",
     "e12_pending_lines": _TL + "SELECT media_id, line_ix, start_ms, end_ms, style, text FROM lines WHERE NOT (media_id + line_ix) % 3 < 2 AND line_ix BETWEEN media_id % 3 AND media_id % 3 + 4",
-    "e13_replace_lines": _TL + "SELECT a.media_id, a.line_ix, a.start_ms, a.end_ms, a.style, coalesce(translate(b.text, 'aeiou', 'AEIOU'), a.text) AS text FROM lines a LEFT JOIN lines b ON a.media_id = b.media_id AND b.line_ix = a.line_ix + 1 AND a.line_ix >= 1",
-    "e14_md_to_ass": _TL + """, b AS (SELECT media_id, line_ix, regexp_replace(substr(text, 1, 20), '[*\\n{}\\\\]', '', 'g') AS t FROM lines)
+    "e13_replace_lines": _TL + "SELECT a.media_id, a.line_ix, a.start_ms, a.end_ms, a.style, coalesce(translate(b.text, 'aeiou', 'AEIOU'), a.text) AS text FROM lines a JOIN (SELECT media_id, count(*) AS n FROM lines GROUP BY media_id) z ON a.media_id = z.media_id LEFT JOIN lines b ON a.media_id = b.media_id AND b.line_ix = n - a.line_ix AND a.line_ix >= 1",
+    "e14_md_to_ass": _TL + """, b AS (SELECT media_id, line_ix, regexp_replace(text, '[*\\n{}\\\\]', '', 'g') AS t FROM lines)
 SELECT media_id, line_ix, CASE WHEN media_id % 5 = 0 THEN concat(repeat('*', line_ix % 3 + 1), t, repeat('*', line_ix % 3 + 1), ' {\\i1}') WHEN t = '' THEN repeat('*', 2 * (line_ix % 3 + 1))
   WHEN line_ix % 3 = 0 THEN concat('{\\i1}', t, '{\\i0}') WHEN line_ix % 3 = 1 THEN concat('{\\b1}', t, '{\\b0}') ELSE concat('{\\b1}{\\i1}', t, '{\\i0}{\\b0}') END AS text,
   CAST(media_id % 5 <> 0 AND line_ix % 3 = 2 AS bigint) AS n_bold_italic, CAST(media_id % 5 <> 0 AND line_ix % 3 = 1 AS bigint) AS n_bold, CAST(media_id % 5 <> 0 AND line_ix % 3 = 0 AS bigint) AS n_italic FROM b""",
-    "e15_text_to_lines": _TL + """, u AS (SELECT *, 0 AS k FROM lines UNION ALL SELECT * REPLACE (translate(text, 'aeiou', 'AEIOU') AS text), 1 FROM lines WHERE (media_id + line_ix) % 3 < 2 AND line_ix < 4)
+    "e15_text_to_lines": _TL + """, u AS (SELECT *, 0 AS k FROM lines UNION ALL SELECT * REPLACE (translate(text, 'aeiou', 'AEIOU') AS text), 1 FROM lines WHERE (media_id + line_ix) % 3 < 2)
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY k, line_ix) - 1 AS line_ix, start_ms, end_ms, style, text FROM u""",
-    "e16_language_names": "SELECT doc_id, lang, CASE lang WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' ELSE lang END AS name FROM documents",
-    "e17_apply_model": "SELECT page_id AS media_id, concat('say ', page_id % 50) AS prompt, concat('SAY ', page_id % 50) AS response FROM pages",
+    "e16_language_names": "SELECT doc_id, lang, CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in translate.LANGUAGES) + " ELSE lang END AS name FROM documents",
+    "e17_apply_model": "SELECT page_id AS media_id, html AS prompt, translate(html, 'aeiou', 'AEIOU') AS response FROM pages",
     "e18_route_models": f"SELECT * FROM (SELECT page_id AS media_id, ['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1] AS model, {_route} AS provider FROM (SELECT *, {_model} AS m FROM pages)) WHERE provider IS NOT NULL",
     "e18_unrouted_models": "SELECT page_id AS media_id, 'llama' AS model FROM pages WHERE page_id % 8 = 7",
     "f2_pending_media": _M + "SELECT media_id, path FROM manifest WHERE media_id NOT IN (SELECT conv_id FROM conversations)",
