@@ -14,7 +14,9 @@ non-finite components take no part, neither as query nor as candidate; the rows
 of a query's own id are not its candidates; repeated candidates are ranked each;
 a query repeated with the same id gives its ranking once for each distinct
 vector; fewer than k candidates are all returned; vectors of unequal length are
-scored with missing components as 0; other columns are not read.
+scored with missing components as 0; vectors so large that an inner product may
+pass 63 bits raise an error, as no whole score can be given; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SCALE = 1024
 BINS = 4_096
 CANDIDATE_ROWS = 2_048
 QUERY_ROWS = 256
+#: Numbers that a task holds for its queries at most before it passes them on.
+HELD = 1 << 22
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -96,7 +100,7 @@ def meetings(candidates: DataFrame, queries: DataFrame, n_blocks: int) -> DataFr
     return spread.join(queries, "q_block").select("q_block", "q_data", "c_data")
 
 
-def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int) -> DataFrame:
+def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int, most_held: int) -> DataFrame:
     """(q_block, q_row, bin, n) of scores within each query's bounds; counts that cannot matter are left out.
 
     Above a query's bounds stand ``above`` scores already; bins are numbered
@@ -104,10 +108,23 @@ def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int) -> DataFra
     """
     with_bounds = met.join(bounds, "q_block")
 
+    def counted(held: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        out = [], [], [], []
+        for (block, i), n in held.items():
+            up = np.flatnonzero(n)[::-1]
+            # the kth score of all is no lower than the kth among those counted here
+            keep = up[: int(np.searchsorted(np.cumsum(n[up]), k)) + 1]
+            for x, y in zip(out, (np.full(len(keep), block), np.full(len(keep), i), keep, n[keep]), strict=True):
+                x.extend(y.tolist())
+        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["q_block", "q_row", "bin", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                if len(held) * bins > most_held:
+                    yield counted(held)
+                    held.clear()
                 q_ids, q = _unpack(r["q_data"])
                 c_ids, c = _unpack(r["c_data"])
                 s = products(q, c)
@@ -117,19 +134,12 @@ def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int) -> DataFra
                     n = np.bincount(up[(up >= 0) & (up < span[i])] // width[i], minlength=bins)
                     key = (r["q_block"], i)
                     held[key] = held[key] + n if key in held else n
-        out = [], [], [], []
-        for (block, i), n in held.items():
-            up = np.flatnonzero(n)[::-1]
-            # the kth score of all is no lower than the kth that this task has seen
-            keep = up[: int(np.searchsorted(np.cumsum(n[up]), k)) + 1]
-            for x, y in zip(out, (np.full(len(keep), block), np.full(len(keep), i), keep, n[keep]), strict=True):
-                x.extend(y.tolist())
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["q_block", "q_row", "bin", "n"])
+        yield counted(held)
 
     return with_bounds.mapInArrow(count, "q_block long, q_row int, bin long, n long").groupBy("q_block", "q_row", "bin").agg(F.sum("n").alias("n"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, bins: int = BINS, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, bins: int = BINS, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS, most_held: int = HELD) -> DataFrame:
     """(query_id, rank, id, score): the k best candidates of each query row."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score long").withColumnRenamed("id", id_col)
@@ -159,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
     met = meetings(candidates, queries, n_blocks)
     while True:
         widest = bounds.select(F.max(F.array_max("width"))).first()[0]
-        counts = _histograms(met, bounds, k, bins)
+        counts = _histograms(met, bounds, k, bins, most_held)
         rows = bounds.select("q_block", F.posexplode(F.arrays_zip("lo", "width", "span", "above")).alias("q_row", "b")).select("q_block", "q_row", "b.*")
         down = Window.partitionBy("q_block", "q_row").orderBy(F.desc("bin"))
         reached = rows.join(counts, ["q_block", "q_row"]).withColumn("so_far", F.col("above") + F.sum("n").over(down))
@@ -175,10 +185,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
         if widest == 1:
             break
 
+    def gathered(held: dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        out = [], [], [], [], []
+        for (block, i), (q_id, ids, score) in held.items():
+            for x, y in zip(out, (np.full(len(ids), block), np.full(len(ids), i), np.full(len(ids), q_id), ids, score), strict=True):
+                x.extend(y.tolist())
+        return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["q_block", "q_row", "query_id", "id", "score"])
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                if len(held) * k > most_held:
+                    yield gathered(held)
+                    held.clear()
                 q_ids, q = _unpack(r["q_data"])
                 c_ids, c = _unpack(r["c_data"])
                 s = products(q, c)
@@ -190,11 +210,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
                         ids, score = np.concatenate([held[key][1], ids]), np.concatenate([held[key][2], score])
                     order = np.lexsort((ids, -score))[:k]
                     held[key] = int(q_ids[i]), ids[order], score[order]
-        out = [], [], [], [], []
-        for (block, i), (q_id, ids, score) in held.items():
-            for x, y in zip(out, (np.full(len(ids), block), np.full(len(ids), i), np.full(len(ids), q_id), ids, score), strict=True):
-                x.extend(y.tolist())
-        yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["q_block", "q_row", "query_id", "id", "score"])
+        yield gathered(held)
 
     kept = met.join(bounds.select("q_block", "lo"), "q_block").mapInArrow(best, "q_block long, q_row long, query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "id"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from subtide.llm import language_id, queries, topk, toxicity
@@ -127,8 +128,8 @@ def test_top_k(spark):
     rows += [(2000, None), (2001, []), (2002, [None] + [0.0] * 7), (2003, [float("nan")] * 8), (2004, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (2100, [0.0] * 8), (5, rows[5][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    for bins, block in ((4096, 2048), (16, 37)):
-        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, 10, bins=bins, candidate_rows=block, query_rows=2).collect()))
+    for bins, block, held in ((4096, 2048, topk.HELD), (16, 37, topk.HELD), (16, 37, 0)):
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, 10, bins=bins, candidate_rows=block, query_rows=2, most_held=held).collect()))
         assert got == brute_top(rows, 10)
 
 
@@ -138,6 +139,9 @@ def test_top_k_few(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.lit(True), 10).count() == 0
     assert topk.top_k(df, F.lit(False), 10).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.lit(True), 10).count() == 0
+    large = spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="may pass"):
+        topk.top_k(large, F.col("vec_id") == 0, 10).count()
 
 
 def test_wide_products():
