@@ -80,28 +80,45 @@ def salt_of(digest: Column, n_salts: Column) -> Column:
     return F.shiftrightunsigned(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * n_salts, 32)
 
 
-def cell_facts(light: DataFrame, weights: tuple[int, ...], max_repeat: int, cell_rows: int) -> DataFrame:
-    """(c_key, c_size, n_salts, before, source_size, target) from (key, size, digest): ``before`` has for each salt the rows of the source that stand before its cell."""
-    sizes = light.groupBy("key", "size").agg(F.count("*").alias("n"))
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it has few enough rows."""
+    return F.broadcast(df) if fits(df, BROADCAST_CELLS) else df
+
+
+def salted(rows: DataFrame, hot: DataFrame, key: str, size: str, digest: str) -> DataFrame:
+    """rows with ``c_salt``: 0, or in the (key, size) of ``hot`` the range of the row's digest."""
+    side = small(hot).withColumnsRenamed({"key": "h_key", "size": "h_size"})
+    rows = rows.join(side, (rows[key] == side["h_key"]) & (rows[size] == side["h_size"]), "left")
+    salt = F.coalesce(salt_of(F.col(digest), F.col("n_salts")), F.lit(0).cast("long"))
+    return rows.withColumn("c_salt", salt).drop("h_key", "h_size", "n_salts")
+
+
+def cell_facts(light: DataFrame, weights: tuple[int, ...], max_repeat: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """What each row needs to know, from (key, size, digest).
+
+    The first table, (key, size, n_salts), has the sizes that are split. The second,
+    (f_key, f_size, f_salt, before, source_size, target), has one row a cell:
+    ``before`` is the number of rows of the source that stand before it.
+    """
+    sizes = written(light.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-counts")
     targets = source_targets(sizes.select("key", (F.col("size") * F.col("n")).alias("size")), weights, max_repeat)
-    salts = sizes.select("key", "size", F.ceil(F.col("n") / cell_rows).cast("long").alias("n_salts"))
-    # at most one row for each cell_rows rows of the input
-    split = light.join(F.broadcast(salts.where("n_salts > 1")), ["key", "size"])
-    split = split.groupBy("key", "size", "n_salts", salt_of(F.col("digest"), F.col("n_salts")).alias("salt")).agg(F.count("*").alias("n"))
-    whole = sizes.where(F.col("n") <= cell_rows).select("key", "size", F.lit(1).cast("long").alias("n_salts"), F.lit(0).cast("long").alias("salt"), "n")
-    order = Window.partitionBy("key").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = whole.unionByName(split).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    cells = cells.groupBy("key", "size", "n_salts").agg(F.map_from_entries(F.collect_list(F.struct("salt", "before"))).alias("before"))
-    return cells.join(targets, "key").withColumnsRenamed({"key": "c_key", "size": "c_size"})
-
-
-def with_copies(rows: DataFrame, facts: DataFrame, key: str, size: str, digest: str, seed: int) -> DataFrame:
-    """rows with the facts of their cell and ``copies``; ``rows`` has the three named columns."""
-    side = F.broadcast(facts) if fits(facts, BROADCAST_CELLS) else facts
-    rows = rows.join(side, (rows[key] == facts["c_key"]) & (rows[size] == facts["c_size"]))
-    rows = rows.withColumn("c_salt", salt_of(F.col(digest), F.col("n_salts")))
+    hot = written(sizes.where(F.col("n") > cell_rows).select("key", "size", F.ceil(F.col("n") / cell_rows).cast("long").alias("n_salts")), "mix-hot")
+    split = salted(light.join(small(hot.drop("n_salts")), ["key", "size"], "left_semi"), hot, "key", "size", "digest")
+    split = split.groupBy("key", "size", "c_salt").agg(F.count("*").alias("n"))
+    whole = sizes.where(F.col("n") <= cell_rows).select("key", "size", F.lit(0).cast("long").alias("c_salt"), "n")
+    order = Window.partitionBy("key").orderBy("size", "c_salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = whole.unionByName(split).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    cells = cells.join(targets, "key").withColumnsRenamed({"key": "f_key", "size": "f_size", "c_salt": "f_salt"})
+    return hot, written(cells, "mix-cells")
+
+
+def with_copies(rows: DataFrame, hot: DataFrame, facts: DataFrame, key: str, size: str, digest: str, seed: int) -> DataFrame:
+    """rows with the facts of their cell and ``c_copies``; ``rows`` has the three named columns."""
+    rows = salted(rows, hot, key, size, digest)
+    side = small(facts)
+    rows = rows.join(side, (rows[key] == side["f_key"]) & (rows[size] == side["f_size"]) & (rows["c_salt"] == side["f_salt"]))
     number = F.row_number().over(Window.partitionBy(key, size, "c_salt").orderBy(digest))
-    rows = rows.withColumn("c_at", F.element_at("before", F.col("c_salt")) + number)
+    rows = rows.withColumn("c_at", F.col("before") + number)
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset_of(F.col(key), seed)
     return rows.withColumn("c_copies", (F.floor(u + step * F.col("c_at")) - F.floor(u + step * (F.col("c_at") - 1))).cast("long"))
@@ -110,8 +127,8 @@ def with_copies(rows: DataFrame, facts: DataFrame, key: str, size: str, digest:
 def mix_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 7, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, size, source_size, target, taken) for each document, without its text."""
     light = written(docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col).cast("string")).alias("size"), source_key(F.col(source_col)).alias("key")).withColumn("digest", row_digest(F.col("id"))), "mix-sizes")
-    facts = written(cell_facts(light, weights, max_repeat, cell_rows), "mix-cells")
-    out = with_copies(light, facts, "key", "size", "digest", seed)
+    hot, facts = cell_facts(light, weights, max_repeat, cell_rows)
+    out = with_copies(light, hot, facts, "key", "size", "digest", seed)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("c_copies")).alias("taken"))
 
 
@@ -121,8 +138,8 @@ def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias(names[0]), n_words(docs[text_col].cast("string")).alias(names[1]), source_key(docs[source_col]).alias(names[2]))
     nested = nested.withColumn(names[3], row_digest(F.col(names[0])))
     light = written(nested.select(F.col(names[1]).alias("size"), F.col(names[2]).alias("key"), F.col(names[3]).alias("digest")), "mix-sizes")
-    facts = written(cell_facts(light, weights, max_repeat, cell_rows), "mix-cells")
-    out = with_copies(nested, facts, names[2], names[1], names[3], seed)
+    hot, facts = cell_facts(light, weights, max_repeat, cell_rows)
+    out = with_copies(nested, hot, facts, names[2], names[1], names[3], seed)
     out = out.where("c_copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_copies"))).alias("c_nth"))
     return out.select("row.*")
 

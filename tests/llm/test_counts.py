@@ -82,6 +82,14 @@ def test_mixing_same_rows_when_salted(spark):
     assert salted == whole
 
 
+def test_mixing_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (i % 3 + 1), "ab"[i % 2]) for i in range(120)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_sizes(df, cell_rows=7).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", -1)
+    assert sorted(map(tuple, mixing.mix_sizes(df, cell_rows=7).collect())) == want
+    assert mixing.mix_rows(df, cell_rows=7).count() == sum(r[4] // r[1] for r in want)
+
+
 def test_mixing_odd(odd, nothing):
     got = mixing.mix_sizes(odd).collect()
     assert len(got) == odd.count()
