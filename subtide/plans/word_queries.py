@@ -334,6 +334,16 @@ SELECT media_id, line_ix, CASE WHEN media_id % 5 = 0 THEN concat(repeat('*', lin
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY k, line_ix) - 1 AS line_ix, start_ms, end_ms, style, text FROM u""",
     "e16_language_names": "SELECT doc_id, lang, CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in translate.LANGUAGES) + " ELSE lang END AS name FROM documents",
     "e17_apply_model": "SELECT page_id AS media_id, html AS prompt, translate(html, 'aeiou', 'AEIOU') AS response FROM pages",
+    # the texts of conversations have no asterisks, so emphasis changes nothing
+    "e19_translate": _B + """, best AS (SELECT media_id, batch_ix, coalesce(min(attempt) FILTER (WHERE n_said = n_asked), max(attempt)) AS attempt FROM status GROUP BY ALL),
+p AS (SELECT *, ends_with(entry, '...') AND coalesce(starts_with(lead(entry) OVER (PARTITION BY media_id, batch_ix, attempt ORDER BY pos), '...'), false) AS pair FROM bare),
+c AS (SELECT media_id, batch_ix, attempt, pos, pair, CASE WHEN pos > 0 AND starts_with(entry, '...') THEN substr(entry, 4) ELSE entry END AS entry FROM p),
+d AS (SELECT media_id, batch_ix, attempt, pos, CASE WHEN pair AND ends_with(entry, '...') THEN left(entry, length(entry) - 3) ELSE entry END AS entry FROM c),
+fitted AS (SELECT d.media_id, d.batch_ix, least(pos, n_asked - 1) AS pos, string_agg(entry, '\\N' ORDER BY pos) AS entry FROM d JOIN best b ON d.media_id = b.media_id AND d.batch_ix = b.batch_ix AND d.attempt = b.attempt
+  JOIN asked a ON d.media_id = a.media_id AND d.batch_ix = a.batch_ix GROUP BY 1, 2, 3)
+SELECT l.media_id, l.line_ix, l.start_ms, l.end_ms, l.style, CASE WHEN s.media_id IS NULL THEN l.text ELSE coalesce(f.entry, '[Translation missing]') END AS text
+FROM lines l JOIN batches b ON l.media_id = b.media_id AND l.line_ix BETWEEN b.start_ix AND b.end_ix LEFT JOIN best s ON s.media_id = b.media_id AND s.batch_ix = b.batch_ix
+LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.pos = l.line_ix - b.start_ix""",
     "e18_route_models": f"SELECT * FROM (SELECT page_id AS media_id, ['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1] AS model, {_route} AS provider FROM (SELECT *, {_model} AS m FROM pages)) WHERE provider IS NOT NULL",
     "e18_unrouted_models": "SELECT page_id AS media_id, 'llama' AS model FROM pages WHERE page_id % 8 = 7",
     "f2_pending_media": _M + "SELECT media_id, path FROM manifest WHERE media_id NOT IN (SELECT conv_id FROM conversations)",
