@@ -150,3 +150,20 @@ def per_text_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     acc = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=acc[1:])
     return acc[first[1:]] - acc[first[:-1]]
+
+
+def joined_words(buf: np.ndarray, w: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The kept words of each text, one space between them: (all texts' bytes, bounds of each text)."""
+    at = np.flatnonzero(keep)
+    size = w.ends[at] - w.starts[at] + 1  # with a space after each
+    upto = np.concatenate([[0], np.cumsum(size)])
+    # of each text, the space after its last word is left out
+    n_before = np.concatenate([[0], np.cumsum(keep)])[w.first]
+    some = np.diff(n_before) > 0
+    take = np.repeat(w.starts[at] - upto[:-1], size) + np.arange(upto[-1])
+    ends = upto[1:] - 1
+    out = np.where(np.isin(np.arange(upto[-1]), ends, assume_unique=True), np.uint8(32), buf[np.minimum(take, len(buf) - 1)]) if len(at) else np.zeros(0, np.uint8)
+    last = upto[n_before[1:]][some] - 1
+    out = np.delete(out, last)
+    bounds = upto[n_before] - np.concatenate([[0], np.cumsum(some)])
+    return out.tobytes(), bounds
