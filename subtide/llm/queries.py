@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.llm import language_id, line_dedup, mixing, ngram_jaccard, packing, quality, substring_dedup, token_counts, topk, toxicity
+from subtide.llm import contamination, language_id, line_dedup, mixing, ngram_jaccard, packing, periodic_runs, quality, substring_dedup, token_counts, topk, toxicity, whitening
 
 
 #: Lengths are counted with this public tokenizer.
@@ -118,6 +118,45 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON d.doc_id = c.node
 """
 
+def planted(id_: Column, text: Column) -> Column:
+    """text, of which in one document in ten (by crc32 of the id) the words from a certain one on repeat with a certain period."""
+    h = F.crc32(id_.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeat(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        again = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.element_at(w, (a + i % p + 1).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), again), " ")).otherwise("")
+
+    # a lambda over one value, so that the words are found once
+    return F.when(h % 10 == 0, F.element_at(F.transform(F.array(words), repeat), 1)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = periodic_runs.find_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")), keep_text=False)
+    # least first: greater length / period, compared crosswise, then smaller start, then smaller period
+    order = lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1).when(x["length"] * y["period"] < y["length"] * x["period"], 1).when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise(F.when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0))
+    best = F.try_element_at(F.array_sort("runs", order), F.lit(1))
+    lists = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lists = F.when(F.size("runs") > 0, F.concat(lists, F.lit("\n"))).otherwise("")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lists, 256).alias("runs_sha256"), "collapsed_sha256")
+    milli = F.expr("1000 * best.length div best.period")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -129,5 +168,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
-SQL = {"op7_line_dedup": line_dedup.LINES_SQL, "op10_ngram_jaccard": OP10_SQL, "op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op12_decontamination": contamination.HITS_SQL, "op7_line_dedup": line_dedup.LINES_SQL, "op10_ngram_jaccard": OP10_SQL, "op6_substring_dedup": substring_dedup.PASSAGES_SQL, "op5_exact_top_k": topk.TOP_K_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_quality_rules": OP9_SQL}
