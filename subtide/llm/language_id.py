@@ -10,7 +10,8 @@ nats for a change of language labels spans; the text's language is the one with
 the most letters, its score that share of the text's letters.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0
-and no spans; ties go to the first language by code point; rows whose label is
+and no spans (marks without a letter before them, such as those of emoji, are no
+letters); ties go to the first language by code point; rows whose label is
 null do not train; without training rows every text is ``und``; texts of any
 length are read whole; repeated rows are labelled alike; other columns are not
 read.
@@ -98,6 +99,10 @@ class Scanned:
 
 def scan(code: np.ndarray) -> Scanned:
     s = script_table()[code]
+    # a mark counts only where a letter stands before it, with nothing but marks between
+    mark = mark_table()[code]
+    base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(code))))
+    s = np.where(mark & ((base < 0) | (s[base] == 0)), 0, s)
     w = X.runs_of(s > 0, np.array([0, len(code)]))
     at = np.flatnonzero(s > 0)
     # cut runs where the script changes, and pieces of scripts without spaces
