@@ -14,9 +14,9 @@ non-finite components take no part, neither as query nor as candidate; the rows
 of a query's own id are not its candidates; repeated candidates are ranked each;
 a query repeated with the same id gives its ranking once for each distinct
 vector; fewer than k candidates are all returned; vectors of unequal length are
-scored with missing components as 0; vectors so large that an inner product may
-pass 63 bits raise an error, as no whole score can be given; other columns are
-not read.
+scored with missing components as 0; scores are exact for components of any size,
+and a pair whose score passes 63 bits raises an error that names it, as does a
+component that overflows when scaled; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,18 +37,21 @@ CANDIDATE_ROWS = 2_048
 QUERY_ROWS = 256
 #: Numbers that a task holds for its queries at most before it passes them on.
 HELD = 1 << 22
+#: Whole numbers up to here are exact in doubles, with some room for rounded lengths.
+EXACT, WIDE = float(1 << 53) * (1 - 1e-9), float(1 << 62)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of usable vectors."""
-    v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """(id, v): floor(scale * x) of usable vectors, as doubles: those beyond 2^53 are whole as they are."""
+    v = F.transform(F.transform(F.col(vec_col), lambda x: x.cast("double") * scale), lambda x: F.when(F.abs(x) < 2.0**62, F.floor(x).cast("double")).otherwise(x))
     bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     usable = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.col(id_col).isNotNull()
     return df.where(usable).where(~bad).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def _matrix(ids: list[int], rows: list[list[int]], width: int) -> bytes:
-    m = np.zeros((len(rows), width), np.int64)
+def _matrix(ids: list[int], rows: list[list[float]], width: int) -> bytes:
+    m = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         m[i, : len(r)] = r
     return np.array([len(rows), width], np.int64).tobytes() + np.asarray(ids, np.int64).tobytes() + m.tobytes()
@@ -57,7 +60,7 @@ def _matrix(ids: list[int], rows: list[list[int]], width: int) -> bytes:
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width = np.frombuffer(data, np.int64, 2)
     ids = np.frombuffer(data, np.int64, n, 16)
-    return ids, np.frombuffer(data, np.int64, n * width, 16 + 8 * n).reshape(n, width)
+    return ids, np.frombuffer(data, np.float64, n * width, 16 + 8 * n).reshape(n, width)
 
 
 def blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
@@ -84,14 +87,34 @@ def query_blocks(rows: DataFrame, n_blocks: int, width: int) -> DataFrame:
     return dealt.mapInArrow(packed, "q_block long, q_data binary")
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of whole numbers: in doubles where no sum can pass 2^53, else in wide integers."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 1 << 63:
-        return a @ b.T
-    raise ValueError(f"inner products may pass 64 bits: {most}")
+def products(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray | None = None, b_ids: np.ndarray | None = None) -> np.ndarray:
+    """Exact a @ b.T of whole numbers in doubles, as int64.
+
+    Where the product of two rows' lengths is under 2^53, so is each partial sum,
+    and doubles are exact; under 2^62, 64-bit integers are; pairs beyond are
+    multiplied as Python integers. Rows of one id are no pair, and may have any score.
+    """
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        long = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+        bound = np.outer(*long)
+        exact = bound < EXACT
+        if exact.all():
+            return (a @ b.T).astype(np.int64)
+        out = np.where(exact, a @ b.T, 0.0).astype(np.int64)
+    if (wide := ~exact & (bound < WIDE)).any():
+        a_int, b_int = (np.where((n < WIDE)[:, None], m, 0.0).astype(np.int64) for m, n in zip((a, b), long, strict=True))
+        out = np.where(wide, a_int @ b_int.T, out)
+    pairs = np.argwhere(~(exact | wide))
+    rows = [{i: [int(x) for x in m[i]] for i in np.unique(pairs[:, side]).tolist()} for side, m in enumerate((a, b))]
+    for i, j in pairs.tolist():
+        if a_ids is not None and a_ids[i] == b_ids[j]:
+            continue
+        score = sum(x * y for x, y in zip(rows[0][i], rows[1][j], strict=True))
+        if not LEAST <= score <= MOST:
+            raise ValueError(f"the inner product of vectors {a_ids[i] if a_ids is not None else i} and {b_ids[j] if b_ids is not None else j} passes 63 bits: {score}")
+        out[i, j] = score
+    return out
 
 
 def meetings(candidates: DataFrame, queries: DataFrame, n_blocks: int) -> DataFrame:
@@ -104,7 +127,7 @@ def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int, most_held:
     """(q_block, q_row, bin, n) of scores within each query's bounds; counts that cannot matter are left out.
 
     Above a query's bounds stand ``above`` scores already; bins are numbered
-    upward from ``lo`` in steps of ``width``, and end before ``lo + span``.
+    upward from ``lo`` in steps of ``width``, up to ``hi``.
     """
     with_bounds = met.join(bounds, "q_block")
 
@@ -127,11 +150,13 @@ def _histograms(met: DataFrame, bounds: DataFrame, k: int, bins: int, most_held:
                     held.clear()
                 q_ids, q = _unpack(r["q_data"])
                 c_ids, c = _unpack(r["c_data"])
-                s = products(q, c)
-                lo, width, span = np.array(r["lo"]), np.array(r["width"]), np.array(r["span"])
+                s = products(q, c, q_ids, c_ids)
+                lo, width, hi = np.array(r["lo"]), np.array(r["width"]), np.array(r["hi"])
                 for i in range(len(q)):
-                    up = s[i][c_ids != q_ids[i]] - lo[i]
-                    n = np.bincount(up[(up >= 0) & (up < span[i])] // width[i], minlength=bins)
+                    own = s[i][c_ids != q_ids[i]]
+                    # unsigned, as bounds may be 2^64 apart
+                    up = own[(own >= lo[i]) & (own <= hi[i])].view(np.uint64) - lo[i].astype(np.uint64)
+                    n = np.bincount((up // width[i].astype(np.uint64)).astype(np.int64), minlength=bins)
                     key = (r["q_block"], i)
                     held[key] = held[key] + n if key in held else n
         yield counted(held)
@@ -161,27 +186,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, q = _unpack(data)
-                reach = (np.ceil(np.sqrt((q.astype(np.float64) ** 2).sum(1)) * norm * (1 + 1e-9)) + 1).astype(np.int64)
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([(-reach).tolist()], pa.list_(pa.int64())), pa.array([((2 * reach) // bins + 1).tolist()], pa.list_(pa.int64())), pa.array([(2 * reach + 1).tolist()], pa.list_(pa.int64())), pa.array([[0] * len(q)], pa.list_(pa.int64()))], names=["q_block", "lo", "width", "span", "above"])
-
-    kind = "q_block long, lo array<long>, width array<long>, span array<long>, above array<long>"
+                with np.errstate(over="ignore", invalid="ignore"):
+                    reach = np.ceil(np.sqrt((q**2).sum(1)) * norm * (1 + 1e-9)) + 1
+                lo = [max(LEAST, -int(x)) if np.isfinite(x) else LEAST for x in reach]
+                hi = [min(MOST, -x) for x in lo]
+                step = [(y - x) // bins + 1 for x, y in zip(lo, hi, strict=True)]
+                yield pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in (lo, step, hi, [0] * len(q)))], names=["q_block", "lo", "width", "hi", "above"])
+
+    kind = "q_block long, lo array<long>, width array<long>, hi array<long>, above array<long>"
     bounds = written(queries.mapInArrow(first_bounds, kind), "topk-bounds")
     met = meetings(candidates, queries, n_blocks)
     while True:
         widest = bounds.select(F.max(F.array_max("width"))).first()[0]
         counts = _histograms(met, bounds, k, bins, most_held)
-        rows = bounds.select("q_block", F.posexplode(F.arrays_zip("lo", "width", "span", "above")).alias("q_row", "b")).select("q_block", "q_row", "b.*")
+        rows = bounds.select("q_block", F.posexplode(F.arrays_zip("lo", "width", "hi", "above")).alias("q_row", "b")).select("q_block", "q_row", "b.*")
         down = Window.partitionBy("q_block", "q_row").orderBy(F.desc("bin"))
         reached = rows.join(counts, ["q_block", "q_row"]).withColumn("so_far", F.col("above") + F.sum("n").over(down))
         # the bin of the kth score; with fewer than k candidates, the lowest that has any
         kth = reached.withColumn("is_last", F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy("bin")) == 1)
         kth = kth.where((F.col("so_far") >= k) & (F.col("so_far") - F.col("n") < k) | F.col("is_last") & (F.col("so_far") < k))
-        kth = kth.select("q_block", "q_row", (F.col("lo") + F.col("bin") * F.col("width")).alias("new_lo"), (F.col("so_far") - F.col("n")).alias("new_above"))
+        kth = kth.select("q_block", "q_row", (F.col("lo").cast("decimal(20,0)") + F.col("bin") * F.col("width").cast("decimal(17,0)")).cast("long").alias("new_lo"), (F.col("so_far") - F.col("n")).alias("new_above"))
         done = rows.join(kth, ["q_block", "q_row"], "left")
         next_width = F.ceil(F.col("width") / bins).cast("long")
-        step = F.struct("q_row", F.coalesce("new_lo", "lo").alias("lo"), next_width.alias("width"), F.when(F.col("new_lo").isNotNull(), F.col("width")).otherwise(F.col("span")).alias("span"), F.coalesce("new_above", "above").alias("above"))
+        step = F.struct("q_row", F.coalesce("new_lo", "lo").alias("lo"), next_width.alias("width"), F.least(F.col("new_lo").cast("decimal(20,0)") + F.col("width") - 1, "hi").cast("long").alias("hi"), F.coalesce("new_above", "above").alias("above"))
         packed = done.groupBy("q_block").agg(F.sort_array(F.collect_list(step)).alias("s"))
-        bounds = written(packed.select("q_block", F.col("s.lo").alias("lo"), F.col("s.width").alias("width"), F.col("s.span").alias("span"), F.col("s.above").alias("above")), "topk-bounds")
+        bounds = written(packed.select("q_block", F.col("s.lo").alias("lo"), F.col("s.width").alias("width"), F.col("s.hi").alias("hi"), F.col("s.above").alias("above")), "topk-bounds")
         if widest == 1:
             break
 
@@ -201,14 +230,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
                     held.clear()
                 q_ids, q = _unpack(r["q_data"])
                 c_ids, c = _unpack(r["c_data"])
-                s = products(q, c)
+                s = products(q, c, q_ids, c_ids)
                 for i in range(len(q)):
                     at = np.flatnonzero((s[i] >= r["lo"][i]) & (c_ids != q_ids[i]))
                     ids, score = c_ids[at], s[i][at]
                     key = (r["q_block"], i)
                     if key in held:
                         ids, score = np.concatenate([held[key][1], ids]), np.concatenate([held[key][2], score])
-                    order = np.lexsort((ids, -score))[:k]
+                    order = np.lexsort((ids, ~score))[:k]  # ~ turns the order without leaving 64 bits
                     held[key] = int(q_ids[i]), ids[order], score[order]
         yield gathered(held)
 
