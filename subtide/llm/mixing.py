@@ -16,7 +16,8 @@ window.
 
 Defined results: a null text has size 0; sources go by code point with null
 last; a source of size 0 has target 0 and gives no copies; repeated rows and
-equal or null ids are rows of their own; an empty table gives an empty table;
+equal or null ids are rows of their own, in order of a hash of all their columns
+where sizes and ids are equal; an empty table gives an empty table;
 other columns pass through ``mix_rows``, and helper columns avoid their names.
 """
 
@@ -136,7 +137,8 @@ def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The mixed corpus: each row of docs as often as it is taken, with the columns of docs."""
     names = [unused(docs, x) for x in ("mix_id", "mix_size", "mix_key", "mix_digest")]
     nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias(names[0]), n_words(docs[text_col].cast("string")).alias(names[1]), source_key(docs[source_col]).alias(names[2]))
-    nested = nested.withColumn(names[3], row_digest(F.col(names[0])))
+    # rows of one id go by their contents, so that reruns agree on the copies
+    nested = nested.withColumn(names[3], F.concat(row_digest(F.col(names[0])), F.md5(F.to_json("row"))))
     light = written(nested.select(F.col(names[1]).alias("size"), F.col(names[2]).alias("key"), F.col(names[3]).alias("digest")), "mix-sizes")
     hot, facts = cell_facts(light, weights, max_repeat, cell_rows)
     out = with_copies(nested, hot, facts, names[2], names[1], names[3], seed)
