@@ -5,7 +5,7 @@ document is kept when its base counts pass and at most ``max_lost_pct`` percent
 of its words stood in failing lines.
 
 * symbols: more than one character of ``#*$%&|<>`` to ten characters of words
-* punctuation: the line's last character is none of ``. ! ? : ; , " ' ) ] } … » ” ’``
+* punctuation: the line's last character is none of ``TERMINAL``, the marks that end a line in scripts of many kinds
 * navigation: at most ``NAV_WORDS`` words and a menu separator or menu word
 * boilerplate: a phrase of site furniture or licence notices
 * repeated: equal to an earlier line of the text
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from subtide.llm import _text as X
 
 SYMBOLS = "#*$%&|<>"
-TERMINAL = ".!?:;,\"')]}…»”’"
+# Marks that end a line, of Latin, Chinese and Japanese, Devanagari, Arabic, Armenian, Ethiopic, Khmer, Tibetan and Burmese writing.
+TERMINAL = ".!?:;,\"')]}…»”’" + "。！？：；，、．」』）】》〉" + "।॥" + "؟؛،۔" + "։" + "።" + "។" + "།" + "။"
 NAV_WORDS = 8
 NAV_PATTERN = r"( [|>»•] .* [|>»•] )|^(home|menu|next|previous|login|sign in|sign up|search|contact|about|share|back to top)$"
 BOILERPLATE_PATTERN = r"(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept cookies|enable javascript|subscribe to our|click here|^licensed under the |this work is licensed under|public license)"

@@ -27,7 +27,9 @@ def held_out(id_: Column, n: int, rest: int) -> Column:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    """Lengths are tokens."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack_lengths(counts, F.col("n_tokens"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,7 @@ l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, length
               length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l0),
 l2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup,
               translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM l1 WHERE k > 0),
-l3 AS (SELECT *, dup OR 10 * symbols > chars OR position(right(s, 1) IN '.!?:;,"'')]}…»”’') = 0
+l3 AS (SELECT *, dup OR 10 * symbols > chars OR position(right(s, 1) IN 'TERMINAL') = 0
               OR (k <= NAV_WORDS AND regexp_matches(low, 'NAV_PATTERN')) OR regexp_matches(low, 'BOILERPLATE_PATTERN') AS fails FROM l2),
 l AS (SELECT doc_id, CAST(sum(CASE WHEN dup THEN 1 ELSE 0 END) AS BIGINT) AS n_dup_lines, CAST(sum(CASE WHEN fails THEN k ELSE 0 END) AS BIGINT) AS n_lost_words,
              CAST(sum(CASE WHEN fails THEN 1 ELSE 0 END) AS BIGINT) AS n_lost_lines FROM l3 GROUP BY doc_id),
@@ -98,7 +100,7 @@ f AS (SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0)
       FROM b LEFT JOIN rw ON b.doc_id = rw.doc_id LEFT JOIN l ON b.doc_id = l.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept, n_lost_words, n_lost_lines FROM f
-""".replace("NAV_WORDS", str(quality.NAV_WORDS)).replace("NAV_PATTERN", quality.NAV_PATTERN).replace("BOILERPLATE_PATTERN", quality.BOILERPLATE_PATTERN)
+""".replace("TERMINAL", quality.TERMINAL.replace("'", "''")).replace("NAV_WORDS", str(quality.NAV_WORDS)).replace("NAV_PATTERN", quality.NAV_PATTERN).replace("BOILERPLATE_PATTERN", quality.BOILERPLATE_PATTERN)
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))

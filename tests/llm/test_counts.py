@@ -162,6 +162,28 @@ def test_quality_lines(spark):
     assert not r[3].kept and r[3].n_lost_words == 80 and not r[4].kept
 
 
+def test_quality_other_scripts(spark):
+    chinese = "\n".join(f"这是第{i}个句子，没有空格 但是有很多内容 和一些别的话 以及更多 的词。" for i in range(20))
+    hindi = "\n".join(f"यह वाक्य संख्या {i} है और इसमें बहुत से शब्द हैं जो हर बार नए हैं।" for i in range(20))
+    arabic = "\n".join(f"هل هذه هي الجملة رقم {i} وفيها كلمات كثيرة أخرى؟" for i in range(20))
+    df = spark.createDataFrame([(1, chinese), (2, hindi), (3, arabic), (4, chinese.replace("。", ""))], "doc_id long, text string")
+    r = {x.doc_id: x for x in quality.clean_lines(df, max_repeat_pct=100).collect()}
+    assert all(r[i].kept and r[i].n_lost_words == 0 for i in (1, 2, 3)) and not r[4].kept
+
+
+def test_mix_rows_by_contents(spark):
+    """Rows of one id and size give the same copies however they are dealt."""
+    rng = random.Random(17)
+    rows = [(rng.choice([1, 2, None]), f"w{i} x{i % 7}", rng.choice("abc"), i) for i in range(300)]
+    kind = "doc_id long, text string, source string, n long"
+    want = None
+    for parts in (1, 3, 8):
+        rng.shuffle(rows)
+        got = sorted(map(str, mixing.mix_rows(spark.createDataFrame(rows, kind).repartition(parts)).collect()))
+        assert want is None or got == want
+        want = got
+
+
 def test_queries_run(spark):
     for name in ("op1_best_fit_packing", "op4_token_counts", "op8_source_mixing", "op9_quality_rules"):
         assert queries.QUERIES[name](spark, SF).count() >= 200

@@ -140,10 +140,39 @@ def test_top_k_few(spark):
     assert topk.top_k(df, F.lit(False), 10).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.lit(True), 10).count() == 0
     large = spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="may pass"):
+    with pytest.raises(Exception, match="passes 63 bits"):
         topk.top_k(large, F.col("vec_id") == 0, 10).count()
 
 
+def test_top_k_large(spark):
+    """Components of any size: exact where the score fits a long, an error that names the pair where it does not."""
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0] * 64), (1, [1e12] + [0.0] * 63), (2, [-1e12] + [0.5] * 63), (3, [0.0] * 64), (100, [0.0, 1e300] + [0.0] * 62), (4, [7.0, 0.0, 3.0] + [0.0] * 61), (5, [1.0, 0.0, 2.0**-10] + [9.0] * 61)]
+    top = lambda x: sorted(map(tuple, topk.top_k(spark.createDataFrame(x, kind), F.col("vec_id") % 100 == 0, 10).collect()))
+    assert top(rows[:4]) == brute_top(rows[:4], 10) and top(rows[:4])[0][3] == 1024 * 1_024_000_000_000_000
+    apart = [rows[3], *rows[4:]]
+    assert top(apart) == brute_top(apart, 10)
+    for a, b in ((-1e300, -1e300), (1e300, 1.0), (3e9, -3e12)):
+        with pytest.raises(Exception, match="vectors 0 and 8 passes 63 bits"):
+            top([(0, [a]), (8, [b])])
+    edge = [(0, [2.0**21]), (1, [2.0**22]), (2, [-(2.0**22)])]  # 2^63 is too much, -2^63 is not
+    assert top([edge[0], edge[2]]) == [(0, 1, 2, -(1 << 63))]
+    with pytest.raises(Exception, match="passes 63 bits"):
+        top(edge[:2])
+
+
+def test_language_marks_without_letters(spark):
+    model = language_id.train(queries.table(spark, SF, "documents"))
+    texts = ["❤️ 12", "12 ́", "☺️☺️", "́", "7̈ ÷ ️", "नमस्ते", "e\u0301 ❤️", "x️y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = {x.doc_id: x for x in language_id.identify(df, model).collect()}
+    assert [(r[i].lang_pred, r[i].score, r[i].n_spans) for i in range(5)] == [("und", 0.0, 0)] * 5
+    assert all(r[i].lang_pred != "und" and r[i].score > 0 for i in (5, 6, 7))
+    scanned = language_id.scan(language_id.code_points(" ".join(texts)))
+    words = [" ".join(texts)[a:b] for a, b in zip(scanned.starts, scanned.ends, strict=True)]
+    assert words == ["नमस्ते", "e\u0301", "x️y"]
+
+
 def test_wide_products():
     big = np.array([[1 << 30, 3]], np.int64)
     assert topk.products(big, big)[0, 0] == (1 << 60) + 9
