@@ -13,7 +13,7 @@ Defined results: texts that are null or have no word pass the first three stages
 as they are (no score, no lines, an empty set), and mixing leaves them out or in
 with size 0; rows with null ids and repeated rows are rows like others, but that
 one of several equal texts stays; texts of any length are read whole; ties go by
-id, then by text hash; further columns pass through all stages but the last,
+id, then by text hash (in mixing, by a hash of all columns); further columns pass through all stages but the last,
 whatever their names; empty input gives empty output at each stage.
 """
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subtide.functions.columns import strip
+from subtide.operators.answers import AnswerStore, Overloaded, patiently  # noqa: F401
 from subtide.schema import CONTINUE_FLAG, MISSING_TRANSLATION, Params
 
+#: A response whose count is off by more is asked for anew, not put right.
+MOST_OFF = 10
 NUMBER = r"^\s*([0-9]+)\s*\. "
 #: Model name patterns in the order in which they are tried.
 LLM_ROUTES = (("/", "openrouter"), ("gemini", "gemini"), ("claude", "claude"), ("grok", "grok"), ("o1", "openai"), ("o3", "openai"), ("o4", "openai"), ("gpt", "openai"), ("deepseek", "deepseek"))
@@ -51,7 +54,8 @@ def batch_windows(lines: DataFrame, batches: DataFrame, discard_lines: int) -> D
     return x.select("media_id", "batch_ix", (F.col("line_ix") - F.col("start_ix")).alias("pos"), "line_ix", (F.col("line_ix") > F.col("end_ix")).alias("is_ahead"), "text")
 
 
-def _one_row(text: Column) -> Column:
+def one_row(text: Column) -> Column:
+    """text with its line ends as override tags."""
     return F.replace(text, F.lit("\n"), F.lit("\\N"))
 
 
@@ -69,14 +73,36 @@ def language_names(codes: DataFrame, dim: DataFrame, code: str = "code") -> Data
 
 def build_prompts(payload: DataFrame, contexts: DataFrame, translations: DataFrame, lang_from: str, lang_to: str, context_lines: int) -> DataFrame:
     """(media_id, batch_ix, n_entries, prompt): numbered entries, context and the last translated lines before the batch."""
-    g = payload.groupBy("media_id", "batch_ix").agg(F.min("line_ix").alias("start_ix"), F.count("*").alias("n_entries"), _numbered_list("pos", _one_row(F.col("text"))).alias("entries"))
+    g = payload.groupBy("media_id", "batch_ix").agg(F.min("line_ix").alias("start_ix"), F.count("*").alias("n_entries"), _numbered_list("pos", one_row(F.col("text"))).alias("entries"))
     near = g.select("media_id", "batch_ix", F.explode(F.sequence(F.col("start_ix") - context_lines, F.col("start_ix") - 1)).alias("line_ix")).where("line_ix >= 0")
     past = near.join(translations.select("media_id", "line_ix", F.col("text").alias("said")), ["media_id", "line_ix"])
     past = past.groupBy("media_id", "batch_ix").agg(F.count("*").alias("n_past"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "said"))), lambda x: x["said"]), "\n").alias("past"))
     x = g.join(past, ["media_id", "batch_ix"], "left").join(contexts, "media_id", "left")
+    return x.select("media_id", "batch_ix", "n_entries", prompt_text(lang_from, lang_to).alias("prompt"))
+
+
+def prompt_text(lang_from: str, lang_to: str) -> Column:
+    """The prompt of a row with ``context``, ``n_past`` and ``past`` (translated lines before it), ``n_entries`` and ``entries``."""
     before = F.when(F.col("n_past") > 0, F.format_string("The last %d translated entries were:\n%s\n\nGo on from there. ", "n_past", "past")).otherwise("")
     ask = F.format_string(f"Translate these %d {lang_from} subtitle entries to {lang_to}, as many and in this order:\n\n%s", "n_entries", "entries")
-    return x.select("media_id", "batch_ix", "n_entries", F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\n"), before, ask).alias("prompt"))
+    return F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\n"), before, ask)
+
+
+def system_prompt(lang_from: str, lang_to: str) -> str:
+    """What a model is told about its role, for all batches alike."""
+    return (
+        f"You translate {lang_from} subtitles into natural spoken {lang_to}, freely and briefly, but keep what is meant. "
+        "Answer with the translated entries alone: exactly as many as you are given, in the same order, none merged.\n"
+        f"- {CONTINUE_FLAG} at the end of an entry says that its sentence goes on in the next one; leave it out of the translation.\n"
+        "- Write a line break within an entry as \\N.\n"
+        "- Emphasis, where needed, is written with tags such as {\\i1}italics{\\i0}.\n"
+        f"- No {lang_to} word may run over from one entry into the next."
+    )
+
+
+def with_system(prompts: DataFrame, lang_from: str, lang_to: str) -> DataFrame:
+    """prompts with ``system``."""
+    return prompts.withColumn("system", F.lit(system_prompt(lang_from, lang_to)))
 
 
 def build_context_prompts(lines: DataFrame, manifest: DataFrame, lang_from: str, lang_to: str) -> DataFrame:
@@ -87,18 +113,23 @@ def build_context_prompts(lines: DataFrame, manifest: DataFrame, lang_from: str,
     return x.select("media_id", F.concat(F.lit(head), "path", F.lit(":\n"), "body").alias("prompt"))
 
 
-def build_retry_prompts(bad: DataFrame, payload: DataFrame, prompts: DataFrame, lang_from: str, lang_to: str, most_off: int = 10) -> DataFrame:
+def build_retry_prompts(bad: DataFrame, payload: DataFrame, prompts: DataFrame, lang_from: str, lang_to: str, most_off: int = MOST_OFF) -> DataFrame:
     """(media_id, batch_ix, attempt, prompt): both numbered lists if the count is off by at most ``most_off``, else the first prompt again.
 
     ``bad`` has the entries (media_id, batch_ix, attempt, pos, entry) of responses with a wrong count.
     """
     said = bad.groupBy("media_id", "batch_ix", "attempt").agg(F.count("*").alias("n_said"), _numbered_list("pos", F.col("entry")).alias("said"))
-    asked = payload.groupBy("media_id", "batch_ix").agg(F.count("*").alias("n_asked"), _numbered_list("pos", _one_row(F.col("text"))).alias("asked"))
+    asked = payload.groupBy("media_id", "batch_ix").agg(F.count("*").alias("n_asked"), _numbered_list("pos", one_row(F.col("text"))).alias("asked"))
     x = said.join(asked, ["media_id", "batch_ix"]).join(prompts.select("media_id", "batch_ix", "prompt"), ["media_id", "batch_ix"])
-    fix = F.format_string(f"Your translation had %d entries; exactly %d are needed.\n\n{lang_from} entries:\n%s\n\nYour {lang_to} entries:\n%s\n\nGive the same content in exactly %d entries.", "n_said", "n_asked", "asked", "said", "n_asked")
+    fix = retry_text(lang_from, lang_to, F.col("n_said"), F.col("n_asked"), F.col("asked"), F.col("said"))
     return x.select("media_id", "batch_ix", "attempt", F.when(F.abs(F.col("n_said") - F.col("n_asked")) <= most_off, fix).otherwise(F.col("prompt")).alias("prompt"))
 
 
+def retry_text(lang_from: str, lang_to: str, n_said: Column, n_asked: Column, asked: Column, said: Column) -> Column:
+    """The prompt that asks for the right count, from both numbered lists."""
+    return F.format_string(f"Your translation had %d entries; exactly %d are needed.\n\n{lang_from} entries:\n%s\n\nYour {lang_to} entries:\n%s\n\nGive the same content in exactly %d entries.", n_said, n_asked, asked, said, n_asked)
+
+
 def split_responses(responses: DataFrame) -> DataFrame:
     """entries (media_id, batch_ix, attempt, pos, entry): a response's lines."""
     return responses.select("media_id", "batch_ix", "attempt", F.posexplode(F.split(strip(F.col("response")), "\n")).alias("pos", "entry"))
@@ -148,7 +179,7 @@ def clean_ellipses(entries: DataFrame, mode: str = "intent") -> DataFrame:
     return g.select(*key, F.posexplode(folded).alias("pos", "entry"))
 
 
-def check_counts(entries: DataFrame, payload: DataFrame, retries: int, most_off: int = 10) -> DataFrame:
+def check_counts(entries: DataFrame, payload: DataFrame, retries: int, most_off: int = MOST_OFF) -> DataFrame:
     """(media_id, batch_ix, attempt, n_said, n_asked, status, is_used) of each attempt.
 
     ``ok``; ``retry_fix`` (off by at most ``most_off``) or ``retry_plain``; after
@@ -219,16 +250,16 @@ def text_to_lines(texts: DataFrame, lines: DataFrame, prepend: DataFrame | None
     return both.withColumn("line_ix", (F.row_number().over(w) - 1).cast("long")).select(*lines.columns)
 
 
-class Overloaded(Exception):
-    """A model's service asks to wait a little."""
-
-
-def apply_model(requests: DataFrame, call: Callable[[list[str]], list[str]], retries: int = 20, partitions: int | None = None, batch: int = 16, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def apply_model(requests: DataFrame, call: Callable[[list[str]], list[str]], retries: int = 20, partitions: int | None = None, batch: int = 16, sleep: Callable[[float], None] = time.sleep, store: AnswerStore | None = None) -> DataFrame:
     """requests with ``response``: each distinct prompt is asked once.
 
     A lost connection is tried again after ``min(5 * attempt, 65)`` seconds, an
-    overloaded service after 2; other errors fail the job.
+    overloaded service after 2; other errors fail the job. With a ``store`` answers
+    are kept before they are joined, and only missing ones are asked for (its own
+    settings then hold); without one a plan that is run twice asks twice.
     """
+    if store is not None:
+        return store.ask(requests, lambda rows: call([r["prompt"] for r in rows]))
     asked = requests.select("prompt").distinct()
     asked = asked.repartition(partitions or max(1, requests.sparkSession.sparkContext.defaultParallelism), "prompt")
 
@@ -237,18 +268,7 @@ def apply_model(requests: DataFrame, call: Callable[[list[str]], list[str]], ret
             said: list[str] = []
             prompts = part["prompt"].tolist()
             for at in range(0, len(prompts), batch):
-                for attempt in range(1, retries + 1):
-                    try:
-                        said += call(prompts[at : at + batch])
-                        break
-                    except Overloaded:
-                        if attempt == retries:
-                            raise
-                        sleep(2)
-                    except ConnectionError:
-                        if attempt == retries:
-                            raise
-                        sleep(min(5 * attempt, 65))
+                said += patiently(lambda at=at, prompts=prompts: call(prompts[at : at + batch]), retries, sleep)
             yield part.assign(response=said)
 
     return requests.join(asked.mapInPandas(run, "prompt string, response string"), "prompt", "left").select(*requests.columns, "response")

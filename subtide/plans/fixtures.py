@@ -91,6 +91,56 @@ def replies(payload: DataFrame) -> DataFrame:
     return g.select("media_id", "batch_ix", F.explode(two).alias("x")).select("media_id", "batch_ix", "x.attempt", F.array_join("x.r", "\n").alias("response"))
 
 
+_RAISE = str.maketrans("aeiou", "AEIOU")
+
+
+def flawed_model(rows: list[dict]) -> list[str]:
+    """A translator with raised vowels that errs by the length of a batch's first entry.
+
+    Of four lengths one is answered as it should be, one numbered, one an entry
+    short and one an entry over. Asked again, the first model keeps to its error
+    at two lengths in eight, the second one at two in sixteen.
+    """
+    said = []
+    for r in rows:
+        prompt = r["prompt"]
+        if " entries; exactly " in prompt:
+            asked = prompt.split(" entries:\n", 1)[1].split("\n\nYour ", 1)[0]
+        else:
+            asked = prompt.rsplit("\n\n", 1)[1]
+        first = asked.split("\n", 1)[0].split(". ", 1)[1]
+        texts = [x.split(". ", 1)[1].replace(CONTINUE_FLAG, "").translate(_RAISE) for x in asked.split("\n")]
+        kind = len(first) % 4 if r["attempt"] == 0 else len(first) % 8 if r["model"] == "first" else len(first) % 16
+        if kind == 1 and r["attempt"] == 0:
+            texts = [f"{i + 1}. {x}" for i, x in enumerate(texts)]
+        elif kind == 2:
+            texts = texts[: max(len(texts) - 1, 1)]
+        elif kind == 3:
+            texts.append("ONE MORE")
+        said.append("\n".join(texts))
+    return said
+
+
+def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One media a conversation, one segment a turn: words and spacing in turn, a tenth of a second each, some long pauses."""
+    return spark.sql(
+        r"""WITH t AS (SELECT conv_id AS media_id, CAST(turn AS int) AS segment_ix, posexplode(regexp_extract_all(text, '(\\S+|\\s+)', 1)) AS (word_ix, text) FROM {conversations}),
+            v AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 WHEN (media_id + segment_ix) % 4 = 0 THEN 1 ELSE length(text) * 60 END AS d, CASE WHEN (media_id + word_ix) % 37 = 0 THEN 2500 ELSE 0 END AS g FROM t),
+            w AS (SELECT *, coalesce(sum(d + g) OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v)
+            SELECT media_id, segment_ix, word_ix, text, CAST(b + g AS bigint) / 1000.0D AS start, CAST(b + g + d AS bigint) / 1000.0D AS `end`,
+                   CASE WHEN trim(text) = '' THEN 'spacing' ELSE 'word' END AS type, concat('S', CAST(segment_ix % 2 AS string)) AS speaker, CAST(NULL AS double) AS confidence FROM w""",
+        conversations=table(spark, sf_dir, "conversations"),
+    )
+
+
+def words_again(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """What a speech service would give for each cut: the words of its lines, timed anew from 0."""
+    rows = cuts.select("media_id", "group_ix", F.explode(F.sequence("start_ix", "end_ix")).alias("line_ix")).join(lines, ["media_id", "line_ix"])
+    w = rows.select("media_id", "group_ix", F.col("line_ix").cast("int").alias("segment_ix"), "line_ix", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+|\s+)"))).alias("word_ix", "text"))
+    at = F.col("word_ix") * 100 / F.lit(1000.0) + F.col("line_ix")
+    return w.select("media_id", "group_ix", "segment_ix", "word_ix", "text", at.alias("start"), (at + 0.1).alias("end"), F.when(F.trim("text") == "", "spacing").otherwise("word").alias("type"), F.lit("Default").alias("speaker"), F.lit(None).cast("double").alias("confidence"))
+
+
 def segmented_docs(words: DataFrame) -> DataFrame:
     """Documents of the segmented dialect; one in fifty lacks its words."""
     from subtide.sources.transcripts import to_transcript_json

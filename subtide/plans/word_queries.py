@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subtide.operators import detect, repair, translate, words
+from subtide.functions import store as S
+from subtide.operators import answers, detect, repair, translate, words
 from subtide.plans import fixtures as X
-from subtide.plans import pipeline
+from subtide.plans import pipeline, rounds
 from subtide.schema import AUDIO_SUFFIXES, CODEC_EXTENSIONS, CONTINUE_FLAG, IMAGE_SUFFIXES, JSON_SUFFIXES, STAGE_SUFFIXES, SUBTITLE_SUFFIXES, TEXT_SUFFIXES, VIDEO_SUFFIXES, Params
 from subtide.sources import catalog, cues, transcripts
 from subtide.streaming import incremental
 
 LATIN = Params(delimiters=(".", "?", "!"), soft_delimiters=(",", " "), remove_text=(), soft_max_chars=40, hard_max_chars=80, hard_max_carryover=15)
 BATCHED = Params(batch_lines=3, discard_lines=2, max_cont_lines=2, context_lines=4)
+BATCHED_ROUNDS = replace(BATCHED, translate_retries=2)
+FULL = replace(LATIN, batch_lines=3, discard_lines=2, max_cont_lines=2, seg_min_lines=2)
 LINE = ["media_id", "line_ix", "start_ms", "end_ms", "style", "text"]
 WORD = ["media_id", "segment_ix", "word_ix", "text", "start", "end", "type", "speaker"]
 
@@ -107,45 +109,32 @@ def _shout(prompts: list[str]) -> list[str]:
     return [p.translate(str.maketrans("aeiou", "AEIOU")) for p in prompts]
 
 
-def _talk_words(s: SparkSession, d: str) -> DataFrame:
-    """New words of each cut of a conversation: its text again, timed anew from 0."""
+def _retranscribed(s: SparkSession, d: str) -> DataFrame:
     lines = X.talk_lines(s, d)
     g = detect.pad_segments(detect.find_segments(lines, Params(seg_min_lines=1)), lines)
     cuts = repair.cut_plan(g, lines)
-    rows = cuts.select("media_id", "group_ix", F.explode(F.sequence("start_ix", "end_ix")).alias("line_ix")).join(lines, ["media_id", "line_ix"])
-    w = rows.select("media_id", "group_ix", F.col("line_ix").cast("int").alias("segment_ix"), "line_ix", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+|\s+)"))).alias("word_ix", "text"))
-    at = F.col("word_ix") * 100 / F.lit(1000.0) + F.col("line_ix")
-    return w.select("media_id", "group_ix", "segment_ix", "word_ix", "text", at.alias("start"), (at + 0.1).alias("end"), F.when(F.trim("text") == "", "spacing").otherwise("word").alias("type"), F.lit("Default").alias("speaker"), F.lit(None).cast("double").alias("confidence"))
+    return repair.retranscribe(lines, cuts, X.words_again(lines, cuts), LATIN).select(*LINE)
 
 
-def _retranscribed(s: SparkSession, d: str) -> DataFrame:
-    lines = X.talk_lines(s, d)
-    g = detect.pad_segments(detect.find_segments(lines, Params(seg_min_lines=1)), lines)
-    return repair.retranscribe(lines, repair.cut_plan(g, lines), _talk_words(s, d), LATIN).select(*LINE)
+def _rounds(s: SparkSession, d: str) -> DataFrame:
+    """A model that errs, asked round by round, with another one to fall back on."""
+    out = rounds.translate_rounds(X.continued_lines(s, d), S.scratch_dir(s), X.flawed_model, BATCHED_ROUNDS, model="first", fallback_model="second", lang_from="English", lang_to="German", contexts=_contexts(s, d))
+    return out.select(*LINE)
 
 
 def _full_run(s: SparkSession, d: str) -> DataFrame:
-    home = _scratch(s)
-
-    def keep(lines: DataFrame, stage: str) -> DataFrame:
-        lines.write.parquet(f"{home}/{stage}")
-        return s.read.parquet(f"{home}/{stage}")
-
-    return pipeline.run_pipeline({"words": X.document_words(s, d)}, ["convert", "fix", "pad"], LATIN, keep).select(*LINE)
-
-
-def _scratch(s: SparkSession) -> str:
-    """A new folder in the shared one; a temporary one where none is set and all runs in one JVM."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[.*\])?", s.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/subtide-{uuid.uuid4().hex}"
+    """All five stages over the words of conversations; half of the media come first, the rest with a second run."""
+    home = S.scratch_dir(s)
+    store = pipeline.StageStore(s, home)
+    talk = X.talk_words(s, d)
+    tables = {"seg_words": X.words_again, "responses": X.replies}
+    pipeline.run_stages(store, tables | {"words": talk.where("media_id % 2 = 0")}, pipeline.STAGES, FULL)
+    return pipeline.run_stages(store, tables | {"words": talk}, pipeline.STAGES, FULL).select(*LINE)
 
 
 def _incremental(s: SparkSession, d: str) -> DataFrame:
     """Two landings of transcripts, converted as they come."""
-    home = _scratch(s)
+    home = S.scratch_dir(s)
     docs = _good(s, d).select("media_id", "doc")
     for half in (0, 1):
         made = docs.where(F.col("media_id") % 2 == half)
@@ -156,7 +145,7 @@ def _incremental(s: SparkSession, d: str) -> DataFrame:
 
 def _read_back(s: SparkSession, d: str) -> DataFrame:
     """Documents written as files and read again."""
-    home = _scratch(s)
+    home = S.scratch_dir(s)
     transcripts.write_transcripts(transcripts.to_transcript_json(X.document_words(s, d)), home)
     j = transcripts.read_transcripts(s, home, "segmented")
     return j.select(F.col("media_id").cast("long").alias("media_id"), "j.duration", F.size("j.segments").cast("long").alias("n_segments"), F.size("j.words").cast("long").alias("n_words"))
@@ -188,7 +177,7 @@ QUERIES = {
     "d12_retranscribe": _retranscribed,
     "e1_plan_batches": _batches,
     "e2_batch_windows": _payload,
-    "e3_build_prompts": lambda s, d: translate.build_prompts(_payload(s, d), _contexts(s, d), _done(s, d), "English", "German", 4),
+    "e3_build_prompts": lambda s, d: translate.with_system(translate.build_prompts(_payload(s, d), _contexts(s, d), _done(s, d), "English", "German", 4), "English", "German"),
     "e4_build_context_prompts": lambda s, d: translate.build_context_prompts(X.talk_lines(s, d), X.manifest(s, d), "English", "German").select("media_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("digest")),
     "e5_build_retry_prompts": lambda s, d: translate.build_retry_prompts(_wrong(s, d), _payload(s, d), translate.build_prompts(_payload(s, d), _contexts(s, d), _done(s, d), "English", "German", 4), "English", "German"),
     "e6_split_responses": lambda s, d: _entries(s, d).withColumn("pos", F.col("pos").cast("long")),
@@ -203,10 +192,11 @@ QUERIES = {
     "e14_md_to_ass": lambda s, d: translate.md_to_ass(_marked(s, d)).select("media_id", "line_ix", "text", "n_bold_italic", "n_bold", "n_italic"),
     "e15_text_to_lines": lambda s, d: translate.text_to_lines(_done(s, d).withColumnRenamed("line_ix", "pos"), X.talk_lines(s, d), X.talk_lines(s, d)).select(*LINE),
     "e16_language_names": lambda s, d: translate.language_names(X.table(s, d, "documents").select("doc_id", "lang"), _dim(s), "lang"),
-    "e17_apply_model": lambda s, d: translate.apply_model(_requests(s, d), _shout).select("media_id", "prompt", "response"),
+    "e17_apply_model": lambda s, d: translate.apply_model(_requests(s, d), _shout, store=answers.AnswerStore(s, f"{S.scratch_dir(s)}/answers", per_call=500)).select("media_id", "prompt", "response"),
     "e18_route_models": lambda s, d: translate.route_models(_requests(s, d))[0].select("media_id", "model", "provider"),
     "e18_unrouted_models": lambda s, d: translate.route_models(_requests(s, d))[1].select("media_id", "model"),
     "e19_translate": lambda s, d: translate.translate(X.continued_lines(s, d), X.replies(_payload(s, d)), BATCHED).select(*LINE),
+    "e20_translate_rounds": _rounds,
     "f1_run_pipeline": _full_run,
     "f3_incremental_convert": _incremental,
     "f2_pending_media": lambda s, d: pipeline.pending_media(X.manifest(s, d).select("media_id", "path"), X.talk_lines(s, d)),
@@ -272,6 +262,7 @@ prompts AS (SELECT g.media_id, g.batch_ix, n_entries, concat('Context:', chr(10)
   'Translate these ', n_entries, ' English subtitle entries to German, as many and in this order:', chr(10), chr(10), entries) AS prompt
   FROM g LEFT JOIN past p ON g.media_id = p.media_id AND g.batch_ix = p.batch_ix LEFT JOIN ctx c ON g.media_id = c.media_id)
 """
+_system = "'" + translate.system_prompt("English", "German").replace("'", "''") + "'"
 _model = "lower(['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1])"
 _route = "CASE " + " ".join(f"WHEN contains(m, '{p}') THEN '{n}'" for p, n in translate.LLM_ROUTES) + " END"
 _clock = lambda c: f"concat(lpad(CAST({c} // 3600000 AS varchar), 2, '0'), ':', lpad(CAST({c} // 60000 % 60 AS varchar), 2, '0'), ':', lpad(CAST({c} // 1000 % 60 AS varchar), 2, '0'), ',', lpad(CAST({c} % 1000 AS varchar), 3, '0'))"
@@ -309,7 +300,7 @@ SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s) - 1 AS chu
     "b10_stitch_chunks": _W + "SELECT media_id, CAST(dense_rank() OVER (PARTITION BY media_id ORDER BY segment_ix) - 1 AS int) AS segment_ix, word_ix, text, start + (segment_ix // 3 * 60000) / 1000.0::DOUBLE AS start, \"end\" + (segment_ix // 3 * 60000) / 1000.0::DOUBLE AS \"end\" FROM words",
     "e1_plan_batches": _B + "SELECT * FROM batches",
     "e2_batch_windows": _B + "SELECT * FROM payload",
-    "e3_build_prompts": _B + _prompts + "SELECT * FROM prompts",
+    "e3_build_prompts": _B + _prompts + f"SELECT *, {_system} AS system FROM prompts",
     "e4_build_context_prompts": f"WITH {X.TALK_LINES_SQL}, {X.MANIFEST_SQL}, p AS (SELECT l.media_id, concat('Say in one sentence what this is and how good the transcript is, sum it up in four sentences, and list names and terms from English to German under the heading ''Glossary''.', chr(10), chr(10), 'Transcript of ', any_value(path), ':', chr(10), string_agg(text, chr(10) ORDER BY line_ix)) AS t FROM lines l JOIN manifest m ON l.media_id = m.media_id GROUP BY l.media_id) SELECT media_id, length(t) AS n_chars, sha256(t) AS digest FROM p",
     "e5_build_retry_prompts": _B + _prompts + """, q AS (SELECT media_id, batch_ix, string_agg(concat(pos + 1, '. ', replace(text, chr(10), '\\N')), chr(10) ORDER BY pos) AS a FROM payload GROUP BY ALL),
 w AS (SELECT b.media_id, b.batch_ix, b.attempt, string_agg(concat(b.pos + 1, '. ', b.entry), chr(10) ORDER BY b.pos) AS s FROM bare b JOIN status t ON b.media_id = t.media_id AND b.batch_ix = t.batch_ix AND b.attempt = t.attempt WHERE status <> 'ok' GROUP BY ALL)
@@ -343,6 +334,17 @@ fitted AS (SELECT d.media_id, d.batch_ix, least(pos, n_asked - 1) AS pos, string
   JOIN asked a ON d.media_id = a.media_id AND d.batch_ix = a.batch_ix GROUP BY 1, 2, 3)
 SELECT l.media_id, l.line_ix, l.start_ms, l.end_ms, l.style, CASE WHEN s.media_id IS NULL THEN l.text ELSE coalesce(f.entry, '[Translation missing]') END AS text
 FROM lines l JOIN batches b ON l.media_id = b.media_id AND l.line_ix BETWEEN b.start_ix AND b.end_ix LEFT JOIN best s ON s.media_id = b.media_id AND s.batch_ix = b.batch_ix
+LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.pos = l.line_ix - b.start_ix""",
+    # errors are left where the second model keeps to them; the number of a lone entry stays
+    "e20_translate_rounds": _B + """, q AS (SELECT media_id, batch_ix, list(translate(replace(replace(text, chr(10), '\\N'), '%%CONT%%', ''), 'aeiou', 'AEIOU') ORDER BY pos) AS rows, arg_min(length(replace(text, chr(10), '\\N')), pos) % 16 AS k FROM payload GROUP BY ALL),
+s1 AS (SELECT media_id, batch_ix, len(rows) AS n, CASE WHEN k = 2 THEN rows[1:greatest(len(rows) - 1, 1)] WHEN k = 3 THEN list_append(rows, 'ONE MORE') WHEN k % 4 = 1 AND len(rows) = 1 THEN ['1. ' || rows[1]] ELSE rows END AS rows FROM q),
+s2 AS (SELECT media_id, batch_ix, n, unnest(range(len(rows))) AS pos, unnest(rows) AS entry FROM s1),
+p AS (SELECT *, ends_with(entry, '...') AND coalesce(starts_with(lead(entry) OVER (PARTITION BY media_id, batch_ix ORDER BY pos), '...'), false) AS pair FROM s2),
+c AS (SELECT media_id, batch_ix, n, pos, pair, CASE WHEN pos > 0 AND starts_with(entry, '...') THEN substr(entry, 4) ELSE entry END AS entry FROM p),
+d AS (SELECT media_id, batch_ix, n, pos, CASE WHEN pair AND ends_with(entry, '...') THEN left(entry, length(entry) - 3) ELSE entry END AS entry FROM c),
+fitted AS (SELECT media_id, batch_ix, least(pos, n - 1) AS pos, string_agg(entry, '\\N' ORDER BY pos) AS entry FROM d GROUP BY 1, 2, 3)
+SELECT l.media_id, l.line_ix, l.start_ms, l.end_ms, l.style, coalesce(f.entry, '[Translation missing]') AS text
+FROM lines l JOIN batches b ON l.media_id = b.media_id AND l.line_ix BETWEEN b.start_ix AND b.end_ix
 LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.pos = l.line_ix - b.start_ix""",
     "e18_route_models": f"SELECT * FROM (SELECT page_id AS media_id, ['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1] AS model, {_route} AS provider FROM (SELECT *, {_model} AS m FROM pages)) WHERE provider IS NOT NULL",
     "e18_unrouted_models": "SELECT page_id AS media_id, 'llama' AS model FROM pages WHERE page_id % 8 = 7",
