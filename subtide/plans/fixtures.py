@@ -142,19 +142,17 @@ def words_again(lines: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def segmented_docs(words: DataFrame) -> DataFrame:
-    """Documents of the segmented dialect; one in fifty lacks its words."""
-    from subtide.sources.transcripts import to_transcript_json
-
-    spoken = words.where("type = 'word'")
-    full = words.groupBy("media_id", "segment_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_ix", "text"))), lambda x: x["text"]), "").alias("seg"))
-    made = to_transcript_json(spoken, speakers=True)
-    # segment texts with their spacing, as services give them
-    texts = full.groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("segment_ix").cast("long"), F.col("seg")))).alias("by_ix"))
-    shape = "text string, task string, language string, duration double, segments array<struct<id: long, start: double, end: double, text: string>>, words array<struct<word: string, start: double, end: double, speaker_id: string>>"
-    x = made.join(texts, "media_id").withColumn("j", F.from_json("doc", shape))
-    segs = F.transform("j.segments", lambda s: F.struct(s["id"].alias("id"), s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.col("by_ix"), s["id"]).alias("text")))
-    named = F.when(F.col("media_id") % 50 != 49, F.col("j.words"))
-    return x.select("media_id", F.to_json(F.struct("j.text", "j.language", "j.duration", segs.alias("segments"), named.alias("words"))).alias("doc"))
+    """Documents of the segmented dialect, segment texts with their spacing, as services give them; one in fifty lacks its words."""
+    item = F.struct("word_ix", "text", "start", "end", "speaker", "type")
+    seg = words.groupBy("media_id", "segment_ix").agg(F.array_sort(F.collect_list(item)).alias("ws"))
+    spoken = F.filter("ws", lambda w: w["type"] == "word")
+    seg = seg.select("media_id", "segment_ix", F.array_join(F.transform("ws", lambda w: w["text"]), "").alias("text"), F.transform(spoken, lambda w: F.struct(w["text"].alias("word"), w["start"].alias("start"), w["end"].alias("end"), w["speaker"].alias("speaker_id"))).alias("ws"))
+    row = F.struct("segment_ix", F.element_at("ws", 1)["start"].alias("start"), F.element_at("ws", -1)["end"].alias("end"), "text", "ws")
+    media = seg.where(F.size("ws") > 0).groupBy("media_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    segments = F.transform("s", lambda x: F.struct(x["segment_ix"].cast("long").alias("id"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    named = F.when(F.col("media_id") % 50 != 49, F.flatten(F.transform("s", lambda x: x["ws"])))
+    doc = F.struct(F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), F.element_at("s", -1)["end"].alias("duration"), segments.alias("segments"), named.alias("words"))
+    return media.select("media_id", F.to_json(doc).alias("doc"))
 
 
 def diarised_docs(words: DataFrame) -> DataFrame:
