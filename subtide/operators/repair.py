@@ -46,11 +46,34 @@ def redistribute_backward(lines: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def fix_mistimed(lines: DataFrame, params: Params, line_range: tuple[int, int] | None = None) -> DataFrame:
-    """Repair every mistimed run (of those that overlap the range, if given)."""
-    groups = detect.runs(detect.find_mistimed(lines, params), 1, "is_mistimed")
+    """Repair every mistimed run (of those that overlap the range, if given).
+
+    It gives what ``merge_forward`` and ``redistribute_backward`` give over the
+    runs, with the runs as columns of their lines: one exchange by media, which
+    the texts of runs at the start of a media read once more.
+    """
+    asc = Window.partitionBy("media_id").orderBy("line_ix")
+    x = detect.run_bounds(detect.find_mistimed(lines, params), "is_mistimed")
+    chosen = F.col("is_mistimed")
     if line_range is not None:
-        groups = groups.where((F.col("start_ix") <= max(line_range)) & (F.col("end_ix") >= min(line_range)))
-    return redistribute_backward(merge_forward(lines, groups), groups)
+        chosen = chosen & (F.col("run_first") <= max(line_range)) & (F.col("run_last") >= min(line_range))
+    x = x.withColumn("own_run", F.when(chosen, F.col("run_first"))).withColumn("head_end", F.first(F.when(F.col("own_run") == 0, F.col("run_last"))).over(asc.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("head_end", F.when(F.col("head_end") < F.col("last_ix"), F.col("head_end")))
+    head = x.where("line_ix <= head_end").groupBy("media_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "text"))), lambda r: r["text"])).alias("run_text"), F.min_by("start_ms", "line_ix").alias("run_start"))
+    # a line before a run shares its time with it
+    x = x.withColumn("run", F.when(F.col("own_run") > 0, F.col("own_run")).when(F.col("own_run").isNull(), F.lead("own_run").over(asc)))
+    x = x.join(head, "media_id", "left")
+    takes = F.col("line_ix") == F.col("head_end") + 1
+    text = F.when(takes, F.concat_ws(" ", "run_text", "text")).when(F.col("line_ix") <= F.col("head_end"), "").otherwise(F.col("text"))
+    x = x.withColumns({"text": text, "start_ms": F.when(takes, F.col("run_start")).otherwise(F.col("start_ms"))})
+    order = Window.partitionBy("media_id", "run").orderBy("line_ix")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumn("chars", F.length("text").cast("double"))
+    x = x.withColumns({"from_ms": F.first("start_ms").over(whole), "to_ms": F.last("end_ms").over(whole), "all_chars": F.sum("chars").over(whole)})
+    moves = F.col("run").isNotNull() & (F.col("all_chars") > 0)
+    x = x.withColumn("share", F.when(moves, ((F.col("to_ms") - F.col("from_ms")) * (F.col("chars") / F.col("all_chars"))).cast("long")))
+    x = x.withColumn("new_end", F.col("from_ms") + F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.withColumns({"start_ms": F.when(moves, F.col("new_end") - F.col("share")).otherwise(F.col("start_ms")), "end_ms": F.when(moves, F.col("new_end")).otherwise(F.col("end_ms"))}).select(*lines.columns)
 
 
 def renumber(lines: DataFrame, *order: str | Column) -> DataFrame:

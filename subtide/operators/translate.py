@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,24 +29,50 @@ LANGUAGES = (("de", "German"), ("en", "English"), ("es", "Spanish"), ("fr", "Fre
 def plan_batches(lines: DataFrame, batch_lines: int, max_cont_lines: int) -> DataFrame:
     """batches (media_id, batch_ix, start_ix, end_ix, n_lines): ``batch_lines`` lines, and on while the last is continued.
 
-    Where a batch ends decides where the next begins, so each media's flags are
-    folded in order; only one bit a line is gathered.
+    Where a batch ends decides where the next begins. A media's lines stream by in
+    order with one flag each; only where the open batch began is held.
     """
-    flagged = F.col("text").endswith(CONTINUE_FLAG)
-    g = lines.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", flagged.alias("c")))), lambda x: x["c"]).alias("flags"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("begin"), F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        size = s["i"] - s["begin"] + 1
-        more = c & (size - batch_lines < max_cont_lines)
-        ends = (size >= batch_lines) & ~more | (s["i"] == F.size("flags") - 1)
-        done = F.concat(s["out"], F.array(F.struct(s["begin"].alias("a"), s["i"].alias("b"))))
-        return F.struct((s["i"] + 1).alias("i"), F.when(ends, s["i"] + 1).otherwise(s["begin"]).alias("begin"), F.when(ends, done).otherwise(s["out"]).alias("out"))
-
-    x = g.select("media_id", F.posexplode(F.aggregate("flags", start, step, lambda s: s["out"])).alias("batch_ix", "b"))
-    first = lines.groupBy("media_id").agg(F.min("line_ix").alias("base"))
-    x = x.join(first, "media_id")
-    return x.select("media_id", F.col("batch_ix").cast("long").alias("batch_ix"), (F.col("base") + F.col("b.a")).alias("start_ix"), (F.col("base") + F.col("b.b")).alias("end_ix"), (F.col("b.b") - F.col("b.a") + 1).cast("long").alias("n_lines"))
+    w = Window.partitionBy("media_id").orderBy("line_ix")
+    # the window puts a media's lines into one task and in order
+    flags = lines.select("media_id", "line_ix", F.coalesce(F.col("text").endswith(CONTINUE_FLAG), F.lit(False)).alias("more"), F.lag("line_ix").over(w).isNull().alias("opens"))
+    kind = f"media_id {lines.schema['media_id'].dataType.simpleString()}, batch_ix long, start_ix long, end_ix long, n_lines long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the media at hand: its id, lines before this piece, first line's number, batches so far, first line of the open one
+        media, seen, base, nth, begin = None, 0, 0, 0, 0
+
+        def ended() -> list[tuple]:
+            return [(media, nth, base + begin, base + seen - 1, seen - begin)] if seen > begin else []
+
+        for batch in batches:
+            out = []
+            ids, line = batch.column("media_id"), batch.column("line_ix").to_numpy()
+            more, opens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("more", "opens"))
+            starts = np.flatnonzero(opens)
+            for a, b in zip([0, *starts.tolist()], [*starts.tolist(), batch.num_rows], strict=True):
+                if b <= a:
+                    continue
+                if opens[a]:
+                    out += ended()
+                    media, seen, base, nth, begin = ids[a].as_py(), 0, int(line[a]), 0, 0
+                own = more[a:b]
+                while True:
+                    # the last line that the batch must have, and those that it goes on to
+                    last = begin + batch_lines - 1
+                    at = max(last - seen, 0)
+                    while at < len(own) and own[at] and seen + at - last < max_cont_lines:
+                        at += 1
+                    if at >= len(own):
+                        break
+                    out.append((media, nth, base + begin, base + seen + at, seen + at - begin + 1))
+                    nth, begin = nth + 1, seen + at + 1
+                seen += len(own)
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (ids.type, *[pa.int64()] * 4), strict=True)], names=["media_id", "batch_ix", "start_ix", "end_ix", "n_lines"])
+        if out := ended():
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (ids.type, *[pa.int64()] * 4), strict=True)], names=["media_id", "batch_ix", "start_ix", "end_ix", "n_lines"])
+
+    return flags.mapInArrow(cut, kind)
 
 
 def batch_windows(lines: DataFrame, batches: DataFrame, discard_lines: int) -> DataFrame:
@@ -54,6 +82,19 @@ def batch_windows(lines: DataFrame, batches: DataFrame, discard_lines: int) -> D
     return x.select("media_id", "batch_ix", (F.col("line_ix") - F.col("start_ix")).alias("pos"), "line_ix", (F.col("line_ix") > F.col("end_ix")).alias("is_ahead"), "text")
 
 
+def batch_sizes(batches: DataFrame, discard_lines: int) -> DataFrame:
+    """(media_id, batch_ix, n_asked): how many entries each batch's payload has, without its lines."""
+    last = F.max("end_ix").over(Window.partitionBy("media_id"))
+    return batches.select("media_id", "batch_ix", (F.least(F.col("end_ix") + discard_lines, last) - F.col("start_ix") + 1).alias("n_asked"))
+
+
+def _asked(payload: DataFrame) -> DataFrame:
+    """(media_id, batch_ix, n_asked) of a payload, or of ``batch_sizes``."""
+    if "n_asked" in payload.columns:
+        return payload.select("media_id", "batch_ix", "n_asked")
+    return payload.groupBy("media_id", "batch_ix").agg(F.count("*").alias("n_asked"))
+
+
 def one_row(text: Column) -> Column:
     """text with its line ends as override tags."""
     return F.replace(text, F.lit("\n"), F.lit("\\N"))
@@ -186,8 +227,7 @@ def check_counts(entries: DataFrame, payload: DataFrame, retries: int, most_off:
     the last allowed attempt ``fallback``. The first ok attempt is used.
     """
     said = entries.groupBy("media_id", "batch_ix", "attempt").agg(F.count("*").alias("n_said"))
-    asked = payload.groupBy("media_id", "batch_ix").agg(F.count("*").alias("n_asked"))
-    x = said.join(asked, ["media_id", "batch_ix"])
+    x = said.join(_asked(payload), ["media_id", "batch_ix"])
     off = F.abs(F.col("n_said") - F.col("n_asked"))
     status = F.when(off == 0, "ok").when(F.col("attempt") + 1 >= retries, "fallback").when(off <= most_off, "retry_fix").otherwise("retry_plain")
     w = Window.partitionBy("media_id", "batch_ix").orderBy(F.when(off == 0, 0).otherwise(1), "attempt")
@@ -197,7 +237,7 @@ def check_counts(entries: DataFrame, payload: DataFrame, retries: int, most_off:
 def force_counts(entries: DataFrame, payload: DataFrame) -> DataFrame:
     """Exactly as many entries as asked: what is over goes into the last, what lacks is marked as missing."""
     key = ["media_id", "batch_ix"]
-    asked = payload.groupBy(*key).agg(F.count("*").alias("n"))
+    asked = _asked(payload).withColumnRenamed("n_asked", "n")
     had = entries.select(*key, "attempt").distinct()
     places = had.join(asked, key).select(*key, "attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
     x = entries.join(asked, key).withColumn("slot", F.least(F.col("pos").cast("long"), F.col("n") - 1))
@@ -287,7 +327,7 @@ def route_models(requests: DataFrame, routes: tuple[tuple[str, str], ...] = LLM_
 def translate(lines: DataFrame, responses: DataFrame, params: Params, mode: str = "intent") -> DataFrame:
     """lines with the texts of the responses: batches, clean-up, counts, placing, emphasis."""
     batches = plan_batches(lines, params.batch_lines, params.max_cont_lines)
-    payload = batch_windows(lines, batches, params.discard_lines)
+    payload = batch_sizes(batches, params.discard_lines)
     entries = clean_ellipses(strip_numbering(split_responses(responses)), mode)
     status = check_counts(entries, payload, params.translate_retries)
     # the first good attempt of a batch, or else its last, made to fit

@@ -43,7 +43,8 @@ def _new_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cuts(s: SparkSession, d: str) -> DataFrame:
-    return repair.cut_plan(detect.pad_segments(_segments(s, d), X.event_lines(s, d)), X.event_lines(s, d))
+    lines = X.event_lines(s, d)
+    return repair.cut_plan(detect.segment_spans(lines, EVENTS, pad=True), lines)
 
 
 def _done(s: SparkSession, d: str) -> DataFrame:
@@ -64,7 +65,7 @@ QUERIES = {
     "c6_find_mistimed": lambda s, d: detect.find_mistimed(X.event_lines(s, d), EVENTS).select("media_id", "line_ix", "is_mistimed"),
     "c7_find_segments": _segments,
     "c8_pad_segments": lambda s, d: detect.pad_segments(_segments(s, d), X.event_lines(s, d)),
-    "c9_segment_report": lambda s, d: detect.segment_report(_segments(s, d), X.event_lines(s, d)),
+    "c9_segment_report": lambda s, d: detect.segment_report(detect.segment_spans(X.event_lines(s, d), EVENTS), X.event_lines(s, d)),
     "c10_long_lines": lambda s, d: detect.long_lines(X.talk_lines(s, d), 5.0).select("media_id", "line_ix", "start_ms", "end_ms"),
     "c11_long_gaps": lambda s, d: detect.long_gaps(X.event_lines(s, d), 60.0),
     "c12_expand_runs_by_time": lambda s, d: detect.expand_runs_by_time(_runs(s, d), X.event_lines(s, d), 3.0, 0.5).fillna(-1, ["back_ix", "fore_ix"]),

@@ -31,8 +31,7 @@ def run_stage(stage: str, lines: DataFrame, tables: dict[str, Table], params: Pa
     if stage == "convert":
         return words.convert(lines, params, tables.get("suggestions"))
     if stage == "retranscribe":
-        groups = detect.pad_segments(detect.find_segments(lines, params), lines)
-        cuts = repair.cut_plan(groups, lines)
+        cuts = repair.cut_plan(detect.segment_spans(lines, params, pad=True), lines)
         return repair.retranscribe(lines, cuts, _given(tables["seg_words"], lines, cuts), params)
     if stage == "fix":
         return repair.remove_empty(repair.fix_mistimed(lines, params))

@@ -111,8 +111,7 @@ def _shout(prompts: list[str]) -> list[str]:
 
 def _retranscribed(s: SparkSession, d: str) -> DataFrame:
     lines = X.talk_lines(s, d)
-    g = detect.pad_segments(detect.find_segments(lines, Params(seg_min_lines=1)), lines)
-    cuts = repair.cut_plan(g, lines)
+    cuts = repair.cut_plan(detect.segment_spans(lines, Params(seg_min_lines=1), pad=True), lines)
     return repair.retranscribe(lines, cuts, X.words_again(lines, cuts), LATIN).select(*LINE)
 
 

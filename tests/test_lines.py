@@ -197,3 +197,77 @@ def test_empty(spark):
     assert repair.fix_mistimed(lines, Params()).count() == 0
     assert repair.apply_timing_standards(lines, Params()).count() == 0
     assert repair.remove_empty(frame(spark, [(1, 0, 0, 1, "A", "　"), (1, 1, 0, 1, "A", "x")])).select(F.max("line_ix")).first()[0] == 0
+
+
+def planned(df, what):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count(what)
+
+
+def test_scans_and_exchanges(spark):
+    """Chains of detection and repair read their lines once or twice, and deal them by media once; making the lines has an exchange too."""
+    from subtide.plans import line_queries, word_queries
+
+    sf = "/root/testdata/sf0.001"
+    for name, scans, exchanges in (("c6_find_mistimed", 1, 2), ("c9_segment_report", 1, 2), ("d8_cut_plan", 1, 2), ("d3_fix_mistimed", 2, 3), ("d12_retranscribe", 8, 16)):
+        df = (line_queries.QUERIES | word_queries.QUERIES)[name](spark, sf)
+        assert planned(df, "FileScan") <= scans and planned(df, "Exchange ") <= exchanges, name
+
+
+def test_one_pass_is_the_chain(corpus):
+    """The one-pass forms give what the single operators give in turn."""
+    _, df = corpus
+    for p in (Params(seg_min_lines=3, seg_backtrace_limit=4, seg_foretrace_limit=3, seg_min_delay_sec=1.0, seg_max_gap=2), Params(seg_min_lines=1, seg_min_delay_sec=0.3, seg_max_gap=0), Params(seg_min_lines=2, seg_backtrace_limit=9, seg_foretrace_limit=9, seg_min_delay_sec=2.0, seg_max_gap=6)):
+        flagged = detect.fill_single_gaps(detect.short_lines(df, p.mistimed_line_thresh_sec))
+        groups = detect.expand_runs(detect.runs(flagged, p.seg_min_lines), df, p.seg_backtrace_limit, p.seg_foretrace_limit, p.seg_min_delay_sec)
+        marked = detect.mark_groups(flagged, detect.merge_runs(groups, p.seg_max_gap), "in_group")
+        want = sorted(map(tuple, marked.select("media_id", "line_ix", (F.col("is_short") | F.col("in_group")).alias("x")).collect()))
+        assert sorted(map(tuple, detect.find_mistimed(df, p).select("media_id", "line_ix", "is_mistimed").collect())) == want
+        chain = detect.find_segments(df, p)
+        for pad, groups in ((False, chain), (True, detect.pad_segments(chain, df))):
+            want = sorted(map(tuple, detect.span_times(groups, df).select("media_id", "group_ix", "start_ix", "end_ix", "n_lines", "start_ms", "end_ms").collect()))
+            assert sorted(map(tuple, detect.segment_spans(df, p, pad).collect())) == want and want
+        every = detect.runs(detect.find_mistimed(df, p), 1, "is_mistimed")
+        for between in (None, (3, 6)):
+            some = every if between is None else every.where("start_ix <= 6 and end_ix >= 3")
+            want = repair.redistribute_backward(repair.merge_forward(df, some), some)
+            assert sorted(map(str, repair.fix_mistimed(df, p, between).collect())) == sorted(map(str, want.collect()))
+
+
+def walked(durations, edge, step, limit, boundary):
+    far, total, i = None, 0, edge
+    while 0 <= i < len(durations):
+        total += durations[i]
+        if total > limit:
+            break
+        far = i if durations[i] > boundary else far
+        i += step
+    return far
+
+
+def test_runs_by_time_random(spark):
+    rng = random.Random(23)
+    lines, groups, want = [], [], []
+    for m in range(60):
+        durations = [rng.choice([0, 0, 100, 400, 900, 1500] + [-300] * (m % 4 == 0)) for _ in range(rng.randint(1, 40))]
+        lines += [(m, i, 5000, 5000 + d, "A", "") for i, d in enumerate(durations)]
+        at = sorted(rng.sample(range(len(durations)), min(len(durations), 4)))
+        for k, (a, b) in enumerate(zip(at[::2], at[1::2], strict=False)):
+            groups.append((m, k, a, b, b - a + 1))
+            want.append((m, k, walked(durations, a, -1, 2500, 300), walked(durations, b, 1, 2500, 300)))
+    df = spark.createDataFrame(groups, "media_id long, group_ix long, start_ix long, end_ix long, n_lines long")
+    got = detect.expand_runs_by_time(df, frame(spark, lines), 2.5, 0.3)
+    assert sorted(tuple(r) for r in got.select("media_id", "group_ix", "back_ix", "fore_ix").collect()) == sorted(want)
+
+
+def test_runs_by_time_of_one_large_media(spark):
+    """10,000 runs and 100,000 lines of one media."""
+    import time
+
+    lines = spark.range(100_000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("line_ix"), F.lit(0).cast("long").alias("start_ms"), (F.col("id") % 7 * 100).alias("end_ms"), F.lit("A").alias("style"), F.lit("").alias("text"), F.lit("x").alias("speaker"))
+    groups = spark.range(10_000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("group_ix"), (F.col("id") * 10).alias("start_ix"), (F.col("id") * 10 + 2).alias("end_ix"), F.lit(3).cast("long").alias("n_lines"))
+    began = time.perf_counter()
+    found = {r.group_ix: (r.back_ix, r.fore_ix) for r in detect.expand_runs_by_time(groups, lines, 3600.0, 0.5).collect()}
+    assert time.perf_counter() - began < 60
+    durations = [i % 7 * 100 for i in range(100_000)]
+    for k in (0, 1, 500, 9_999):
+        assert found[k] == (walked(durations, k * 10, -1, 3_600_000, 500), walked(durations, k * 10 + 2, 1, 3_600_000, 500))
