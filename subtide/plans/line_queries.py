@@ -84,13 +84,13 @@ QUERIES = {
 }
 
 
-def _chain(lines: str, min_delay_ms: int) -> str:
+def _chain(lines: str, min_delay_ms: int, min_lines: int = 4) -> str:
     """WITH entries from lines to padded segments."""
     return f"""WITH {lines},
 short AS (SELECT *, (end_ms - start_ms) / 1000.0::DOUBLE <= 0.1::DOUBLE AS is_short FROM lines),
 filled AS (SELECT * REPLACE (is_short OR (coalesce(lag(is_short) OVER m, false) AND coalesce(lead(is_short) OVER m, false)) AS is_short) FROM short WINDOW m AS (PARTITION BY media_id ORDER BY line_ix)),
 runs0 AS (SELECT media_id, min(line_ix) AS start_ix, max(line_ix) AS end_ix, count(*) AS n_lines FROM (SELECT media_id, line_ix, line_ix - row_number() OVER (PARTITION BY media_id ORDER BY line_ix) AS k FROM filled WHERE is_short) GROUP BY media_id, k),
-runs AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ix) - 1 AS group_ix, start_ix, end_ix, n_lines FROM runs0 WHERE n_lines >= 4),
+runs AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ix) - 1 AS group_ix, start_ix, end_ix, n_lines FROM runs0 WHERE n_lines >= {min_lines}),
 slow AS (SELECT media_id, line_ix, count(*) OVER (PARTITION BY media_id) AS n,
     max(CASE WHEN end_ms - start_ms > {min_delay_ms} THEN line_ix END) OVER (PARTITION BY media_id ORDER BY line_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
     min(CASE WHEN end_ms - start_ms > {min_delay_ms} THEN line_ix END) OVER (PARTITION BY media_id ORDER BY line_ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM lines),
@@ -105,7 +105,7 @@ merged AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY st
 marked AS (SELECT f.*, f.is_short OR m.media_id IS NOT NULL AS is_mistimed FROM filled f LEFT JOIN merged m ON f.media_id = m.media_id AND f.line_ix BETWEEN m.start_ix AND m.end_ix),
 g1 AS (SELECT media_id, min(line_ix) AS start_ix, max(line_ix) AS end_ix, count(*) AS n_lines FROM (SELECT media_id, line_ix, line_ix - row_number() OVER (PARTITION BY media_id ORDER BY line_ix) AS k FROM marked WHERE is_mistimed) GROUP BY media_id, k),
 every AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ix) - 1 AS group_ix, start_ix, end_ix, n_lines FROM g1),
-segs AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ix) - 1 AS group_ix, start_ix, end_ix, n_lines FROM g1 WHERE n_lines >= 4),
+segs AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ix) - 1 AS group_ix, start_ix, end_ix, n_lines FROM g1 WHERE n_lines >= {min_lines}),
 sizes AS (SELECT media_id, count(*) AS n FROM lines GROUP BY media_id),
 padded AS (SELECT s.media_id, group_ix, greatest(start_ix - 1, 0) AS start_ix, least(end_ix + 1, n - 1) AS end_ix, least(end_ix + 1, n - 1) - greatest(start_ix - 1, 0) + 1 AS n_lines FROM segs s JOIN sizes z ON s.media_id = z.media_id),
 cuts AS (SELECT p.media_id, group_ix, p.start_ix, p.end_ix, a.start_ms, b.end_ms, (b.end_ms - a.start_ms) / 1000.0::DOUBLE AS duration_s, concat_ws('-', a.start_ms, b.end_ms) AS cut_key

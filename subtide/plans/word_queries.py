@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from subtide.functions import store as S
 from subtide.operators import answers, detect, repair, translate, words
 from subtide.plans import fixtures as X
-from subtide.plans import pipeline, rounds
+from subtide.plans import line_queries, line_sql, pipeline, rounds
 from subtide.schema import AUDIO_SUFFIXES, CODEC_EXTENSIONS, CONTINUE_FLAG, IMAGE_SUFFIXES, JSON_SUFFIXES, STAGE_SUFFIXES, SUBTITLE_SUFFIXES, TEXT_SUFFIXES, VIDEO_SUFFIXES, Params
 from subtide.sources import catalog, cues, transcripts
 from subtide.streaming import incremental
@@ -170,7 +170,7 @@ QUERIES = {
     "b3_build_lines": lambda s, d: words.build_lines(_islands(s, d), LATIN).select("media_id", "segment_ix", "island_ix", F.col("pos").cast("long").alias("pos"), "text", "start", "end", "speaker"),
     "b5_split_suggestions": lambda s, d: words.to_lines(words.build_lines(_islands(s, d), LATIN, _suggestions(s, d))).select("media_id", "line_ix", "text"),
     "b6_clean_lines": lambda s, d: words.clean_lines(X.talk_lines(s, d).withColumn("text", F.concat(F.lit("--"), "text", F.repeat(F.lit("ha"), 7), F.lit("　"))), ("e", "o")).select("media_id", "line_ix", "text"),
-    "b8_to_lines": lambda s, d: words.convert(X.document_words(s, d), LATIN).groupBy("media_id").agg(F.count("*").alias("n"), F.max("line_ix").alias("last_ix"), F.sum("start_ms").alias("sum_start"), F.sum("end_ms").alias("sum_end")),
+    "b8_to_lines": lambda s, d: words.convert(X.document_words(s, d), LATIN).select(*LINE, "speaker"),
     "b9_plan_chunks": _chunks,
     "b10_stitch_chunks": lambda s, d: words.stitch_chunks(_chunk_words(s, d), _chunk_starts(s, d)).select("media_id", "segment_ix", "word_ix", "text", "start", "end"),
     "d12_retranscribe": _retranscribed,
@@ -266,6 +266,16 @@ _model = "lower(['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deeps
 _route = "CASE " + " ".join(f"WHEN contains(m, '{p}') THEN '{n}'" for p, n in translate.LLM_ROUTES) + " END"
 _clock = lambda c: f"concat(lpad(CAST({c} // 3600000 AS varchar), 2, '0'), ':', lpad(CAST({c} // 60000 % 60 AS varchar), 2, '0'), ':', lpad(CAST({c} // 1000 % 60 AS varchar), 2, '0'), ',', lpad(CAST({c} % 1000 AS varchar), 3, '0'))"
 
+_D12 = line_queries._chain(X.TALK_LINES_SQL, 10000, 1) + r""", cut_rows AS (SELECT c.media_id, c.group_ix, l.line_ix, regexp_extract_all(l.text, '(\S+|\s+)') AS w FROM cuts c JOIN lines l ON l.media_id = c.media_id AND l.line_ix BETWEEN c.start_ix AND c.end_ix),
+words AS (SELECT *, CASE WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'spacing' ELSE 'word' END AS type, 'Default' AS speaker, word_ix * 100 / 1000.0::DOUBLE + segment_ix AS start, word_ix * 100 / 1000.0::DOUBLE + segment_ix + 0.1::DOUBLE AS "end"
+  FROM (SELECT media_id, group_ix, line_ix AS segment_ix, unnest(range(len(w))) AS word_ix, unnest(w) AS text FROM cut_rows)),
+""" + line_sql.lines_from_words("media_id, group_ix") + f""", new_lines AS ({line_sql.numbered("media_id, group_ix")}),
+joined AS (SELECT l.media_id, l.line_ix AS place, -1 AS nth, l.start_ms, l.end_ms, style, text FROM lines l LEFT JOIN cuts c ON c.media_id = l.media_id AND l.line_ix BETWEEN c.start_ix AND c.end_ix WHERE c.media_id IS NULL
+  UNION ALL SELECT n.media_id, c.start_ix, n.line_ix, n.start_ms + c.start_ms, n.end_ms + c.start_ms, style, text FROM new_lines n JOIN cuts c ON c.media_id = n.media_id AND c.group_ix = n.group_ix)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY place, nth) - 1 AS line_ix, start_ms, end_ms, style, text FROM joined WHERE {line_sql.stripped('text')} <> ''"""
+_DOTS = "CASE (media_id + batch_ix + pos) % 3 WHEN 0 THEN entry || '...' WHEN 1 THEN '...' || entry ELSE entry END"
+_haha = "replace(replace(concat('--', text, repeat('ha', 7), chr(12288)), 'e', ''), 'o', '')"
+
 SQL = {
     "a1_read_transcripts": _W + """, s AS (SELECT media_id, segment_ix, count(*) AS n, arg_max("end", word_ix) AS e FROM words GROUP BY ALL)
 SELECT media_id, arg_max(e, segment_ix) AS duration, count(*) AS n_segments, CAST(sum(n) AS bigint) AS n_words FROM s GROUP BY media_id""",
@@ -278,6 +288,7 @@ SELECT media_id, CAST(seg AS int) AS segment_ix, CAST(row_number() OVER (PARTITI
     "a5_assign_words_to_segments": _W + """, v AS (SELECT media_id, segment_ix, text, start, "end", row_number() OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix) - 1 AS ord FROM words WHERE type = 'word' AND media_id % 50 <> 49),
 s AS (SELECT media_id, dense_rank() OVER (PARTITION BY media_id ORDER BY segment_ix) - 1 AS ix, arg_min(start, ord) AS a, arg_max("end", ord) AS b FROM v GROUP BY media_id, segment_ix)
 SELECT s.media_id, CAST(s.ix AS int) AS segment_ix, CAST(ord AS int) AS ord, text AS word FROM s JOIN v ON s.media_id = v.media_id AND v.start BETWEEN s.a AND s.b""",
+    "a6_align_words": _W + ", " + line_sql.ALIGNED + " SELECT * FROM aligned",
     "a7_to_transcript_json": _W + """, s AS (SELECT media_id, segment_ix, count(*) AS n, arg_max("end", word_ix) AS e, regexp_replace(string_agg(text, '' ORDER BY word_ix), '^\\s+|\\s+$', '', 'g') AS t FROM words GROUP BY ALL)
 SELECT media_id, string_agg(t, ' ' ORDER BY segment_ix) AS text, arg_max(e, segment_ix) AS duration, count(*) AS n_segments, CAST(sum(n) AS bigint) AS n_words FROM s GROUP BY media_id""",
     "a8_parse_cues": _TL + "SELECT media_id, line_ix, start_ms, end_ms, replace(text, chr(10), '\\N') AS text FROM lines",
@@ -293,6 +304,11 @@ SELECT media_id, path, CASE WHEN regexp_matches(path, '^[A-Za-z][A-Za-z0-9+.-]*:
     "b2_break_islands": _W + """, a AS (SELECT *, regexp_matches(text, '[.?!]$') AND NOT (length(text) > 1 AND regexp_matches(text, '^[.?!]')) AS stops FROM words),
 b AS (SELECT *, coalesce(start - lag("end") OVER w > 2.0, false) OR coalesce(lag(stops) OVER w, false) AS fresh FROM a WINDOW w AS (PARTITION BY media_id, segment_ix ORDER BY word_ix))
 SELECT media_id, segment_ix, word_ix, CAST(sum(CAST(fresh AS int)) OVER (PARTITION BY media_id, segment_ix ORDER BY word_ix ROWS UNBOUNDED PRECEDING) AS bigint) AS island_ix FROM b""",
+    "b3_build_lines": _W + ", " + line_sql.lines_from_words() + ' SELECT media_id, segment_ix, island_ix, pos, text, start, "end", speaker FROM built',
+    "b5_split_suggestions": _W + ", " + line_sql.lines_from_words(halved=True) + f" SELECT media_id, line_ix, text FROM ({line_sql.numbered()})",
+    "b6_clean_lines": _TL + f", y AS (SELECT media_id, line_ix, {line_sql.stripped(f"regexp_replace({_haha}, '^-', '')")} AS y FROM lines) SELECT media_id, line_ix, {line_sql.shortened('y')} AS text FROM y",
+    "b8_to_lines": _W + ", " + line_sql.lines_from_words() + " " + line_sql.numbered(),
+    "d12_retranscribe": _D12,
     "b9_plan_chunks": _M + """, a AS (SELECT media_id, duration_s, ceil(duration_s / (0.95::DOUBLE * 26214400 * duration_s / size_bytes)) AS n FROM manifest WHERE size_bytes > 26214400),
 b AS (SELECT media_id, CAST(ceil(duration_s / n * 1000) AS bigint) AS step, CAST(trunc(duration_s * 1000) AS bigint) AS total FROM a)
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s) - 1 AS chunk_ix, s AS start_ms, step AS duration_ms FROM (SELECT media_id, step, unnest(range(0, total, step)) AS s FROM b)""",
@@ -311,6 +327,7 @@ FROM w JOIN status t ON w.media_id = t.media_id AND w.batch_ix = t.batch_ix AND
 p AS (SELECT *, ends_with(entry, '...') AND coalesce(starts_with(lead(entry) OVER (PARTITION BY media_id, batch_ix, attempt ORDER BY pos), '...'), false) AS pair FROM d),
 c AS (SELECT media_id, batch_ix, attempt, pos, pair, CASE WHEN pos > 0 AND starts_with(entry, '...') THEN substr(entry, 4) ELSE entry END AS entry FROM p)
 SELECT media_id, batch_ix, attempt, pos, CASE WHEN pair AND ends_with(entry, '...') THEN left(entry, length(entry) - 3) ELSE entry END AS entry FROM c""",
+    "e8_clean_ellipses_compat": _B + f", d AS (SELECT media_id, batch_ix, attempt, pos, {_DOTS} AS entry FROM bare), " + line_sql.ELLIPSES_COMPAT,
     "e9_check_counts": _B + "SELECT *, status = 'ok' AND row_number() OVER (PARTITION BY media_id, batch_ix ORDER BY CASE WHEN n_said = n_asked THEN 0 ELSE 1 END, attempt) = 1 AS is_used FROM status",
     "e10_force_counts": _B + "SELECT * FROM forced",
     "e11_drop_lookahead": _B + "SELECT f.media_id, start_ix + pos AS line_ix, entry AS text FROM forced f JOIN batches b ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix WHERE pos < n_lines",
@@ -347,6 +364,7 @@ FROM lines l JOIN batches b ON l.media_id = b.media_id AND l.line_ix BETWEEN b.s
 LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.pos = l.line_ix - b.start_ix""",
     "e18_route_models": f"SELECT * FROM (SELECT page_id AS media_id, ['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1] AS model, {_route} AS provider FROM (SELECT *, {_model} AS m FROM pages)) WHERE provider IS NOT NULL",
     "e18_unrouted_models": "SELECT page_id AS media_id, 'llama' AS model FROM pages WHERE page_id % 8 = 7",
+    "f3_incremental_convert": _W.replace("words AS", "heard AS", 1) + ", " + line_sql.ALIGNED.replace("FROM words", "FROM heard").replace("aligned AS", "words AS") + ", " + line_sql.lines_from_words() + f" SELECT media_id, line_ix, start_ms, end_ms, style, text FROM ({line_sql.numbered()})",
     "f2_pending_media": _M + "SELECT media_id, path FROM manifest WHERE media_id NOT IN (SELECT conv_id FROM conversations)",
 }
 SQL = {k: re.sub(r"\)SELECT", ")\nSELECT", v) for k, v in SQL.items()}
