@@ -47,4 +47,6 @@ def seconds_text(ms: Column) -> Column:
 def media_of_file() -> Column:
     """A file's media: its ``media_id=`` folder, or else its name without the last suffix."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/media_id=([^/]+)/[^/]*$", 1)
-    return F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    name = F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    # names come as in a URI, where a plus is a plus
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,3 +59,33 @@ def keep(df: DataFrame, path: str) -> DataFrame:
     if not committed(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_named(docs: DataFrame, path: str, suffix: str) -> None:
+    """One file ``<media_id><suffix>`` for each row (media_id, doc), with one line end after it.
+
+    Tasks write into a staging folder; only when all have ended do its files move
+    to their names, so a job that fails leaves no file, and those from before stay.
+    Files of other media stay too.
+    """
+    spark, path = docs.sparkSession, path.rstrip("/")
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("media_id").cast("string").alias("name"), F.regexp_replace("doc", r"\n$", "").alias("value"))
+    fs, stage = _fs(spark, staged)
+    try:
+        # one task has all rows of a name, so a name has one file
+        rows.repartition("name").write.partitionBy("name").text(staged)
+        place = spark._jvm.org.apache.hadoop.fs.Path
+
+        def move(folder: str) -> None:
+            name = unquote(folder.split("=", 1)[1])
+            part = next(x.getPath() for x in fs.listStatus(place(f"{staged}/{folder}")) if x.getPath().getName().startswith("part-"))
+            target = place(place(path), name + suffix)
+            fs.delete(target, False)
+            if not fs.rename(part, target):
+                raise OSError(f"{target} could not be written")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(move, [x for x in folders(spark, staged) if x.startswith("name=")]))
+    finally:
+        fs.delete(stage, True)

@@ -67,6 +67,8 @@ class AnswerStore:
 
     def missing(self, requests: DataFrame) -> DataFrame:
         """Distinct requests (digest and keys) without an answer."""
+        if not S.exists(self.spark, self.path):
+            return self.with_digest(requests).select("digest", *self.keys).dropDuplicates(["digest"])
         return self.with_digest(requests).select("digest", *self.keys).dropDuplicates(["digest"]).join(self.answers(), "digest", "left_anti")
 
     def _asked(self, rows: DataFrame, call: Callable[[list[dict]], list[str]], asked_at: float | None) -> None:
@@ -90,9 +92,7 @@ class AnswerStore:
         if not self.interval_sec:
             n = left.count()
             if n:
-                tasks = -(-n // self.per_call)
-                dealt = left.withColumn("lane", F.lit(0)).repartitionByRange(tasks, "digest") if tasks > 1 else left.withColumn("lane", F.lit(0)).coalesce(1)
-                self._asked(dealt, call, None)
+                self._asked(left.withColumn("lane", F.lit(0)).repartition(-(-n // self.per_call), "digest"), call, None)
             return
         last = {r["lane"]: r["at"] for r in self.answers().groupBy("lane").agg(F.max("asked_at").alias("at")).collect()}
         while wave := left.orderBy("digest").limit(self.lanes * self.per_call).collect():

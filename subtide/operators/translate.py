@@ -19,11 +19,23 @@ from subtide.schema import CONTINUE_FLAG, MISSING_TRANSLATION, Params
 #: A response whose count is off by more is asked for anew, not put right.
 MOST_OFF = 10
 NUMBER = r"^\s*([0-9]+)\s*\. "
-#: Model name patterns in the order in which they are tried.
+# Patterns in model names, in the order in which they are tried, and the services that have them.
 LLM_ROUTES = (("/", "openrouter"), ("gemini", "gemini"), ("claude", "claude"), ("grok", "grok"), ("o1", "openai"), ("o3", "openai"), ("o4", "openai"), ("gpt", "openai"), ("deepseek", "deepseek"))
 SPEECH_ROUTES = (("scribe", "elevenlabs"), ("whisper-1", "openai"), ("whisper-v3", "fireworks"))
-#: Names of some language codes; a table of one's own can be given instead.
-LANGUAGES = (("de", "German"), ("en", "English"), ("es", "Spanish"), ("fr", "French"), ("it", "Italian"), ("ja", "Japanese"), ("ko", "Korean"), ("pt", "Portuguese"), ("ru", "Russian"), ("zh", "Chinese"))
+# English names of languages, scripts and regions by their tags; tables of one's own can be given instead.
+LANGUAGES = (
+    ("ar", "Arabic"), ("bg", "Bulgarian"), ("bn", "Bangla"), ("ca", "Catalan"), ("cs", "Czech"), ("da", "Danish"), ("de", "German"), ("el", "Greek"), ("en", "English"), ("es", "Spanish"),
+    ("et", "Estonian"), ("fa", "Persian"), ("fi", "Finnish"), ("fil", "Filipino"), ("fr", "French"), ("he", "Hebrew"), ("hi", "Hindi"), ("hr", "Croatian"), ("hu", "Hungarian"), ("id", "Indonesian"),
+    ("it", "Italian"), ("ja", "Japanese"), ("ko", "Korean"), ("lt", "Lithuanian"), ("lv", "Latvian"), ("ms", "Malay"), ("nb", "Norwegian Bokmål"), ("nl", "Dutch"), ("no", "Norwegian"), ("pl", "Polish"),
+    ("pt", "Portuguese"), ("ro", "Romanian"), ("ru", "Russian"), ("sk", "Slovak"), ("sl", "Slovenian"), ("sr", "Serbian"), ("sv", "Swedish"), ("sw", "Swahili"), ("ta", "Tamil"), ("te", "Telugu"),
+    ("th", "Thai"), ("tr", "Turkish"), ("uk", "Ukrainian"), ("ur", "Urdu"), ("vi", "Vietnamese"), ("yue", "Cantonese"), ("zh", "Chinese"),
+)
+SUBTAGS = (
+    ("cyrl", "Cyrillic"), ("hans", "Simplified"), ("hant", "Traditional"), ("latn", "Latin"),
+    ("ar", "Argentina"), ("at", "Austria"), ("au", "Australia"), ("be", "Belgium"), ("br", "Brazil"), ("ca", "Canada"), ("ch", "Switzerland"), ("cn", "China"), ("de", "Germany"), ("es", "Spain"),
+    ("fr", "France"), ("gb", "United Kingdom"), ("hk", "Hong Kong SAR China"), ("in", "India"), ("it", "Italy"), ("jp", "Japan"), ("kr", "South Korea"), ("mx", "Mexico"), ("nl", "Netherlands"), ("pt", "Portugal"),
+    ("rs", "Serbia"), ("ru", "Russia"), ("se", "Sweden"), ("sg", "Singapore"), ("tw", "Taiwan"), ("us", "United States"), ("419", "Latin America"),
+)
 
 
 def plan_batches(lines: DataFrame, batch_lines: int, max_cont_lines: int) -> DataFrame:
@@ -105,11 +117,22 @@ def _numbered_list(pos: str, text: Column) -> Column:
     return F.array_join(F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["t"])), "\n")
 
 
-def language_names(codes: DataFrame, dim: DataFrame, code: str = "code") -> DataFrame:
-    """Add ``name``: the language's English name, or the code itself."""
-    names = dim.select(F.col("code").alias("dim_code"), F.col("name").alias("dim_name"))
-    x = codes.join(names, F.col(code) == F.col("dim_code"), "left")
-    return x.withColumn("name", F.coalesce("dim_name", F.col(code))).drop("dim_code", "dim_name")
+def language_names(codes: DataFrame, dim: DataFrame, code: str = "code", subtags: tuple[tuple[str, str], ...] = SUBTAGS) -> DataFrame:
+    """Add ``name``: the English name of the language tag, or the tag itself.
+
+    A tag is cut from the right until ``dim`` (code, name) has it, whatever its
+    letters' case; what is cut off follows in parentheses, by name where it is in
+    ``subtags``.
+    """
+    tags = codes.select(F.col(code).alias("tag")).where("tag is not null").distinct().withColumn("parts", F.split("tag", "[-_]"))
+    cut = tags.select("tag", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")).withColumn("head", F.lower(F.array_join(F.slice("parts", F.lit(1), F.col("n")), "-")))
+    names = dim.select(F.lower("code").alias("head"), F.col("name").alias("dim_name"))
+    known = cut.join(names, "head").groupBy("tag", "parts").agg(F.max(F.struct("n", "dim_name")).alias("hit"))
+    by_tag = F.create_map(*[F.lit(x) for pair in subtags for x in pair])
+    rest = F.transform(F.slice("parts", F.col("hit.n") + 1, F.size("parts")), lambda p: F.coalesce(F.try_element_at(by_tag, F.lower(p)), p))
+    named = known.select(F.col("tag").alias("named_tag"), F.when(F.size(rest) > 0, F.concat("hit.dim_name", F.lit(" ("), F.array_join(rest, ", "), F.lit(")"))).otherwise(F.col("hit.dim_name")).alias("tag_name"))
+    x = codes.join(named, F.col(code) == F.col("named_tag"), "left")
+    return x.withColumn("name", F.coalesce("tag_name", F.col(code))).drop("named_tag", "tag_name")
 
 
 def build_prompts(payload: DataFrame, contexts: DataFrame, translations: DataFrame, lang_from: str, lang_to: str, context_lines: int) -> DataFrame:
@@ -267,6 +290,7 @@ def replace_lines(lines: DataFrame, texts: DataFrame, idx: int = 0) -> DataFrame
     return x.withColumn("text", F.coalesce("new_text", "text")).select(*lines.columns)
 
 
+# Marks of emphasis and the tags that stand for them.
 _MARKDOWN = (("bold_italic", r"\*\*\*(.+?)\*\*\*", r"{\\b1}{\\i1}$1{\\i0}{\\b0}"), ("bold", r"\*\*(.+?)\*\*", r"{\\b1}$1{\\b0}"), ("italic", r"(?<!\*)\*([^*]+?)\*(?!\*)", r"{\\i1}$1{\\i0}"))
 
 

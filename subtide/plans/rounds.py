@@ -66,8 +66,7 @@ def translate_rounds(
     n = 0
     while S.committed(spark, f"{home}/rounds/round={n}"):
         n += 1
-    while (front := _front(spark, home, n, asked, before, kind)) is not None:
-        _run_round(spark, front, context, home, n, call, params, models, lang_from, lang_to, mode, kind, per_call, store_options)
+    while _run_round(spark, _front(spark, home, n, asked, before, kind), context, home, n, call, params, models, lang_from, lang_to, mode, kind, per_call, store_options):
         n += 1
     done = finished(spark, home, kind)
     x = lines.join(done.withColumnRenamed("text", "new_text"), ["media_id", "line_ix"], "left")
@@ -87,8 +86,8 @@ def finished(spark: SparkSession, home: str, kind: str) -> DataFrame:
     return rows.select("media_id", "start_ix", F.posexplode("texts").alias("pos", "text")).select("media_id", (F.col("start_ix") + F.col("pos")).alias("line_ix"), "text")
 
 
-def _front(spark: SparkSession, home: str, n: int, asked: DataFrame, before: DataFrame | None, kind: str) -> DataFrame | None:
-    """The open batch of each media with what is known of it; None if none is open."""
+def _front(spark: SparkSession, home: str, n: int, asked: DataFrame, before: DataFrame | None, kind: str) -> DataFrame:
+    """The open batch of each media with what is known of it."""
     none = lambda x: F.lit(None).cast(x)
     if n == 0:
         front = asked.where("batch_ix = 0").withColumns({"attempt": F.lit(0), "said": none("array<string>")})
@@ -98,14 +97,13 @@ def _front(spark: SparkSession, home: str, n: int, asked: DataFrame, before: Dat
         over = F.col("texts").isNotNull()
         nxt = last.select("media_id", (F.col("batch_ix") + over.cast("int")).alias("batch_ix"), F.when(over, 0).otherwise(F.col("attempt") + 1).alias("attempt"), F.when(~over, F.col("said")).alias("said"), "tail")
         span = nxt.agg(F.min("batch_ix").alias("a"), F.max("batch_ix").alias("b")).first()
-        if span["a"] is None:
-            return None
-        front = asked.where(F.col("batch_ix").between(span["a"], span["b"])).join(nxt, ["media_id", "batch_ix"])
-    return None if front.isEmpty() else front
+        # batches lie in order, so only the parts that can be open are read
+        front = asked.where(F.col("batch_ix").between(span["a"] or 0, span["b"] or 0)).join(nxt, ["media_id", "batch_ix"])
+    return front
 
 
-def _run_round(spark, front, context, home, n, call, params, models, lang_from, lang_to, mode, kind, per_call, store_options) -> None:
-    """Ask for the batches in ``front`` and commit the round's rows."""
+def _run_round(spark, front, context, home, n, call, params, models, lang_from, lang_to, mode, kind, per_call, store_options) -> bool:
+    """Ask for the batches in ``front`` and commit the round's rows; False if no batch is open."""
     most = params.translate_retries
     last_attempt = most * len(models) - 1
     numbered = lambda c: F.array_join(F.transform(c, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
@@ -116,11 +114,13 @@ def _run_round(spark, front, context, home, n, call, params, models, lang_from,
     again = F.col("said").isNotNull() & (F.abs(n_said - F.col("n_entries")) <= T.MOST_OFF)
     prompt = F.when(again, T.retry_text(lang_from, lang_to, n_said, F.col("n_entries"), F.col("entries"), numbered(F.col("said")))).otherwise(T.prompt_text(lang_from, lang_to))
     which = F.element_at(F.array(*[F.lit(m) for m in models]), F.least(F.floor(F.col("attempt") / most) + 1, F.lit(len(models))).cast("int"))
-    requests = T.with_system(x.select("media_id", "batch_ix", "attempt", which.alias("model"), prompt.alias("prompt")), lang_from, lang_to)
-    # written, so that the round's prompts are made once
-    requests = S.keep(requests, f"{home}/requests/round={n}")
+    requests = T.with_system(x.select(*front.columns, which.alias("model"), prompt.alias("prompt")), lang_from, lang_to)
+    # written, so that the round's batches are met and its prompts made once
+    front = requests = S.keep(requests, f"{home}/requests/round={n}")
+    if not requests.count():
+        return False
     store = AnswerStore(spark, f"{home}/answers/round={n}", KEYS, per_call=per_call, retries=params.server_retries, **store_options)
-    said = store.ask(requests, call).withColumn("response", F.coalesce("response", F.lit("")))
+    said = store.ask(requests.select("media_id", "batch_ix", *KEYS), call).withColumn("response", F.coalesce("response", F.lit("")))
     entries = T.clean_ellipses(T.strip_numbering(T.split_responses(said)), mode)
     payload = front.select("media_id", "batch_ix", F.posexplode("rows").alias("pos", "text"))
     key = ["media_id", "batch_ix", "attempt"]
@@ -130,10 +130,11 @@ def _run_round(spark, front, context, home, n, call, params, models, lang_from,
     fitted = T.force_counts(entries, payload).groupBy(*key).agg(in_order.alias("fitted"))
     over = F.col("status").isin("ok", "fallback")
     texts = F.when(over, F.slice("fitted", F.lit(1), F.col("n_lines").cast("int")))
-    out = front.select(*key, "start_ix", "n_lines", "tail").join(requests.select(*key, "model"), key).join(status, key).join(as_said, key).join(fitted, key)
+    out = front.select(*key, "start_ix", "n_lines", "tail", "model").join(status, key).join(as_said, key).join(fitted, key)
     tail = F.coalesce("tail", F.array().cast("array<string>"))
     grown = F.concat(tail, F.coalesce("texts", F.array().cast("array<string>")))
     out = out.withColumn("texts", texts)
     out = out.withColumn("tail", F.slice(grown, F.greatest(F.size(grown) - params.context_lines + 1, F.lit(1)), max(1, params.context_lines)))
     out = out.withColumn("said", F.when(~over, F.col("said"))).withColumn("status", F.when(F.col("status") == "fallback", "forced").otherwise(F.col("status")))
     out.select(*[f.strip().split(" ")[0] for f in kind.split(", ")]).write.mode("overwrite").parquet(f"{home}/rounds/round={n}")
+    return True

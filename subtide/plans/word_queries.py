@@ -21,6 +21,7 @@ LATIN = Params(delimiters=(".", "?", "!"), soft_delimiters=(",", " "), remove_te
 BATCHED = Params(batch_lines=3, discard_lines=2, max_cont_lines=2, context_lines=4)
 BATCHED_ROUNDS = replace(BATCHED, translate_retries=2)
 FULL = replace(LATIN, batch_lines=3, discard_lines=2, max_cont_lines=2, seg_min_lines=2)
+TAG_ENDS = ("", "-BR", "-Hant", "-Hant-TW", "_AT", "-x1-419", "--")
 LINE = ["media_id", "line_ix", "start_ms", "end_ms", "style", "text"]
 WORD = ["media_id", "segment_ix", "word_ix", "text", "start", "end", "type", "speaker"]
 
@@ -90,21 +91,58 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
-    """Texts in one, two or three asterisks."""
-    stars = F.element_at(F.array(F.lit("*"), F.lit("**"), F.lit("***")), (F.col("line_ix") % 3 + 1).cast("int"))
+    """Texts with several spans of emphasis, spans in a row, unclosed and doubled marks; some have tags already."""
     body = F.regexp_replace("text", r"[*\n{}\\]", "")
-    return X.talk_lines(s, d).withColumn("text", F.concat(stars, body, stars, F.when(F.col("media_id") % 5 == 0, F.lit(" {\\i1}")).otherwise("")))
+    third = F.floor(F.length(body) / 3).cast("int")
+    a, b, c = F.substring(body, F.lit(1), third), F.substring(body, third + 1, third), F.substring(body, 2 * third + 1, F.length(body))
+    forms = [
+        F.concat(F.lit("*"), a, F.lit("* **"), b, F.lit("** ***"), c, F.lit("***")),
+        F.concat(a, F.lit("*"), b, F.lit("*"), c, F.lit("*")),
+        F.concat(F.lit("**"), a, F.lit("**"), b, F.lit("****"), c, F.lit("*")),
+        F.concat(F.lit("***"), a, F.lit("** "), b, F.lit("* "), c),
+        F.concat(F.lit("* "), a, F.lit(" *"), b, F.lit("**"), c, F.lit("** *")),
+        F.concat(a, F.lit(" *"), b, F.lit("* *"), c, F.lit("*")),
+    ]
+    shaped = F.element_at(F.array(*forms), (F.col("line_ix") % len(forms) + 1).cast("int"))
+    return X.talk_lines(s, d).withColumn("text", F.concat(shaped, F.when(F.col("media_id") % 5 == 0, F.lit(" {\\i1}")).otherwise("")))
+
+
+def _event_tables(s: SparkSession, d: str) -> DataFrame:
+    """Event tables of three forms: the usual ten fields, four, and six in another order with a style table before; one row in seven is cut short."""
+    t = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(F.col(c) / 3600000), F.floor(F.col(c) / 60000) % 60, F.floor(F.col(c) / 1000) % 60, F.floor(F.col(c) / 10) % 100)
+    text = F.replace("text", F.lit("\n"), F.lit("\\N"))
+    who = F.when(F.col("line_ix") % 2 == 0, F.concat(F.lit("P"), "media_id")).otherwise("")
+    kind = F.col("media_id") % 3
+    row = F.when(kind == 0, F.concat_ws(",", F.lit("0"), t("start_ms"), t("end_ms"), "style", who, F.lit("0,0,0,"), text)).when(kind == 1, F.concat_ws(",", "style", t("start_ms"), t("end_ms"), text)).otherwise(F.concat_ws(",", t("end_ms"), who, t("start_ms"), F.lit("0"), "style", text))
+    row = F.when((F.col("media_id") + F.col("line_ix")) % 7 == 3, F.concat(F.lit("0,"), t("start_ms"))).otherwise(row)
+    head = F.when(kind == 0, "[Events]\n").when(kind == 1, "[Events]\nFormat: Style, Start, End, Text\n").otherwise("[V4+ Styles]\nFormat: Name, Fontname\nStyle: a,b\n\n[Events]\nFormat: End, Name, Start, Layer, Style, Text\n")
+    g = X.talk_lines(s, d).select("media_id", "line_ix", F.concat(F.lit("Dialogue: "), row).alias("row")).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("line_ix", "row"))).alias("rows"))
+    return g.select("media_id", F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), "\n")).alias("doc"))
 
 
 def _dim(s: SparkSession) -> DataFrame:
     return s.createDataFrame(list(translate.LANGUAGES), "code string, name string")
 
 
+def _tags(s: SparkSession, d: str) -> DataFrame:
+    """Languages of documents as tags with regions, scripts, unknown parts and codes."""
+    more = F.element_at(F.array(*[F.lit(x) for x in TAG_ENDS]), (F.col("doc_id") % len(TAG_ENDS) + 1).cast("int"))
+    return X.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 5, "zz-BR").when(F.col("doc_id") % 11 == 6, "PT-br").when(F.col("doc_id") % 11 != 7, F.concat("lang", more)).alias("tag"))
+
+
 def _requests(s: SparkSession, d: str) -> DataFrame:
     names = ["gpt-4.1-mini", "o3", "Gemini-2.5-pro", "deepseek/chat", "deepseek-chat", "grok-3", "Claude-x", "llama"]
     return X.table(s, d, "pages").select(F.col("page_id").alias("media_id"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 8 + 1).cast("int")).alias("model"), F.col("html").alias("prompt"))
 
 
+SPEECH_MODELS = ("Scribe_v1", "whisper-1", "whisper-v3-turbo", "nova", "x-whisper-v3")
+
+
+def _speech_requests(s: SparkSession, d: str) -> DataFrame:
+    model = F.element_at(F.array(*[F.lit(n) for n in SPEECH_MODELS]), (F.col("media_id") % len(SPEECH_MODELS) + 1).cast("int"))
+    return X.manifest(s, d).select("media_id", model.alias("model"))
+
+
 def _shout(prompts: list[str]) -> list[str]:
     return [p.translate(str.maketrans("aeiou", "AEIOU")) for p in prompts]
 
@@ -147,7 +185,7 @@ def _read_back(s: SparkSession, d: str) -> DataFrame:
     home = S.scratch_dir(s)
     transcripts.write_transcripts(transcripts.to_transcript_json(X.document_words(s, d)), home)
     j = transcripts.read_transcripts(s, home, "segmented")
-    return j.select(F.col("media_id").cast("long").alias("media_id"), "j.duration", F.size("j.segments").cast("long").alias("n_segments"), F.size("j.words").cast("long").alias("n_words"))
+    return j.select(F.col("media_id").cast("long").alias("media_id"), "j.duration", F.size("j.segments").cast("long").alias("n_segments"), F.posexplode("j.words").alias("place", "w")).select("media_id", "duration", "n_segments", "place", "w.word", "w.start", "w.end")
 
 
 QUERIES = {
@@ -159,6 +197,8 @@ QUERIES = {
     "a6_align_words": lambda s, d: transcripts.align_words(transcripts.segment_words(_good(s, d)), True).select(*WORD),
     "a7_to_transcript_json": lambda s, d: transcripts.to_transcript_json(X.document_words(s, d)).select("media_id", F.get_json_object("doc", "$.text").alias("text"), F.get_json_object("doc", "$.duration").cast("double").alias("duration"), F.json_array_length(F.get_json_object("doc", "$.segments")).cast("long").alias("n_segments"), F.json_array_length(F.get_json_object("doc", "$.words")).cast("long").alias("n_words")),
     "a8_parse_cues": lambda s, d: cues.parse_cues(cues.to_cues(X.talk_lines(s, d), "vtt"), "vtt").select(*[c for c in LINE if c != "style"]),
+    "a8_parse_event_tables": lambda s, d: cues.parse_cues(_event_tables(s, d), "ass").select(*LINE, "speaker"),
+    "a8_rejected_events": lambda s, d: cues.rejected_events(_event_tables(s, d)).select("media_id", F.col("at").cast("long").alias("at"), "reason"),
     "a9_to_cues": lambda s, d: cues.to_cues(X.talk_lines(s, d), "srt"),
     "a10_to_text": lambda s, d: cues.to_text(X.talk_lines(s, d)),
     "a11_classify_media": lambda s, d: catalog.classify_media(X.manifest(s, d)).select("media_id", "path", "kind"),
@@ -190,10 +230,11 @@ QUERIES = {
     "e13_replace_lines": lambda s, d: translate.replace_lines(X.talk_lines(s, d), _backward(s, d), 1).select(*LINE),
     "e14_md_to_ass": lambda s, d: translate.md_to_ass(_marked(s, d)).select("media_id", "line_ix", "text", "n_bold_italic", "n_bold", "n_italic"),
     "e15_text_to_lines": lambda s, d: translate.text_to_lines(_done(s, d).withColumnRenamed("line_ix", "pos"), X.talk_lines(s, d), X.talk_lines(s, d)).select(*LINE),
-    "e16_language_names": lambda s, d: translate.language_names(X.table(s, d, "documents").select("doc_id", "lang"), _dim(s), "lang"),
+    "e16_language_names": lambda s, d: translate.language_names(_tags(s, d), _dim(s), "tag"),
     "e17_apply_model": lambda s, d: translate.apply_model(_requests(s, d), _shout, store=answers.AnswerStore(s, f"{S.scratch_dir(s)}/answers", per_call=500)).select("media_id", "prompt", "response"),
     "e18_route_models": lambda s, d: translate.route_models(_requests(s, d))[0].select("media_id", "model", "provider"),
     "e18_unrouted_models": lambda s, d: translate.route_models(_requests(s, d))[1].select("media_id", "model"),
+    "e18_speech_routes": lambda s, d: translate.route_models(_speech_requests(s, d), translate.SPEECH_ROUTES)[0].select("media_id", "model", "provider"),
     "e19_translate": lambda s, d: translate.translate(X.continued_lines(s, d), X.replies(_payload(s, d)), BATCHED).select(*LINE),
     "e20_translate_rounds": _rounds,
     "f1_run_pipeline": _full_run,
@@ -277,8 +318,8 @@ _DOTS = "CASE (media_id + batch_ix + pos) % 3 WHEN 0 THEN entry || '...' WHEN 1
 _haha = "replace(replace(concat('--', text, repeat('ha', 7), chr(12288)), 'e', ''), 'o', '')"
 
 SQL = {
-    "a1_read_transcripts": _W + """, s AS (SELECT media_id, segment_ix, count(*) AS n, arg_max("end", word_ix) AS e FROM words GROUP BY ALL)
-SELECT media_id, arg_max(e, segment_ix) AS duration, count(*) AS n_segments, CAST(sum(n) AS bigint) AS n_words FROM s GROUP BY media_id""",
+    "a1_read_transcripts": _W + """, s AS (SELECT media_id, segment_ix, arg_max("end", word_ix) AS e FROM words GROUP BY ALL), m AS (SELECT media_id, arg_max(e, segment_ix) AS duration, count(*) AS n_segments FROM s GROUP BY media_id)
+SELECT w.media_id, duration, n_segments, CAST(row_number() OVER (PARTITION BY w.media_id ORDER BY segment_ix, word_ix) - 1 AS int) AS place, text AS word, start, "end" FROM words w JOIN m ON w.media_id = m.media_id""",
     "a2_rejected_transcripts": "SELECT doc_id AS media_id, 'words missing' AS reason FROM documents WHERE doc_id % 50 = 49",
     "a3_words_from_segmented": _W + "SELECT media_id, CAST(dense_rank() OVER (PARTITION BY media_id ORDER BY segment_ix) - 1 AS int) AS segment_ix, word_ix, text, start, \"end\", type, speaker FROM words WHERE media_id % 2 = 0",
     "a4_words_from_speaker_runs": _W + """, a AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix) AS place FROM words WHERE media_id % 2 = 1),
@@ -292,6 +333,9 @@ SELECT s.media_id, CAST(s.ix AS int) AS segment_ix, CAST(ord AS int) AS ord, tex
     "a7_to_transcript_json": _W + """, s AS (SELECT media_id, segment_ix, count(*) AS n, arg_max("end", word_ix) AS e, regexp_replace(string_agg(text, '' ORDER BY word_ix), '^\\s+|\\s+$', '', 'g') AS t FROM words GROUP BY ALL)
 SELECT media_id, string_agg(t, ' ' ORDER BY segment_ix) AS text, arg_max(e, segment_ix) AS duration, count(*) AS n_segments, CAST(sum(n) AS bigint) AS n_words FROM s GROUP BY media_id""",
     "a8_parse_cues": _TL + "SELECT media_id, line_ix, start_ms, end_ms, replace(text, chr(10), '\\N') AS text FROM lines",
+    "a8_parse_event_tables": _TL + """, k AS (SELECT * FROM lines WHERE (media_id + line_ix) % 7 <> 3) SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY line_ix) - 1 AS line_ix, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, style,
+  replace(text, chr(10), '\\N') AS text, CASE WHEN media_id % 3 <> 1 AND line_ix % 2 = 0 THEN 'P' || media_id ELSE 'Unknown' END AS speaker FROM k""",
+    "a8_rejected_events": _TL + "SELECT media_id, CASE media_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 6 END + line_ix AS at, 'too few fields' AS reason FROM lines WHERE (media_id + line_ix) % 7 = 3",
     "a9_to_cues": _TL + f"SELECT media_id, concat(string_agg(concat(line_ix + 1, chr(10), {_clock('start_ms')}, ' --> ', {_clock('end_ms')}, chr(10), text), chr(10) || chr(10) ORDER BY line_ix), chr(10)) AS doc FROM lines GROUP BY media_id",
     "a10_to_text": _TL + "SELECT media_id, string_agg(text, chr(10) ORDER BY line_ix) AS doc FROM lines GROUP BY media_id",
     "a11_classify_media": _M + f""", x AS (SELECT *, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS e FROM manifest)
@@ -333,13 +377,23 @@ SELECT media_id, batch_ix, attempt, pos, CASE WHEN pair AND ends_with(entry, '..
     "e11_drop_lookahead": _B + "SELECT f.media_id, start_ix + pos AS line_ix, entry AS text FROM forced f JOIN batches b ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix WHERE pos < n_lines",
     "e12_pending_lines": _TL + "SELECT media_id, line_ix, start_ms, end_ms, style, text FROM lines WHERE NOT (media_id + line_ix) % 3 < 2 AND line_ix BETWEEN media_id % 3 AND media_id % 3 + 4",
     "e13_replace_lines": _TL + "SELECT a.media_id, a.line_ix, a.start_ms, a.end_ms, a.style, coalesce(translate(b.text, 'aeiou', 'AEIOU'), a.text) AS text FROM lines a JOIN (SELECT media_id, count(*) AS n FROM lines GROUP BY media_id) z ON a.media_id = z.media_id LEFT JOIN lines b ON a.media_id = b.media_id AND b.line_ix = n - a.line_ix AND a.line_ix >= 1",
-    "e14_md_to_ass": _TL + """, b AS (SELECT media_id, line_ix, regexp_replace(text, '[*\\n{}\\\\]', '', 'g') AS t FROM lines)
-SELECT media_id, line_ix, CASE WHEN media_id % 5 = 0 THEN concat(repeat('*', line_ix % 3 + 1), t, repeat('*', line_ix % 3 + 1), ' {\\i1}') WHEN t = '' THEN repeat('*', 2 * (line_ix % 3 + 1))
-  WHEN line_ix % 3 = 0 THEN concat('{\\i1}', t, '{\\i0}') WHEN line_ix % 3 = 1 THEN concat('{\\b1}', t, '{\\b0}') ELSE concat('{\\b1}{\\i1}', t, '{\\i0}{\\b0}') END AS text,
-  CAST(media_id % 5 <> 0 AND line_ix % 3 = 2 AS bigint) AS n_bold_italic, CAST(media_id % 5 <> 0 AND line_ix % 3 = 1 AS bigint) AS n_bold, CAST(media_id % 5 <> 0 AND line_ix % 3 = 0 AS bigint) AS n_italic FROM b""",
+    # single asterisks: pieces between them, from left to right; a mark that stands beside another one is none
+    "e14_md_to_ass": _TL + r""", b AS (SELECT *, regexp_replace(text, '[*\n{}\\]', '', 'g') AS t, length(regexp_replace(text, '[*\n{}\\]', '', 'g')) // 3 AS k FROM lines),
+c AS (SELECT media_id, line_ix, substr(t, 1, k) AS a, substr(t, k + 1, k) AS b, substr(t, 2 * k + 1) AS c FROM b),
+d AS (SELECT media_id, line_ix, CASE line_ix % 6 WHEN 0 THEN '*' || a || '* **' || b || '** ***' || c || '***' WHEN 1 THEN a || '*' || b || '*' || c || '*' WHEN 2 THEN '**' || a || '**' || b || '****' || c || '*'
+  WHEN 3 THEN '***' || a || '** ' || b || '* ' || c WHEN 4 THEN '* ' || a || ' *' || b || '**' || c || '** *' ELSE a || ' *' || b || '* *' || c || '*' END AS t FROM c),
+e AS (SELECT *, regexp_replace(t, '\*\*\*(.+?)\*\*\*', '{\\b1}{\\i1}\1{\\i0}{\\b0}', 'g') AS u FROM d),
+f AS (SELECT *, string_split(regexp_replace(u, '\*\*(.+?)\*\*', '{\\b1}\1{\\b0}', 'g'), '*') AS p FROM e),
+g AS (SELECT *, list_reduce(list_transform(range(1, len(p)), lambda i: {'i': i, 'on': 0::bigint, 'o': '', 'n': 0::bigint}), lambda s, x: CASE WHEN x.i < s.on THEN s
+    WHEN x.i + 1 < len(p) AND p[x.i + 1] <> '' AND (p[x.i] <> '' OR x.i = 1) AND (p[x.i + 2] <> '' OR x.i + 2 = len(p)) THEN {'i': x.i, 'on': x.i + 2, 'o': s.o || '{\i1}' || p[x.i + 1] || '{\i0}' || p[x.i + 2], 'n': s.n + 1}
+    ELSE {'i': x.i, 'on': x.i + 1, 'o': s.o || '*' || p[x.i + 1], 'n': s.n} END, {'i': 0::bigint, 'on': 1::bigint, 'o': p[1], 'n': 0::bigint}) AS z FROM f)
+SELECT media_id, line_ix, CASE WHEN media_id % 5 = 0 THEN t || ' {\i1}' ELSE z.o END AS text, CAST(CASE WHEN media_id % 5 = 0 THEN 0 ELSE len(regexp_extract_all(t, '\*\*\*(.+?)\*\*\*')) END AS bigint) AS n_bold_italic,
+  CAST(CASE WHEN media_id % 5 = 0 THEN 0 ELSE len(regexp_extract_all(u, '\*\*(.+?)\*\*')) END AS bigint) AS n_bold, CASE WHEN media_id % 5 = 0 THEN 0 ELSE z.n END AS n_italic FROM g""",
     "e15_text_to_lines": _TL + """, u AS (SELECT *, 0 AS k FROM lines UNION ALL SELECT * REPLACE (translate(text, 'aeiou', 'AEIOU') AS text), 1 FROM lines WHERE (media_id + line_ix) % 3 < 2)
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY k, line_ix) - 1 AS line_ix, start_ms, end_ms, style, text FROM u""",
-    "e16_language_names": "SELECT doc_id, lang, CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in translate.LANGUAGES) + " ELSE lang END AS name FROM documents",
+    "e16_language_names": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'zz-BR' WHEN doc_id % 11 = 6 THEN 'PT-br' WHEN doc_id % 11 <> 7 THEN lang || {list(TAG_ENDS)}[doc_id % {len(TAG_ENDS)} + 1] END AS tag FROM documents),
+p AS (SELECT doc_id, tag, regexp_split_to_array(tag, '[-_]') AS ps FROM t)
+SELECT doc_id, tag, coalesce(CASE lower(ps[1]) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in translate.LANGUAGES)} END || CASE WHEN len(ps) > 1 THEN ' (' || array_to_string(list_transform(ps[2:], lambda x: CASE lower(x) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in translate.SUBTAGS)} ELSE x END), ', ') || ')' ELSE '' END, tag) AS name FROM p""",
     "e17_apply_model": "SELECT page_id AS media_id, html AS prompt, translate(html, 'aeiou', 'AEIOU') AS response FROM pages",
     # the texts of conversations have no asterisks, so emphasis changes nothing
     "e19_translate": _B + """, best AS (SELECT media_id, batch_ix, coalesce(min(attempt) FILTER (WHERE n_said = n_asked), max(attempt)) AS attempt FROM status GROUP BY ALL),
@@ -363,6 +417,7 @@ SELECT l.media_id, l.line_ix, l.start_ms, l.end_ms, l.style, coalesce(f.entry, '
 FROM lines l JOIN batches b ON l.media_id = b.media_id AND l.line_ix BETWEEN b.start_ix AND b.end_ix
 LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.pos = l.line_ix - b.start_ix""",
     "e18_route_models": f"SELECT * FROM (SELECT page_id AS media_id, ['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deepseek-chat', 'grok-3', 'Claude-x', 'llama'][page_id % 8 + 1] AS model, {_route} AS provider FROM (SELECT *, {_model} AS m FROM pages)) WHERE provider IS NOT NULL",
+    "e18_speech_routes": f"SELECT * FROM (SELECT page_id AS media_id, {list(SPEECH_MODELS)}[page_id % {len(SPEECH_MODELS)} + 1] AS model, CASE " + " ".join(f"WHEN contains(lower({list(SPEECH_MODELS)}[page_id % {len(SPEECH_MODELS)} + 1]), '{p}') THEN '{n}'" for p, n in translate.SPEECH_ROUTES) + " END AS provider FROM pages) WHERE provider IS NOT NULL",
     "e18_unrouted_models": "SELECT page_id AS media_id, 'llama' AS model FROM pages WHERE page_id % 8 = 7",
     "f3_incremental_convert": _W.replace("words AS", "heard AS", 1) + ", " + line_sql.ALIGNED.replace("FROM words", "FROM heard").replace("aligned AS", "words AS") + ", " + line_sql.lines_from_words() + f" SELECT media_id, line_ix, start_ms, end_ms, style, text FROM ({line_sql.numbered()})",
     "f2_pending_media": _M + "SELECT media_id, path FROM manifest WHERE media_id NOT IN (SELECT conv_id FROM conversations)",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from subtide.functions.columns import media_of_file
+from subtide.functions.store import write_named
 
 FORMATS = ("srt", "vtt", "sbv", "ass", "ssa")
 _TIME = r"(?:(\d+):)?(\d{1,2}):(\d{1,2})[.,](\d{1,3})"
@@ -31,13 +32,47 @@ def _clock(ms: Column, mark: str, digits: int, hours: int) -> Column:
     return F.concat(hour, F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60), F.lit(mark), fraction)
 
 
+#: Fields of an event table that does not name its own.
+EVENT_FIELDS = ("layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text")
+
+
+def _body() -> Column:
+    return F.regexp_replace(F.regexp_replace("doc", "\ufeff", ""), "\r\n?", "\n")
+
+
+def _event_rows(files: DataFrame) -> DataFrame:
+    """(media_id, at, row, fields, v): the rows of event tables with the fields that the ``Format:`` row before them names, and their values; the last field takes the rest."""
+    x = files.select("media_id", F.posexplode(F.split(_body(), "\n")).alias("at", "row"))
+    w = Window.partitionBy("media_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("section", F.last(F.when(F.col("row").rlike(r"^\s*\[.*\]\s*$"), F.lower(F.trim("row"))), ignorenulls=True).over(w))
+    in_events = F.coalesce(F.col("section") == "[events]", F.lit(True))
+    named = F.transform(F.split(F.regexp_replace("row", r"^Format:\s*", ""), ","), lambda f: F.lower(F.trim(f)))
+    x = x.withColumn("fields", F.last(F.when(in_events & F.col("row").startswith("Format:"), named), ignorenulls=True).over(w))
+    x = x.where(in_events & F.col("row").startswith("Dialogue:")).withColumn("fields", F.coalesce("fields", F.array(*[F.lit(f) for f in EVENT_FIELDS])))
+    return x.select("media_id", "at", "row", "fields", F.split(F.regexp_replace("row", r"^Dialogue:\s*", ""), ",", F.size("fields")).alias("v"))
+
+
+def _field(*names: str) -> Column:
+    """The value of the first of the fields that the table has; null without one."""
+    at = [F.nullif(F.array_position("fields", n), F.lit(0).cast("long")) for n in names]
+    return F.try_element_at("v", F.coalesce(*at).cast("int"))
+
+
+def rejected_events(files: DataFrame) -> DataFrame:
+    """(media_id, at, row, reason): rows of event tables that are no lines."""
+    x = _event_rows(files)
+    reason = F.when(F.size("v") < F.size("fields"), "too few fields").when(_field("start").isNull() | _field("end").isNull() | _field("text").isNull(), "start, end or text not named")
+    reason = reason.when(~_field("start").rlike(_TIME) | ~_field("end").rlike(_TIME), "no time")
+    return x.withColumn("reason", reason).where("reason is not null").select("media_id", "at", "row", "reason")
+
+
 def parse_cues(files: DataFrame, format: str) -> DataFrame:
-    """lines of (media_id, doc)."""
-    body = F.regexp_replace(F.regexp_replace("doc", "﻿", ""), "\r\n?", "\n")
+    """lines of (media_id, doc); rows of event tables that are no lines are left out (``rejected_events``)."""
+    body = _body()
     if format in ("ass", "ssa"):
-        x = files.select("media_id", F.posexplode(F.split(body, "\n")).alias("at", "row")).where(F.col("row").startswith("Dialogue:"))
-        f = F.split(F.regexp_replace("row", r"^Dialogue:\s*", ""), ",", 10)
-        x = x.select("media_id", "at", _ms(f[1]).alias("start_ms"), _ms(f[2]).alias("end_ms"), f[3].alias("style"), f[9].alias("text"), F.when(f[4] != "", f[4]).otherwise("Unknown").alias("speaker"))
+        x = _event_rows(files).where((F.size("v") >= F.size("fields")) & _field("start").rlike(_TIME) & _field("end").rlike(_TIME) & _field("text").isNotNull())
+        speaker = _field("name", "actor")
+        x = x.select("media_id", "at", _ms(_field("start")).alias("start_ms"), _ms(_field("end")).alias("end_ms"), F.coalesce(F.trim(_field("style")), F.lit("Default")).alias("style"), _field("text").alias("text"), F.when(speaker != "", speaker).otherwise("Unknown").alias("speaker"))
     else:
         arrow = r"(?m)^" + _TIME + (r"\s*,\s*" if format == "sbv" else r"\s*-->\s*") + _TIME
         x = files.select("media_id", F.posexplode(F.split(body, r"\n[ \t]*\n+")).alias("at", "cue")).where(F.col("cue").rlike(arrow))
@@ -75,15 +110,11 @@ def to_text(lines: DataFrame) -> DataFrame:
     return g.select("media_id", F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("doc"))
 
 
-def _write(docs: DataFrame, path: str) -> None:
-    # the writer ends the file with a line end of its own
-    bodies = docs.select("media_id", F.regexp_replace("doc", r"\n$", "").alias("value"))
-    bodies.repartition("media_id").write.partitionBy("media_id").mode("overwrite").text(path)
-
-
 def write_cues(lines: DataFrame, path: str, format: str) -> None:
-    _write(to_cues(lines, format), path)
+    """``<media_id>.<format>`` for each media."""
+    write_named(to_cues(lines, format), path, f".{format}")
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    _write(to_text(lines), path)
+    """``<media_id>.txt`` for each media."""
+    write_named(to_text(lines), path, ".txt")
