@@ -125,10 +125,10 @@ def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One media a conversation, one segment a turn: words and spacing in turn, a tenth of a second each, some long pauses."""
     return spark.sql(
         r"""WITH t AS (SELECT conv_id AS media_id, CAST(turn AS int) AS segment_ix, posexplode(regexp_extract_all(text, '(\\S+|\\s+)', 1)) AS (word_ix, text) FROM {conversations}),
-            v AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 WHEN (media_id + segment_ix) % 4 = 0 THEN 1 ELSE length(text) * 60 END AS d, CASE WHEN (media_id + word_ix) % 37 = 0 THEN 2500 ELSE 0 END AS g FROM t),
+            v AS (SELECT *, CASE WHEN text RLIKE '^\\s' THEN 0 WHEN (media_id + segment_ix) % 4 = 0 THEN 1 ELSE length(text) * 60 END AS d, CASE WHEN (media_id + word_ix) % 37 = 0 THEN 2500 ELSE 0 END AS g FROM t),
             w AS (SELECT *, coalesce(sum(d + g) OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v)
             SELECT media_id, segment_ix, word_ix, text, CAST(b + g AS bigint) / 1000.0D AS start, CAST(b + g + d AS bigint) / 1000.0D AS `end`,
-                   CASE WHEN trim(text) = '' THEN 'spacing' ELSE 'word' END AS type, concat('S', CAST(segment_ix % 2 AS string)) AS speaker, CAST(NULL AS double) AS confidence FROM w""",
+                   CASE WHEN text RLIKE '^\\s' THEN 'spacing' ELSE 'word' END AS type, concat('S', CAST(segment_ix % 2 AS string)) AS speaker, CAST(NULL AS double) AS confidence FROM w""",
         conversations=table(spark, sf_dir, "conversations"),
     )
 
@@ -138,7 +138,7 @@ def words_again(lines: DataFrame, cuts: DataFrame) -> DataFrame:
     rows = cuts.select("media_id", "group_ix", F.explode(F.sequence("start_ix", "end_ix")).alias("line_ix")).join(lines, ["media_id", "line_ix"])
     w = rows.select("media_id", "group_ix", F.col("line_ix").cast("int").alias("segment_ix"), "line_ix", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+|\s+)"))).alias("word_ix", "text"))
     at = F.col("word_ix") * 100 / F.lit(1000.0) + F.col("line_ix")
-    return w.select("media_id", "group_ix", "segment_ix", "word_ix", "text", at.alias("start"), (at + 0.1).alias("end"), F.when(F.trim("text") == "", "spacing").otherwise("word").alias("type"), F.lit("Default").alias("speaker"), F.lit(None).cast("double").alias("confidence"))
+    return w.select("media_id", "group_ix", "segment_ix", "word_ix", "text", at.alias("start"), (at + 0.1).alias("end"), F.when(F.col("text").rlike(r"^\s"), "spacing").otherwise("word").alias("type"), F.lit("Default").alias("speaker"), F.lit(None).cast("double").alias("confidence"))
 
 
 def segmented_docs(words: DataFrame) -> DataFrame:
@@ -183,6 +183,12 @@ WORDS_SQL = r"""words AS (SELECT media_id, CAST(seg_ix AS int) AS segment_ix, CA
         FROM (SELECT doc_id, seg_ix - 1 AS seg_ix, unnest(range(len(w))) AS word_ix, unnest(w) AS word
           FROM (SELECT doc_id, seg_ix, regexp_extract_all(seg, '(\S+|\s+)') AS w
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS seg, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS seg_ix FROM documents)))) y) x) v)"""
+TALK_WORDS_SQL = r"""words AS (SELECT media_id, segment_ix, word_ix, text, CAST(b + g AS bigint) / 1000.0::DOUBLE AS start, CAST(b + g + d AS bigint) / 1000.0::DOUBLE AS "end", CASE WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'spacing' ELSE 'word' END AS type,
+    concat('S', CAST(segment_ix % 2 AS varchar)) AS speaker
+  FROM (SELECT *, coalesce(sum(d + g) OVER (PARTITION BY media_id ORDER BY segment_ix, word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+    FROM (SELECT *, CASE WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 0 WHEN (media_id + segment_ix) % 4 = 0 THEN 1 ELSE length(text) * 60 END AS d, CASE WHEN (media_id + word_ix) % 37 = 0 THEN 2500 ELSE 0 END AS g
+      FROM (SELECT media_id, segment_ix, CAST(unnest(range(len(w))) AS int) AS word_ix, unnest(w) AS text
+        FROM (SELECT conv_id AS media_id, CAST(turn AS int) AS segment_ix, regexp_extract_all(text, '(\S+|\s+)') AS w FROM conversations))) x) v)"""
 MANIFEST_SQL = """manifest AS (SELECT page_id AS media_id,
   CASE page_id % 10 WHEN 0 THEN url WHEN 1 THEN concat('/in/m', page_id, '.MP4') WHEN 2 THEN concat('/in/m', page_id, '.flac') WHEN 3 THEN concat('/in/m', page_id, '.raw.json')
     WHEN 4 THEN concat('/in/m', page_id, '.fixed.en.ass') WHEN 5 THEN concat('/in/m', page_id, '.context.txt') WHEN 6 THEN concat('/in/m', page_id, '.jpeg')

@@ -84,7 +84,7 @@ QUERIES = {
 }
 
 
-def _chain(lines: str, min_delay_ms: int, min_lines: int = 4) -> str:
+def chain(lines: str, min_delay_ms: int, min_lines: int = 4) -> str:
     """WITH entries from lines to padded segments."""
     return f"""WITH {lines},
 short AS (SELECT *, (end_ms - start_ms) / 1000.0::DOUBLE <= 0.1::DOUBLE AS is_short FROM lines),
@@ -112,8 +112,8 @@ cuts AS (SELECT p.media_id, group_ix, p.start_ix, p.end_ix, a.start_ms, b.end_ms
   FROM padded p JOIN lines a ON a.media_id = p.media_id AND a.line_ix = p.start_ix JOIN lines b ON b.media_id = p.media_id AND b.line_ix = p.end_ix)"""
 
 
-_E = _chain(X.EVENT_LINES_SQL, 1000)
-_T = _chain(X.TALK_LINES_SQL, 10000)
+_E = chain(X.EVENT_LINES_SQL, 1000)
+_T = chain(X.TALK_LINES_SQL, 10000)
 _clock = lambda c: f"concat(({c} + 5) // 10 // 6000, ':', lpad(CAST(({c} + 5) // 10 // 100 % 60 AS varchar), 2, '0'), '.', lpad(CAST(({c} + 5) // 10 % 100 AS varchar), 2, '0'))"
 _D1 = """, head AS (SELECT e.media_id, e.end_ix, string_agg(l.text, ' ' ORDER BY l.line_ix) AS t, min(l.start_ms) FILTER (l.line_ix = 0) AS s FROM every e JOIN sizes z ON z.media_id = e.media_id
   JOIN lines l ON l.media_id = e.media_id AND l.line_ix <= e.end_ix WHERE e.start_ix = 0 AND e.end_ix + 1 < z.n GROUP BY e.media_id, e.end_ix),
@@ -130,12 +130,29 @@ r3 AS (SELECT *, a + sum(share) OVER (PARTITION BY media_id, group_ix ORDER BY l
 SELECT l.media_id, l.line_ix, CAST(coalesce(r3.e - share, start_ms) AS bigint) AS start_ms, CAST(coalesce(r3.e, end_ms) AS bigint) AS end_ms, style, text FROM {source} l LEFT JOIN r3 ON l.media_id = r3.media_id AND l.line_ix = r3.line_ix"""
 
 
+def fixed_sql(lines: str, min_lines: int = 4) -> str:
+    return chain(lines, 10000, min_lines) + _D1 + _d2("one")
+
+
 _SPLICED = f"""WITH {X.TALK_LINES_SQL}, {X.RANGES_SQL}, sizes AS (SELECT media_id, count(*) AS n FROM lines GROUP BY media_id),
 good AS (SELECT r.* FROM ranges r JOIN sizes z ON r.media_id = z.media_id WHERE hi_ix < n),
 parts AS (SELECT l.media_id, line_ix AS place, -1 AS nth, start_ms, end_ms, style, text FROM lines l LEFT JOIN good g ON l.media_id = g.media_id AND line_ix BETWEEN lo_ix AND hi_ix WHERE g.media_id IS NULL
   UNION ALL SELECT media_id, lo_ix, k, lo_ix * 1000 + k * 300, lo_ix * 1000 + k * 300 + 250, 'Default', concat_ws('-', 'new', media_id, k) FROM good, (SELECT unnest([0, 1]) AS k)),
 spliced AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY place, nth) - 1 AS line_ix, CAST(start_ms AS bigint) AS start_ms, CAST(end_ms AS bigint) AS end_ms, style, text FROM parts)"""
 
+def padded_sql(lines: str) -> str:
+    """The passes of the timing standards, for lines that end after they start."""
+    return f"WITH {lines}" + """, a AS (SELECT *, greatest(length(text) / 15.0::DOUBLE * 1000.0::DOUBLE, 1000.0::DOUBLE) AS dur FROM lines),
+b AS (SELECT *, least(start_ms + dur, end_ms + 2000.0::DOUBLE) AS target FROM a),
+c AS (SELECT *, length(text) > 0 AND target > end_ms AS active, least(target, lead(start_ms) OVER w::DOUBLE) AS ne FROM b WINDOW w AS (PARTITION BY media_id, style ORDER BY line_ix)),
+d AS (SELECT *, CASE WHEN active THEN CAST(round_even(greatest(end_ms::DOUBLE, ne), 0) AS bigint) ELSE end_ms END AS end_1 FROM c),
+e AS (SELECT *, coalesce(lag(end_1) OVER (PARTITION BY media_id, style ORDER BY line_ix), 0) AS pe, dur - (ne - start_ms) AS lack FROM d),
+f AS (SELECT *, greatest(start_ms - least(lack, 250.0::DOUBLE), pe::DOUBLE) AS earlier FROM e),
+g AS (SELECT *, CASE WHEN active AND lack > 0 AND earlier < start_ms THEN CAST(trunc(earlier) AS bigint) ELSE start_ms END AS start_2 FROM f),
+h AS (SELECT *, greatest(end_ms::DOUBLE, ne, (start_2 + 1)::DOUBLE) AS f FROM g)
+SELECT media_id, line_ix, start_2 AS start_ms, CASE WHEN active AND f > end_ms THEN CAST(round_even(f, 0) AS bigint) ELSE end_ms END AS end_ms, style, text FROM h"""
+
+
 SQL = {
     "c1_short_lines": _E + "SELECT media_id, line_ix, is_short FROM short",
     "c2_fill_single_gaps": _E + "SELECT media_id, line_ix, is_short FROM filled",
@@ -159,15 +176,7 @@ LEFT JOIN (SELECT media_id, group_ix, max(line_ix) AS fore_ix FROM f2 WHERE most
     "d2_redistribute_backward": _T + _d2("lines"),
     "d3_fix_mistimed": _T + _D1 + _d2("one"),
     "d4_remove_empty": _E + "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY line_ix) - 1 AS line_ix, start_ms, end_ms, style, text FROM lines WHERE trim(text) <> ''",
-    "d5_apply_timing_standards": _T + """, a AS (SELECT *, greatest(length(text) / 15.0::DOUBLE * 1000.0::DOUBLE, 1000.0::DOUBLE) AS dur FROM lines),
-b AS (SELECT *, least(start_ms + dur, end_ms + 2000.0::DOUBLE) AS target FROM a),
-c AS (SELECT *, length(text) > 0 AND target > end_ms AS active, least(target, lead(start_ms) OVER w::DOUBLE) AS ne FROM b WINDOW w AS (PARTITION BY media_id, style ORDER BY line_ix)),
-d AS (SELECT *, CASE WHEN active THEN CAST(round_even(greatest(end_ms::DOUBLE, ne), 0) AS bigint) ELSE end_ms END AS end_1 FROM c),
-e AS (SELECT *, coalesce(lag(end_1) OVER (PARTITION BY media_id, style ORDER BY line_ix), 0) AS pe, dur - (ne - start_ms) AS lack FROM d),
-f AS (SELECT *, greatest(start_ms - least(lack, 250.0::DOUBLE), pe::DOUBLE) AS earlier FROM e),
-g AS (SELECT *, CASE WHEN active AND lack > 0 AND earlier < start_ms THEN CAST(trunc(earlier) AS bigint) ELSE start_ms END AS start_2 FROM f),
-h AS (SELECT *, greatest(end_ms::DOUBLE, ne, (start_2 + 1)::DOUBLE) AS f FROM g)
-SELECT media_id, line_ix, start_2 AS start_ms, CASE WHEN active AND f > end_ms THEN CAST(round_even(f, 0) AS bigint) ELSE end_ms END AS end_ms, style, text FROM h""",
+    "d5_apply_timing_standards": padded_sql(X.TALK_LINES_SQL),
     "d6_splice": _SPLICED + "SELECT * FROM spliced",
     "d7_shift": _T + "SELECT media_id, line_ix, start_ms + media_id * 10 AS start_ms, end_ms + media_id * 10 AS end_ms, style, text FROM lines",
     "d8_cut_plan": _E + "SELECT * FROM cuts",

@@ -307,13 +307,21 @@ _model = "lower(['gpt-4.1-mini', 'o3', 'Gemini-2.5-pro', 'deepseek/chat', 'deeps
 _route = "CASE " + " ".join(f"WHEN contains(m, '{p}') THEN '{n}'" for p, n in translate.LLM_ROUTES) + " END"
 _clock = lambda c: f"concat(lpad(CAST({c} // 3600000 AS varchar), 2, '0'), ':', lpad(CAST({c} // 60000 % 60 AS varchar), 2, '0'), ':', lpad(CAST({c} // 1000 % 60 AS varchar), 2, '0'), ',', lpad(CAST({c} % 1000 AS varchar), 3, '0'))"
 
-_D12 = line_queries._chain(X.TALK_LINES_SQL, 10000, 1) + r""", cut_rows AS (SELECT c.media_id, c.group_ix, l.line_ix, regexp_extract_all(l.text, '(\S+|\s+)') AS w FROM cuts c JOIN lines l ON l.media_id = c.media_id AND l.line_ix BETWEEN c.start_ix AND c.end_ix),
+
+
+def _retranscribed_sql(lines: str, min_lines: int) -> str:
+    """Lines with new ones, from the words of each cut, in place of mistimed segments."""
+    chain = line_queries.chain(lines, 10000, min_lines)
+    words_again = r""", cut_rows AS (SELECT c.media_id, c.group_ix, l.line_ix, regexp_extract_all(l.text, '(\S+|\s+)') AS w FROM cuts c JOIN lines l ON l.media_id = c.media_id AND l.line_ix BETWEEN c.start_ix AND c.end_ix),
 words AS (SELECT *, CASE WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'spacing' ELSE 'word' END AS type, 'Default' AS speaker, word_ix * 100 / 1000.0::DOUBLE + segment_ix AS start, word_ix * 100 / 1000.0::DOUBLE + segment_ix + 0.1::DOUBLE AS "end"
   FROM (SELECT media_id, group_ix, line_ix AS segment_ix, unnest(range(len(w))) AS word_ix, unnest(w) AS text FROM cut_rows)),
-""" + line_sql.lines_from_words("media_id, group_ix") + f""", new_lines AS ({line_sql.numbered("media_id, group_ix")}),
+"""
+    return chain + words_again + line_sql.lines_from_words("media_id, group_ix") + f""", new_lines AS ({line_sql.numbered("media_id, group_ix")}),
 joined AS (SELECT l.media_id, l.line_ix AS place, -1 AS nth, l.start_ms, l.end_ms, style, text FROM lines l LEFT JOIN cuts c ON c.media_id = l.media_id AND l.line_ix BETWEEN c.start_ix AND c.end_ix WHERE c.media_id IS NULL
   UNION ALL SELECT n.media_id, c.start_ix, n.line_ix, n.start_ms + c.start_ms, n.end_ms + c.start_ms, style, text FROM new_lines n JOIN cuts c ON c.media_id = n.media_id AND c.group_ix = n.group_ix)
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY place, nth) - 1 AS line_ix, start_ms, end_ms, style, text FROM joined WHERE {line_sql.stripped('text')} <> ''"""
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY place, nth) - 1 AS line_ix, start_ms, end_ms, style, text FROM joined WHERE {line_sql.stripped("text")} <> ''"""
+
+
 _DOTS = "CASE (media_id + batch_ix + pos) % 3 WHEN 0 THEN entry || '...' WHEN 1 THEN '...' || entry ELSE entry END"
 _haha = "replace(replace(concat('--', text, repeat('ha', 7), chr(12288)), 'e', ''), 'o', '')"
 
@@ -352,7 +360,7 @@ SELECT media_id, segment_ix, word_ix, CAST(sum(CAST(fresh AS int)) OVER (PARTITI
     "b5_split_suggestions": _W + ", " + line_sql.lines_from_words(halved=True) + f" SELECT media_id, line_ix, text FROM ({line_sql.numbered()})",
     "b6_clean_lines": _TL + f", y AS (SELECT media_id, line_ix, {line_sql.stripped(f"regexp_replace({_haha}, '^-', '')")} AS y FROM lines) SELECT media_id, line_ix, {line_sql.shortened('y')} AS text FROM y",
     "b8_to_lines": _W + ", " + line_sql.lines_from_words() + " " + line_sql.numbered(),
-    "d12_retranscribe": _D12,
+    "d12_retranscribe": _retranscribed_sql(X.TALK_LINES_SQL, 1),
     "b9_plan_chunks": _M + """, a AS (SELECT media_id, duration_s, ceil(duration_s / (0.95::DOUBLE * 26214400 * duration_s / size_bytes)) AS n FROM manifest WHERE size_bytes > 26214400),
 b AS (SELECT media_id, CAST(ceil(duration_s / n * 1000) AS bigint) AS step, CAST(trunc(duration_s * 1000) AS bigint) AS total FROM a)
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s) - 1 AS chunk_ix, s AS start_ms, step AS duration_ms FROM (SELECT media_id, step, unnest(range(0, total, step)) AS s FROM b)""",
@@ -422,4 +430,11 @@ LEFT JOIN fitted f ON f.media_id = b.media_id AND f.batch_ix = b.batch_ix AND f.
     "f3_incremental_convert": _W.replace("words AS", "heard AS", 1) + ", " + line_sql.ALIGNED.replace("FROM words", "FROM heard").replace("aligned AS", "words AS") + ", " + line_sql.lines_from_words() + f" SELECT media_id, line_ix, start_ms, end_ms, style, text FROM ({line_sql.numbered()})",
     "f2_pending_media": _M + "SELECT media_id, path FROM manifest WHERE media_id NOT IN (SELECT conv_id FROM conversations)",
 }
+# the five stages, each over the lines of the one before
+_from = lambda n: f"lines AS (SELECT * FROM l{n})"
+SQL["f1_run_pipeline"] = f"""WITH l1 AS (WITH {X.TALK_WORDS_SQL}, {line_sql.lines_from_words()} {line_sql.numbered()}),
+l2 AS ({_retranscribed_sql(_from(1), 2)}),
+l3 AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY line_ix) - 1 AS line_ix, start_ms, end_ms, style, text FROM ({line_queries.fixed_sql(_from(2), 2)}) WHERE {line_sql.stripped("text")} <> ''),
+l4 AS ({SQL["e19_translate"].replace(X.CONTINUED_LINES_SQL, _from(3))})
+SELECT * FROM ({line_queries.padded_sql(_from(4))})"""
 SQL = {k: re.sub(r"\)SELECT", ")\nSELECT", v) for k, v in SQL.items()}
