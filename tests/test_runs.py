@@ -22,6 +22,15 @@ SF = "/root/testdata/sf0.001"
 LINES = "media_id long, line_ix long, start_ms long, end_ms long, style string, text string, speaker string"
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Small tables, many jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def logged(path, call, fail=lambda rows: False):
     """``call`` that writes down each request, and fails where told to, before it is answered."""
 
@@ -103,7 +112,7 @@ def test_apply_model_with_store(spark, tmp_path):
 
 
 def episode(media, n):
-    return [(media, i, 1000 * i, 1000 * i + 900, "s", f"line {'x' * ((3 * i + 6) % 9)} {i} of {media}" + CONTINUE_FLAG * (i % 4 == 1) + ("\nsecond" if i % 5 == 0 else ""), "a") for i in range(n)]
+    return [(media, i, 1000 * i, 1000 * i + 900, "s", f"line {'x' * ((3 * i + 14) % 16)} {i} of {media}" + CONTINUE_FLAG * (i % 4 == 1) + ("\nsecond" if i % 5 == 0 else ""), "a") for i in range(n)]
 
 
 PARAMS = Params(batch_lines=3, discard_lines=2, max_cont_lines=2, context_lines=4, translate_retries=2)
@@ -153,7 +162,7 @@ def run_rounds(spark, df, home, call, **options):
 
 
 def test_rounds_and_resume(spark, tmp_path):
-    rows = episode(1, 13) + episode(2, 1) + episode(3, 7) + episode(4, 8)
+    rows = episode(1, 6) + episode(2, 1) + episode(3, 5) + episode(4, 3)
     df = spark.createDataFrame(rows, LINES)
     want, calls = plain_rounds(rows, fixtures.flawed_model, PARAMS, ["first", "second"])
     assert any(m == "second" for m, _, _ in calls) and any("missing]" in t for t in want.values())
