@@ -10,7 +10,9 @@ is left. Suffixes with one rank at a depth are a longest-common-prefix interval:
 runs of so many lines that occur together. The least position of the interval is
 the first copy; the others are later copies. Each suffix counts in its deepest
 interval. Later copies at consecutive positions whose first copies are
-consecutive too make one maximal repeated run; the lines of these runs go.
+consecutive too make one repeated run; the lines of these runs go. A common prefix
+is known to the power of two below its length, so a run's bounds, and the first
+copy it names, need not be those of a maximal one; the lines that go are the same.
 
 A run counts from ``min_lines`` lines (a power of two), or, for a single line,
 from ``long_line_words`` words. Lines without a word neither make nor break

@@ -17,8 +17,9 @@ surroundings, and those within it are equal strings.
 Defined results: null and empty texts have no words; a text of fewer than ``k``
 words loses nothing; rows of one id are one document and lose nothing to each
 other; rows with null ids stand after all ids and count as one document;
-repeated rows get the same result each; windows are judged on the input; an
-empty table gives an empty table; other columns are not read.
+repeated rows get the same result each; windows are judged on the input; ids are
+whole numbers (others raise an error on the cast); an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
