@@ -8,13 +8,19 @@ partitions with prefix-summed counts. Suffixes that are alone under their rank
 share no more lines with any other and leave the array; doubling ends when none
 is left. Suffixes with one rank at a depth are a longest-common-prefix interval:
 runs of so many lines that occur together. The least position of the interval is
-the first copy; the others are later copies. Each suffix counts in its deepest
-interval. Later copies at consecutive positions whose first copies are
-consecutive too make one repeated run; the lines of these runs go. A common prefix
-is known to the power of two below its length, so a run's bounds, and the first
-copy it names, need not be those of a maximal one; the lines that go are the same.
-
-A run counts from ``min_lines`` lines (a power of two), or, for a single line,
+the first copy; the others are later copies.
+
+The longest common prefix of a suffix with any earlier one lies between its
+deepest interval as a later copy and twice that depth. A descent finds it: steps
+of half the depth, a quarter ... one line are tried by the rank of so many lines
+behind the prefix known so far, against all members of the interval. A prefix
+grows where an earlier suffix has the same rank there. Where it does not, those
+that have one rank there are alike for all shorter steps, so that the least of
+them stands for all. Each later copy so has its exact length and the first copy
+of so many lines; those that no other run of the text contains are the maximal
+repeated runs, and their lines go.
+
+A run counts from ``min_lines`` lines, or, for a single line,
 from ``long_line_words`` words. Lines without a word neither make nor break
 equality: they are left out of the sequence, and stay. Lines are equal if their
 128-bit ids are.
@@ -35,6 +41,7 @@ never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,36 +123,75 @@ def intervals(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     return out
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def longest_copies(levels: list[tuple[int, DataFrame]], least: int) -> DataFrame | None:
+    """(id, row, pos, length, f) of each suffix that shares ``least`` lines or more with an earlier one.
+
+    ``length`` is the most it shares with any earlier one, ``f`` the first suffix with so many lines of it.
+    """
+    at, node = F.struct("id", "row", "pos"), ["d", "cur", "path"]
+    tagged = [array.select(F.lit(depth).alias("d"), "rank", "id", "row", "pos") for depth, array in levels if 2 * depth > least]
+    if not tagged:
+        return None
+    # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+    first = written(_union(tagged).groupBy("d", "rank").agg(F.min(at).alias("f")), "lines-first")
+    members, later = written(_union(tagged).join(first, ["d", "rank"]), "lines-level"), at > F.col("f")
+    used = [first, members]
+    deepest = members.where(later).groupBy("id", "row", "pos").agg(F.max("d").alias("deepest"))
+    members = members.join(deepest, ["id", "row", "pos"], "left").withColumn("asks", F.coalesce(F.col("d") == F.col("deepest"), F.lit(False)))
+    members = written(members.drop("deepest"), "lines-members")
+    forget(*used)
+    # intervals in which no suffix asks for its length are left
+    asked = members.where("asks").select("d", "rank").distinct()
+    state = members.join(asked, ["d", "rank"], "left_semi").select("d", F.col("d").alias("cur"), F.array("rank").alias("path"), "id", "row", "pos", "asks", "f")
+    ranks = _union([array.select(F.lit(depth).alias("step"), "id", "row", F.col("pos").alias("behind"), F.col("rank").alias("r")) for depth, array in levels])
+    used, found = [members], []
+    for halving in range(1, levels[-1][0].bit_length()):
+        step = F.shiftright("d", halving)
+        found.append(state.where((step < 1) & F.col("asks")))
+        tried = state.where(step >= 1).withColumns({"step": step, "behind": F.col("pos") + F.col("cur")})
+        tried = written(tried.join(ranks, ["step", "id", "row", "behind"], "left").drop("behind"), "lines-tried")
+        alike = tried.where("r IS NOT NULL").groupBy(*node, "r").agg(F.min(at).alias("g"), F.max(F.when(F.col("asks"), at)).alias("last"))
+        alike = written(alike.select(*node, "r", "g", F.coalesce(F.col("last") > F.col("g"), F.lit(False)).alias("grows")), "lines-alike")
+        met = written(tried.join(alike, [*node, "r"], "left").withColumn("longer", F.col("asks") & F.coalesce(at > F.col("g"), F.lit(False))), "lines-met")
+        forget(tried, alike)
+        used.append(met)
+        on = met.where("grows").select("d", (F.col("cur") + F.col("step")).alias("cur"), F.array_append("path", F.col("r")).alias("path"), "id", "row", "pos", F.col("longer").alias("asks"), F.col("g").alias("f"))
+        stands = F.col("r").isNull() | (at == F.col("g"))
+        stay = met.where((F.col("asks") & ~F.col("longer")) | (~F.col("asks") & stands)).select(*state.columns)
+        state = on.unionByName(stay.join(stay.where("asks").select(*node).distinct(), node, "left_semi").select(*state.columns))
+    found.append(state.where("asks"))
+    out = written(_union(found).where(F.col("cur") >= least).select("id", "row", "pos", F.col("cur").alias("length"), "f"), "lines-longest")
+    forget(*used)
+    return out
+
+
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
-    """(id, row, a, b, first_id, first_row, first_a): worded lines a to b (b not included) repeat those from first_a on of the first copy."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    levels, found = intervals(docs), []
-    at = F.struct("id", "row", "pos")
-    for depth, array in levels:
-        if depth > 1 and depth < min_lines:
-            continue
-        if depth < min_lines:
-            array = array.where(F.col("words") >= long_line_words)
-        # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
-        first = written(array.groupBy("rank").agg(F.min(at).alias("f")), "lines-first")
-        later = array.join(first, "rank").where(at != F.col("f"))
-        found.append(written(later.select("id", "row", "pos", F.struct(F.lit(depth).alias("depth"), "f").alias("hit")), "lines-later"))
+    """(id, row, a, b, first_id, first_row, first_a): worded lines a to b (b not included) repeat those from first_a on of the first copy.
+
+    No longer run from a on repeats an earlier one, and no run of a text contains another.
+    """
+    if min_lines < 1:
+        raise ValueError("min_lines must be 1 or more")
+    levels, at = intervals(docs), F.struct("id", "row", "pos")
+    found = [x for x in [longest_copies(levels, min_lines) if levels else None] if x is not None]
+    if levels and min_lines > 1:
+        single = levels[0][1].where(F.col("words") >= long_line_words)
+        first = written(single.groupBy("rank").agg(F.min(at).alias("f")), "lines-first")
+        found.append(written(single.join(first, "rank").where(at > F.col("f")).select("id", "row", "pos", F.lit(1).alias("length"), "f"), "lines-longest"))
         forget(first)
+    forget(*[array for _, array in levels])
     if not found:
         return docs.sparkSession.createDataFrame([], "id long, row long, a int, b int, first_id long, first_row long, first_a int")
-    union = found[0]
-    for x in found[1:]:
-        union = union.unionByName(x)
-    # each suffix in its deepest interval; neighbours with neighbouring first copies are one run
-    deepest = union.groupBy("id", "row", "pos").agg(F.max("hit").alias("hit")).select("id", "row", "pos", "hit.depth", F.col("hit.f.id").alias("first_id"), F.col("hit.f.row").alias("first_row"), F.col("hit.f.pos").alias("first_pos"))
-    same = Window.partitionBy("id", "row", "first_id", "first_row", F.col("first_pos") - F.col("pos")).orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("depth")).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("pos") <= reach, 0).otherwise(1)
-    runs = deepest.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(same)).withColumn("ahead", F.col("first_pos") - F.col("pos"))
-    runs = runs.groupBy("id", "row", "first_id", "first_row", "ahead", "nth").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("depth")).alias("b"), F.min("first_pos").alias("first_a"))
-    runs = written(runs.select("id", "row", "a", "b", "first_id", "first_row", "first_a"), "lines-runs")
-    forget(*found, *[array for _, array in levels])
+    best = _union(found).groupBy("id", "row", "pos").agg(F.max(F.struct("length", "f")).alias("hit"))
+    end = F.col("pos") + F.col("hit.length")
+    before = Window.partitionBy("id", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    runs = best.withColumn("end", end).withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR end > reach")
+    runs = written(runs.select("id", "row", F.col("pos").alias("a"), F.col("end").alias("b"), F.col("hit.f.id").alias("first_id"), F.col("hit.f.row").alias("first_row"), F.col("hit.f.pos").alias("first_a")), "lines-runs")
+    forget(*found)
     return runs
 
 

@@ -99,7 +99,7 @@ def brute_lines(rows, n, long_words):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 4])
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_lines_random(spark, n):
     rng = random.Random(6)
     pool = [f"line {i} of words" for i in range(12)] + [" ".join(["long"] * 60 + [str(i)]) for i in range(2)]
@@ -131,6 +131,42 @@ def test_maximal_runs(spark):
     assert got == sorted(want)
 
 
+def brute_runs(texts, least):
+    """Later copies by their longest match with any earlier suffix; (id, a, b, first id, first a)."""
+    places = [(i, o) for i, ls in sorted(texts.items()) for o in range(len(ls))]
+    out = []
+    for n, (i, o) in enumerate(places):
+        best = (0, None)
+        for j, q in places[:n]:
+            k = 0
+            while o + k < len(texts[i]) and q + k < len(texts[j]) and texts[i][o + k] == texts[j][q + k]:
+                k += 1
+            if k > best[0]:
+                best = (k, (j, q))
+        if best[0] >= least:
+            out.append((i, o, o + best[0], *best[1]))
+    return sorted(x for x in out if not any(y[0] == x[0] and y != x and y[1] <= x[1] and y[2] >= x[2] for y in out))
+
+
+@pytest.mark.parametrize(("seed", "letters", "least"), [(21, 3, 2), (22, 9, 2), (23, 5, 3)])
+def test_runs_against_all_suffixes(spark, seed, letters, least):
+    """Random texts, not planted runs: prefixes of any length, whose copies go on elsewhere for longer or shorter."""
+    rng = random.Random(seed)
+    stock = [rng.randint(1, letters) for _ in range(60)]
+    texts = {}
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 3)):
+            o = rng.randint(0, 50)
+            lines += stock[o : o + rng.randint(1, 30)] if rng.random() < 0.7 else [rng.randint(1, letters) for _ in range(rng.randint(1, 6))]
+        texts[i] = [f"line {x}" for x in lines]
+    texts[50], texts[51], texts[52] = ["A", "B", "X"], ["A", "B", "C", "Y"], ["A", "B", "C", "Z"]
+    df = spark.createDataFrame([(i, i, "\n".join(ls)) for i, ls in texts.items()], "id long, row long, text string")
+    got = sorted((r.id, r.a, r.b, r.first_id, r.first_a) for r in line_dedup.repeated_runs(df, least).collect())
+    assert got == brute_runs(texts, least)
+    assert (52, 0, 3, 51, 0) in got and ((51, 0, 2, 50, 0) in got) == (least == 2)
+
+
 def test_lines_odd(odd, nothing):
     rows = line_dedup.dedup_rows(odd)
     assert rows.columns == odd.columns
@@ -141,8 +177,8 @@ def test_lines_odd(odd, nothing):
     assert any(r.doc_id == 1 and r.text is None for r in got) and any(r.text == "" for r in got)
     assert line_dedup.dedup_lines(odd).count() == odd.count()
     assert line_dedup.dedup_rows(nothing).count() == 0 and line_dedup.dedup_lines(nothing).count() == 0
-    with pytest.raises(ValueError, match="power"):
-        line_dedup.later_copies(odd, min_lines=3)
+    with pytest.raises(ValueError, match="1 or more"):
+        line_dedup.later_copies(odd, min_lines=0)
 
 
 def shingle_set(text, n=4):
