@@ -18,7 +18,9 @@ grows where an earlier suffix has the same rank there. Where it does not, those
 that have one rank there are alike for all shorter steps, so that the least of
 them stands for all. Each later copy so has its exact length and the first copy
 of so many lines; those that no other run of the text contains are the maximal
-repeated runs, and their lines go.
+repeated runs (``repeated_runs``), and their lines go. Where ``min_lines`` is a
+power of two, the intervals alone cover the same lines (a prefix of 5 lines is two
+of 4, one line apart), and deletion does without the descent.
 
 A run counts from ``min_lines`` lines, or, for a single line,
 from ``long_line_words`` words. Lines without a word neither make nor break
@@ -195,9 +197,46 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words:
     return runs
 
 
+def interval_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
+    """(id, row, a, b, first_id, first_row, first_a): as ``repeated_runs``, by intervals of 1, 2, 4 ... lines alone.
+
+    Bounds and first copies need not be those of maximal runs; the lines covered are the same.
+    """
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two")
+    levels, found = intervals(docs), []
+    at = F.struct("id", "row", "pos")
+    for depth, array in levels:
+        if depth > 1 and depth < min_lines:
+            continue
+        if depth < min_lines:
+            array = array.where(F.col("words") >= long_line_words)
+        # written, so that the join reads two plain shuffles, of which Spark splits skewed partitions
+        first = written(array.groupBy("rank").agg(F.min(at).alias("f")), "lines-first")
+        later = array.join(first, "rank").where(at != F.col("f"))
+        found.append(written(later.select("id", "row", "pos", F.struct(F.lit(depth).alias("depth"), "f").alias("hit")), "lines-later"))
+        forget(first)
+    if not found:
+        return docs.sparkSession.createDataFrame([], "id long, row long, a int, b int, first_id long, first_row long, first_a int")
+    union = found[0]
+    for x in found[1:]:
+        union = union.unionByName(x)
+    # each suffix in its deepest interval; neighbours with neighbouring first copies are one run
+    deepest = union.groupBy("id", "row", "pos").agg(F.max("hit").alias("hit")).select("id", "row", "pos", "hit.depth", F.col("hit.f.id").alias("first_id"), F.col("hit.f.row").alias("first_row"), F.col("hit.f.pos").alias("first_pos"))
+    same = Window.partitionBy("id", "row", "first_id", "first_row", F.col("first_pos") - F.col("pos")).orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("depth")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("pos") <= reach, 0).otherwise(1)
+    runs = deepest.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(same)).withColumn("ahead", F.col("first_pos") - F.col("pos"))
+    runs = runs.groupBy("id", "row", "first_id", "first_row", "ahead", "nth").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("depth")).alias("b"), F.min("first_pos").alias("first_a"))
+    runs = written(runs.select("id", "row", "a", "b", "first_id", "first_row", "first_a"), "lines-runs")
+    forget(*found, *[array for _, array in levels])
+    return runs
+
+
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_line_words: int = LONG_LINE_WORDS) -> DataFrame:
     """(id, row, spans): spans (first worded line, end) of repeated runs to delete, apart and in order."""
-    runs = repeated_runs(docs, min_lines, long_line_words).select("id", "row", "a", "b").distinct()
+    found = repeated_runs if min_lines & (min_lines - 1) or min_lines < 1 else interval_runs
+    runs = found(docs, min_lines, long_line_words).select("id", "row", "a", "b").distinct()
     w = Window.partitionBy("id", "row").orderBy("a", "b")
     fresh = F.when(F.col("a") <= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     runs = runs.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(w))
