@@ -6,9 +6,18 @@ extended prefix of all sets, then by all shingles of those that remain. The
 shared shingles are then ordered, rarest first.
 
 Sets that share a rare shingle are compared with the most typical of them, and
-those that link form a group. The matrix has a row for each (token, group). A set
-and a group that is not its own meet if the set's first shared tokens and the
-group's share one, at sizes that can reach the threshold. For each such meeting
+those that link form a group; those that have half of their union in common, a
+family. Near copies of one text that are too far from each other to link would
+all meet in its tokens, so within a family sets are told by their differences
+from its hub, the tokens that most of its sets have: sets that link without a
+common difference link with the set nearest to the hub, and others share one of
+their first differences, rarest first. The sets that share one are again compared
+with one of them first, and join its group if they link.
+
+The matrix has a row for each (token, group). A set and a group that is not its
+own meet if, within a family, the set's first differences and the group's share
+one, or else its first shared tokens and the group's, at sizes that can reach the
+threshold. For each such meeting
 the tokens of the set in the group's union (the tokens of the group's centre, and
 those of its other sets that the centre lacks) are counted: that bounds its
 overlap with any set of the group, and only groups whose bound reaches the
@@ -31,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +56,8 @@ BROADCAST_ROWS = 400_000
 LAST_ID = (1 << 63) - 1
 #: Percent of a set's size by which its first prefix is longer than what a linked set may lack.
 EXTRA_PCT = 8
+#: Sets that have this percent of their union in common with the most typical of those with one rare shingle are of its family.
+KIN_PCT = 50
 
 
 def shingles(t: X.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +161,23 @@ def with_shared(grams: DataFrame, pct: int) -> DataFrame:
     return shared.where(F.col("c") >= need(F.col("n"), pct))
 
 
-def verified(pairs: DataFrame, grams: DataFrame, pct: int) -> DataFrame:
-    """Those (a, b) whose sets reach the threshold."""
+def overlaps(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, k) of each pair of sets: their sizes and the number of shingles in both."""
     pairs = pairs.distinct()
     for side in ("a", "b"):
         pairs = pairs.join(grams.toDF(side, f"n_{side}", f"grams_{side}"), side)
-    return pairs.where(reach(F.size(F.array_intersect("grams_a", "grams_b")).cast("long"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+    return pairs.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("k"))
+
+
+def linked(pairs: DataFrame, pct: int) -> DataFrame:
+    """Those (a, b) of ``overlaps`` that reach a threshold."""
+    return pairs.where(reach(F.col("k"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
+
+
+def bands(n: Column, pct: int) -> Column:
+    """Two bands of sizes: sets that may link have one of them in common."""
+    at = F.log(n.cast("double")) / (2.02 * log(100 / min(pct, 95)))
+    return F.array(F.floor(at) * 2, F.floor(at + 0.5) * 2 + 1)
 
 
 def ranked(sets: DataFrame, first: Column, *columns: str) -> DataFrame:
@@ -162,6 +185,77 @@ def ranked(sets: DataFrame, first: Column, *columns: str) -> DataFrame:
     return sets.where(first > 0).select(*columns, F.explode(F.slice("shared", F.lit(1), first.cast("int"))["token"]).alias("token"))
 
 
+def differences(live: DataFrame, families: DataFrame, pct: int) -> DataFrame:
+    """(fam, uid, n, e, diff) of the sets in families: what tells them from the hub.
+
+    The hub of a family is the tokens that more than half of its sets have. ``diff``
+    has the tokens that just one of set and hub has, if other sets of the family
+    differ in them too, rarest first. The distance of two sets is the sum of theirs
+    from the hub, less twice their common differences; so with
+    ``e = (100 + pct) * distance - (100 - pct) * n`` two sets link if and only if
+    ``2 * (100 + pct) * common >= e_a + e_b``.
+    """
+    kin = written(live.join(families.toDF("uid", "fam"), "uid").select("fam", "uid", "n", "c", F.col("shared.token").alias("tokens")), "jaccard-kin")
+    votes = kin.select("fam", F.explode("tokens").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("votes"))
+    most = votes.join(kin.groupBy("fam").agg(F.count("*").alias("sets")), "fam").where("2 * votes > sets")
+    hubs = written(most.groupBy("fam").agg(F.collect_list("token").alias("hub")), "jaccard-hubs")
+    own = F.concat(F.array_except("tokens", F.coalesce("hub", F.array().cast("array<long>"))), F.array_except(F.coalesce("hub", F.array().cast("array<long>")), "tokens"))
+    away = kin.join(hubs, "fam", "left").withColumn("own", own)
+    e = (F.size("own") + F.col("n") - F.col("c")) * (100 + pct) - F.col("n") * (100 - pct)
+    away = written(away.select("fam", "uid", "n", e.cast("long").alias("e"), "own"), "jaccard-away")
+    each = away.select("fam", "uid", F.explode("own").alias("token"))
+    several = written(each.groupBy("fam", "token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-several")
+    diff = each.join(several, ["fam", "token"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "token")))["token"].alias("diff"))
+    return away.drop("own").join(diff, "uid", "left").select("fam", "uid", "n", "e", F.coalesce("diff", F.array().cast("array<long>")).alias("diff"))
+
+
+def first_differences(diffs: DataFrame, pct: int) -> DataFrame:
+    """(fam, uid, n, e, token, cap): each difference, and the greatest e of a set with which it can be the first in common."""
+    each = diffs.select("fam", "uid", "n", "e", F.size("diff").alias("d"), F.posexplode("diff").alias("pos", "token"))
+    return each.select("fam", "uid", "n", "e", "token", ((F.col("d") - F.col("pos")) * (2 * (100 + pct)) - F.col("e")).cast("long").alias("cap"))
+
+
+def links_by_hub(diffs: DataFrame, pct: int) -> DataFrame:
+    """(a, b) of linked sets of a family: with the set nearest to the hub, and with the nearest one of a first difference.
+
+    Two sets that link without a common difference both link with the nearest one.
+    """
+    nearest = diffs.groupBy("fam").agg(F.min(F.struct("e", "uid")).alias("m")).select("fam", F.col("m.e").alias("e_b"), F.col("m.uid").alias("b"))
+    sure = diffs.join(nearest, "fam").where("e + e_b <= 0 and uid <> b").select(F.col("uid").alias("a"), "b")
+    first = first_differences(diffs, pct).where("cap >= e")
+    star = written(first.groupBy("fam", "token").agg(F.min(F.struct("e", "uid")).alias("m"), F.count("*").alias("sets")).where("sets > 1").select("fam", "token", F.col("m.uid").alias("b")), "jaccard-stars")
+    tried = first.join(star, ["fam", "token"]).where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    for side in ("a", "b"):
+        tried = tried.join(diffs.select(F.col("uid").alias(side), F.col("e").alias(f"e_{side}"), F.col("diff").alias(f"diff_{side}")), side)
+    return sure.unionByName(tried.where(F.size(F.array_intersect("diff_a", "diff_b")) * (2 * (100 + pct)) >= F.col("e_a") + F.col("e_b")).select("a", "b"))
+
+
+def asked_within(diffs: DataFrame, owned: DataFrame, pct: int) -> DataFrame:
+    """(uid, grp): a set and another group of its family with a set no farther from the hub that it may link with."""
+    each = first_differences(diffs, pct).join(owned.select("uid", "grp"), "uid")
+    cells = each.where("cap >= e").groupBy("fam", "token", "grp").agg(F.min("e").alias("e"), F.max("cap").alias("cap"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = each.alias("x"), written(cells, "jaccard-matrix").alias("y")
+    met = x.join(y, (F.col("x.fam") == F.col("y.fam")) & (F.col("x.token") == F.col("y.token"))).where("x.grp <> y.grp and y.e <= least(x.e, x.cap) and y.cap >= x.e")
+    return met.where((F.col("y.hi") * 100 >= F.col("x.n") * pct) & (F.col("x.n") * 100 >= F.col("y.lo") * pct)).select("x.uid", "y.grp")
+
+
+def asked_across(owned: DataFrame, probe: Column, index: Column, pct: int) -> DataFrame:
+    """(uid, grp): a set and a group of another family whose first shared tokens have one in common."""
+    cells = ranked(owned, index, "fam", "grp", "n", "c").groupBy("token", "fam", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("most"))
+    cells = written(cells, "jaccard-matrix")
+    # by family first, so that sets do not meet all groups of their own one
+    wide = written(cells.groupBy("token", "fam").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most")), "jaccard-matrix")
+    x = ranked(owned, probe, "uid", "fam", "n", "c")
+
+    def may(x_: str, y_: str) -> Column:
+        n, lo, hi = F.col(f"{x_}.n"), F.col(f"{y_}.lo"), F.col(f"{y_}.hi")
+        return (lo <= n) & (hi * 100 >= n * pct) & reach(F.least(f"{x_}.c", f"{y_}.most"), n, F.greatest(lo, need(n, pct)), pct)
+
+    met = x.alias("x").join(wide.alias("y"), F.col("x.token") == F.col("y.token")).where("x.fam <> y.fam").where(may("x", "y"))
+    met = met.select("x.uid", "x.n", "x.c", "x.token", "y.fam")
+    return met.alias("m").join(cells.alias("z"), (F.col("m.token") == F.col("z.token")) & (F.col("m.fam") == F.col("z.fam"))).where(may("m", "z")).select("m.uid", "z.grp")
+
+
 def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, sets with uid, uid to root): components of linked sets.
 
@@ -179,24 +273,25 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     probe, index = c - need(n_, pct) + 1, c - F.ceil(n_ * (2 * pct) / F.lit(100 + pct)) + 1
     typical = F.struct((c * 1000 / n_).cast("long").alias("share"), (-F.col("uid")).alias("nuid"), "n", "c")
 
-    # groups: sets that share a rare shingle, around the most typical of them; among near copies of
-    # one text that is the text itself, or the least changed of them
-    stars = ranked(live, probe, "uid", "n", "c")
-    centre = written(stars.groupBy("token").agg(F.max(typical).alias("t"), F.count("*").alias("sets")).where("sets > 1").select("token", (-F.col("t.nuid")).alias("b"), F.col("t.n").alias("n_b"), F.col("t.c").alias("c_b")), "jaccard-centres")
-    tried = stars.join(centre, "token").where(F.col("uid") != F.col("b")).where(reach(F.least("c", "c_b"), n_, F.col("n_b"), pct))
-    near = written(verified(tried.select(F.col("uid").alias("a"), "b"), grams, pct), "jaccard-near")
+    # groups: sets that share a rare shingle and are of like sizes, around the most typical of them; among
+    # near copies of one text that is the text itself, or the least changed of them
+    stars = ranked(live, probe, "uid", "n", "c").withColumn("band", F.explode(bands(n_, pct)))
+    centre = written(stars.groupBy("token", "band").agg(F.max(typical).alias("t"), F.count("*").alias("sets")).where("sets > 1").select("token", "band", (-F.col("t.nuid")).alias("b"), F.col("t.n").alias("n_b"), F.col("t.c").alias("c_b")), "jaccard-centres")
+    kin = min(pct, KIN_PCT)
+    tried = stars.join(centre, ["token", "band"]).where(F.col("uid") != F.col("b")).where(reach(F.least("c", "c_b"), n_, F.col("n_b"), kin))
+    tried = written(overlaps(tried.select(F.col("uid").alias("a"), "b"), grams), "jaccard-tried")
+    # families hold whole groups, as a link is kin
+    families = written(components(linked(tried, kin)), "jaccard-families")
+    diffs = written(differences(live, families, pct), "jaccard-diffs")
+    near = written(linked(tried, pct).unionByName(links_by_hub(diffs, pct)), "jaccard-near")
     grouped = written(components(near), "jaccard-groups")
-    owned = written(live.join(grouped.withColumnRenamed("node", "uid"), "uid", "left").withColumn("grp", F.coalesce("root", "uid")).drop("root"), "jaccard-owned")
+    owned = live.join(families.toDF("uid", "fam"), "uid", "left").join(grouped.toDF("uid", "grp"), "uid", "left")
+    owned = written(owned.withColumn("fam", F.coalesce("fam", "uid")).withColumn("grp", F.coalesce("grp", "uid")), "jaccard-owned")
 
     # the matrix, rare end: by token and group, what its sets can reach
-    cells = written(ranked(owned, index, "grp", "n", "c").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("most")), "jaccard-matrix")
-    x, y = ranked(owned, probe, "uid", "grp", "n", "c").alias("x"), cells.alias("y")
-    sizes = (F.col("y.lo") <= F.col("x.n")) & (F.col("y.hi") * 100 >= F.col("x.n") * pct)
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where(F.col("x.grp") != F.col("y.grp")).where(sizes)
-    met = met.where(reach(F.least("x.c", "y.most"), F.col("x.n"), F.greatest("y.lo", need(F.col("x.n"), pct)), pct))
-    asking = written(met.select("x.uid", "y.grp").distinct(), "jaccard-asking")
+    asking = written(asked_within(diffs, owned, pct).unionByName(asked_across(owned, probe, index, pct)).distinct(), "jaccard-asking")
     if asking.isEmpty():
-        forget(chosen, live, centre, near, owned, cells, asking, grams)
+        forget(chosen, live, centre, tried, families, diffs, near, owned, asking, grams)
         return signed, sets, grouped
 
     # each group asked: its centre's shingles, and those of its other sets that the centre lacks, are its union
@@ -221,13 +316,14 @@ def link_sets(docs: DataFrame, n: int = 4, pct: int = 85) -> tuple[DataFrame, Da
     # each other within it must share a shingle outside it
     fit = reach(F.least("c_a", "c_b"), F.col("n_a"), F.col("n_b"), pct)
     within = opened.join(held.drop("out_b"), "grp").where(fit).where(reach(F.least("i_a", "i_b"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
-    far_a = opened.join(queries.select("a", "grp", F.explode("out_a").alias("token")), ["a", "grp"])
+    # only the tokens of opened meetings become rows, not those of all that were asked
+    far_a = opened.join(queries.select("a", "grp", "out_a"), ["a", "grp"]).select("a", "grp", "n_a", "c_a", "i_a", F.explode("out_a").alias("token"))
     far_b = held.join(opened.select("grp").distinct(), "grp").select("grp", "b", "n_b", "c_b", "i_b", F.explode("out_b").alias("token"))
     both = far_a.join(far_b, ["grp", "token"]).where(fit).groupBy("a", "b", "n_a", "n_b", "i_a", "i_b").agg(F.count("*").alias("k"))
     beyond = both.where(reach(F.least("i_a", "i_b") + F.col("k"), F.col("n_a"), F.col("n_b"), pct)).select("a", "b")
-    far = written(verified(within.unionByName(beyond), grams, pct).unionByName(ones), "jaccard-far")
+    far = written(linked(overlaps(within.unionByName(beyond), grams), pct).unionByName(ones), "jaccard-far")
     roots = written(components(near.unionByName(far)), "jaccard-roots")
-    forget(chosen, live, centre, near, grouped, owned, cells, asking, facts, queries, held, union, opened, far, grams)
+    forget(chosen, live, centre, tried, families, diffs, near, grouped, owned, asking, facts, queries, held, union, opened, far, grams)
     return signed, sets, roots
 
 

@@ -263,6 +263,52 @@ def test_one_large_group(spark, n, pct):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_components(rows, pct, n)
 
 
+def test_meetings_of_copies_too_far_apart(spark, monkeypatch):
+    """Copies of a text that is not there, most of which do not link: they meet few others, not all."""
+    rng = random.Random(14)
+    base, texts = [f"w{i}" for i in range(63)], []
+    for i in range(160):
+        ws = list(base)
+        ws[rng.randint(5, 57)] = f"x{i}"
+        texts.append(" ".join(ws))
+    asked, written = [], ngram_jaccard.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "jaccard-asking":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", counted)
+    rows = list(enumerate(texts))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=5, pct=80)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_components(rows, 80, 5)
+    assert asked[0] <= len(texts)
+
+
+@pytest.mark.parametrize(("seed", "n", "pct", "most"), [(31, 5, 80, 3), (32, 4, 85, 4), (33, 2, 60, 9), (34, 3, 95, 2)])
+def test_families(spark, seed, n, pct, most):
+    """Copies around texts that are there or not, changed more or less, cut, longer, and mixed of two texts."""
+    rng = random.Random(seed)
+    bases = [[f"{b}{i}" for i in range(rng.randint(50, 90))] for b in "abc"]
+    bases.append(bases[0][:40] + bases[1][:40])
+    texts = [" ".join(bases[0])]
+    for i in range(260):
+        ws = list(rng.choice(bases))
+        for _ in range(rng.randint(0, most)):
+            ws[rng.randrange(len(ws))] = rng.choice([f"x{i}", f"y{rng.randint(0, 5)}"])
+        if rng.random() < 0.2:
+            ws = ws[rng.randint(0, 9) : len(ws) - rng.randint(0, 9)]
+        if rng.random() < 0.2:
+            ws += [f"t{k}" for k in range(rng.randint(1, 12))]
+        texts.append(" ".join(ws))
+    rows = list(enumerate(texts))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=n, pct=pct)
+    want = brute_components(rows, pct, n)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
+    assert len({c for _, _, c in want}) > 5
+
+
 def test_graph(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)]
