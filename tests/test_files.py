@@ -35,6 +35,19 @@ def test_files_by_name(spark, tmp_path):
     assert (tmp_path / "out" / "a b.txt").read_text() == "one\n" and (tmp_path / "out" / "é=%2.txt").exists()
 
 
+def test_packed_transcripts(spark, tmp_path):
+    """Documents of many media in few files come back as they were, and a folder that is there is not written into."""
+    names = ["a b", "é/1:2", *map(str, range(200))]
+    doc = lambda m: json.dumps({"text": m + '"\n\u3000', "segments": [], "words": [{"word": m, "start": 0.5, "end": 1.0}]}, ensure_ascii=False)
+    docs = spark.createDataFrame([(m, doc(m)) for m in names], "media_id string, doc string").coalesce(2)
+    transcripts.write_transcripts(docs, str(tmp_path / "out"), packed=True)
+    assert len([x for x in os.listdir(tmp_path / "out") if x.endswith(".json.gz")]) <= 2
+    back = transcripts.read_transcripts(spark, str(tmp_path / "out"), "segmented", packed=True)
+    assert sorted((r.media_id, r.doc, r.j.words[0].word) for r in back.collect()) == sorted((m, doc(m), m) for m in names)
+    with pytest.raises(Exception, match="(?i)already exists"):
+        transcripts.write_transcripts(docs, str(tmp_path / "out"), packed=True)
+
+
 def test_no_file_after_a_failed_job(spark, tmp_path):
     docs = spark.range(20).select(F.col("id").alias("media_id"), F.when(F.col("id") == 13, F.raise_error(F.lit("no"))).otherwise("x").alias("doc"))
     with pytest.raises(Exception, match="no"):
